@@ -22,8 +22,10 @@ from .common import map_slices, shuffled
 
 #: Bounds of the samples that the model is fitted on.
 MOST_LABELLED, MOST_UNLABELLED = 8_000, 2_000
-#: Stems kept, and what a stem needs: toxic rows it is in (share of them, and at least), and its rate there over elsewhere.
-MOST_STEMS, STEM_SHARE, STEM_ROWS, STEM_RATIO = 512, 0.02, 3, 3.0
+#: Stems kept, and what a stem needs: toxic rows it is in (share of them, and at least), its rate there over elsewhere,
+#: and how many standard errors its share of the toxic rows lies above that of the others.
+MOST_STEMS, STEM_SHARE, STEM_ROWS, STEM_RATIO, STEM_ERRORS = 512, 0.02, 3, 3.0, 4.0
+UNLABELLED_WEIGHT = 0.2
 PREFIXES = (3, 4, 5, 6, 7)
 HELD_OUT_MOD = 5
 #: A few common insults; the label model weighs them like any other voter.
@@ -97,23 +99,25 @@ class Voters:
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
-    """Posterior P(toxic) by row. gold: 1, 0, or -1 where unknown; it is one more voter, trusted at 0.98.
+    """Posterior P(toxic) by row. gold: 1, 0, or -1 where unknown; a known label fixes its row's posterior near it.
 
+    Rows without a label count UNLABELLED_WEIGHT each, so that they refine the voters but can't turn the classes round.
     Each voter has a chance of each vote given the label, with add-one smoothing. Correlation: voters whose votes
     co-vary given the label share their weight, a voter's being 1 / (1 + sum of its squared correlations).
     """
     kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # (vote, row, voter)
     trust = np.select([gold == 1, gold == 0], [0.98, 0.02], 0.5)
     post = np.where(gold >= 0, trust, prior)
+    share = np.where(gold >= 0, 1.0, UNLABELLED_WEIGHT)
     damp = np.ones(votes.shape[1])
     for _ in range(rounds):
-        like = [((kinds * p[None, :, None]).sum(1) + 1) / (p.sum() + 3) for p in (post, 1 - post)]
+        like = [((kinds * p[None, :, None]).sum(1) + 1) / (p.sum() + 3) for p in (post * share, (1 - post) * share)]
         rest = votes - (post @ votes / max(post.sum(), 1e-9))[None] * post[:, None] - ((1 - post) @ votes / max((1 - post).sum(), 1e-9))[None] * (1 - post)[:, None]
         rest = rest / np.maximum(np.sqrt((rest**2).sum(0)), 1e-9)
         damp = 1 / np.maximum((np.abs(rest.T @ rest) ** 2).sum(0), 1.0)
         ratio = np.log(like[0] / like[1]) * damp[None]
-        logit = np.einsum("vrk,vk->r", kinds, ratio) + np.log(prior / (1 - prior)) + np.log(trust / (1 - trust))
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = np.einsum("vrk,vk->r", kinds, ratio) + np.log(prior / (1 - prior))
+        new = np.where(gold >= 0, trust, 1 / (1 + np.exp(-np.clip(logit, -8, 8))))
         if np.abs(new - post).max() < 1e-4:
             break
         post = new
@@ -185,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = stats.where("stem = ''").first()
     t1, t0 = (max(1, total["w1"]), max(1, total["w0"])) if total else (1, 1)
     ratio = ((F.col("w1") + 0.5) / t1) / ((F.col("w0") + 0.5) / t0)
-    best = stats.where((F.col("stem") != "") & (ratio >= STEM_RATIO)).select("stem", F.log(ratio).alias("weight"), (F.col("w1") * F.log(ratio)).alias("gain"))
+    share = (F.col("r1") + F.col("r0")) / (n1 + n0)
+    error = F.sqrt(share * (1 - share) * (1 / max(1, n1) + 1 / max(1, n0)))
+    stands_out = F.col("r1") / max(1, n1) - F.col("r0") / max(1, n0) >= STEM_ERRORS * error
+    best = stats.where((F.col("stem") != "") & (ratio >= STEM_RATIO) & stands_out).select("stem", F.log(ratio).alias("weight"), (F.col("w1") * F.log(ratio)).alias("gain"))
     found = best.orderBy(F.desc("gain"), "stem").limit(MOST_STEMS).collect()
     stems, weights = [r["stem"] for r in found], np.array([r["weight"] for r in found])
 
