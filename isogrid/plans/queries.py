@@ -501,6 +501,11 @@ def _(spark, d):
     return colour.anomaly_scale(anom_of(spark, d))
 
 
+@query("k2_anomaly_ticks", ora.sql(f"SELECT period, pct, q[list_position({list(colour.TICK_PERCENTS)}, pct)] AS value FROM (SELECT period, quantile_cont(value, {[p / 100 for p in colour.TICK_PERCENTS]}) AS q FROM anom WHERE value IS NOT NULL GROUP BY period) CROSS JOIN (VALUES {', '.join(f'({p})' for p in colour.TICK_PERCENTS)}) v(pct)", "value"))
+def _(spark, d):
+    return colour.anomaly_ticks(anom_of(spark, d))
+
+
 @query("k3_stride_sample", ora.sql("SELECT month, label, i, j, sst FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY label, i, j) - 1 AS rn, greatest(1, count(*) OVER (PARTITION BY month)//50) AS step FROM obs WHERE sst IS NOT NULL) WHERE rn % step = 0", "sst"))
 def _(spark, d):
     rows = fx.obs(spark, d).where("sst IS NOT NULL").withColumn("label", F.date_format("ts", "yyyy-MM"))
