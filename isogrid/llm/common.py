@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -47,11 +48,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to a new Parquet table in the shared checkpoint folder; for wide rows, which compress there."""
+def let_go(spark: SparkSession) -> None:
+    """Ask for the disk of finished work back.
+
+    Spark removes shuffle files once the driver's JVM collects the handles of a plan that nothing refers to any more. A
+    long job that has just cut its lineage asks for that, or its dead files stay until the JVM happens to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows, written to a new Parquet table in the shared checkpoint folder, and that table's path."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``stored_at``; for wide rows, which compress in Parquet."""
+    return stored_at(df, name)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored_at`` that nothing needs any more: what was made of it is itself written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_slices(df: DataFrame, fn: Callable[..., Iterator[tuple] | Sequence[tuple]], schema: str) -> DataFrame:

@@ -18,19 +18,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain64, cut_lineage, map_slices, mix64, stored, words_of
+from .common import chain64, cut_lineage, forget, let_go, map_slices, mix64, stored, stored_at, words_of
 from .components import components
 
 #: Ratio of the ends of a size band, and parity bits kept of each set.
 BAND_RATIO = 1.5
 PARITY_BITS = 512
+#: Bits of a key. Two keys that agree by chance only add a candidate, which the verification drops.
+KEY_BITS = 48
+#: Keys are dealt to so many rounds, each shuffled by itself, so that only a part of them is on disk at a time.
+ROUNDS = 4
 _PARITY = [f"o{i}" for i in range(PARITY_BITS // 64)]
 _NULL_ID = -(2**63)
 
@@ -116,7 +120,7 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
     keys = _keys_in_band(s, k, percent)
     if k and len(s) * percent <= (band(k, percent)[0] - 1) * 100:
         keys += _keys_in_band(s, k - 1, percent)
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
 def _likely(a: str, b: str, percent: int) -> Column:
@@ -126,11 +130,32 @@ def _likely(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets link."""
+def _sets(texts: DataFrame, groups: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, n, s of the wanted sets, made anew from their texts (columns name, text)."""
+    wanted = groups.join(ids, "id").select("id", "h1", "h2", "name")
+
+    def sets_of(texts: list, h1s: list, h2s: list, ids: list) -> Iterator[tuple]:
+        for text, h1, h2, i in zip(texts, h1s, h2s, ids):
+            s = shingles(text, width)
+            if set_id(s) == (h1, h2):  # not so for another text of a repeated doc_id
+                yield i, len(s), s.view(np.int64).tolist()
+
+    rows = texts.join(wanted, "name").select("text", "h1", "h2", "id")
+    return stored(map_slices(rows, sets_of, "id long, n long, s array<long>"), "ngram-members").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sets link. Only sets in a pair that size and parity allow are fetched."""
+    spark = pairs.sparkSession
+    pairs = cut_lineage(pairs)
+    let_go(spark)
+    sets = _sets(texts, groups, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), width)
+    let_go(spark)
     a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su"), F.col("n").alias("nu")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"), F.col("n").alias("nv"))
     shared = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v")
+    linked = cut_lineage(pairs.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v"))
+    let_go(spark)
+    return linked
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -140,47 +165,47 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     def index(row_ids: list, ids: list, texts: list) -> Iterator[tuple]:
         for row, i, text in zip(row_ids, ids, texts):
             s = shingles(text, width)
-            yield row, i, len(s), *set_id(s), keys_of(s, percent).tolist()
-
-    table = stored(map_slices(rows, index, "row_id long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "ngram-index")
-    groups = stored(table.where("n > 0").groupBy("h1", "h2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id"), "row_id")["doc_id"].alias("name")), "ngram-sets")
-    keys = table.join(groups.select(F.col("id").alias("row_id")), "row_id", "left_semi").select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
-    often = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    shared = cut_lineage(keys.join(often, "key"))
-
-    members = shared.select("id").distinct()
-    wanted = groups.join(members, "id").select("id", "h1", "h2", F.coalesce("name", F.lit(_NULL_ID)).alias("name"))
-
-    def sets_of(texts: list, h1s: list, h2s: list, ids: list) -> Iterator[tuple]:
-        for text, h1, h2, i in zip(texts, h1s, h2s, ids):
-            s = shingles(text, width)
-            if set_id(s) == (h1, h2):  # not so for another text of a repeated doc_id
-                yield i, len(s), *parity(s), s.view(np.int64).tolist()
-
-    texts = rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("name"), "text").join(wanted, "name").select("text", "h1", "h2", "id")
-    sets = map_slices(texts, sets_of, f"id long, n long, {', '.join(f'{o} long' for o in _PARITY)}, s array<long>")
-    sets = stored(sets, "ngram-members").dropDuplicates(["id"])
-    marks = sets.select("id", "n", *_PARITY)
-
+            keys = keys_of(s, percent)
+            yield row, i, len(s), *set_id(s), *parity(s), *(keys[keys % ROUNDS == r].tolist() for r in range(ROUNDS))
+
+    deal = [f"k{r}" for r in range(ROUNDS)]
+    columns = ["row_id long, doc_id long, n long, h1 long, h2 long", *(f"{o} long" for o in _PARITY), *(f"{k} array<long>" for k in deal)]
+    table, path = stored_at(map_slices(rows, index, ", ".join(columns)), "ngram-index")
+    same = [F.min(c).alias(c) for c in ("n", *_PARITY)]  # alike in all rows of a set
+    name = F.coalesce(F.min_by(F.struct("doc_id"), "row_id")["doc_id"], F.lit(_NULL_ID)).alias("name")
+    groups = stored(table.where("n > 0").groupBy("h1", "h2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("least"), name, *same), "ngram-sets")
+    first_rows, parts = groups.select(F.col("id").alias("row_id")), []
+    for k in deal:
+        keys = table.select("row_id", k).join(first_rows, "row_id", "left_semi").select(F.explode(k).alias("key"), F.col("row_id").alias("id"))
+        often = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+        parts.append(cut_lineage(keys.join(often, "key")))
+        let_go(docs.sparkSession)
+    shared = reduce(DataFrame.union, parts)
+    table = stored(table.select("row_id", "doc_id", "n", "h1", "h2"), "ngram-rows")
+    forget(docs.sparkSession, path)
+
+    texts = rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("name"), "text")
+    marks = groups.select("id", "n", *_PARITY)
     mass = shared.groupBy("id").agg(F.sum("times").alias("mass"))
     weighed = shared.join(mass, "id").select("key", "id", "mass")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("id")).alias("id")))["id"].alias("hub"))
     spokes = weighed.join(hubs, "key").select("id", (-F.col("hub")).alias("hub")).where("id != hub").distinct()
     spokes = spokes.join(marks.alias("a"), F.col("a.id") == spokes["id"]).join(marks.alias("b"), F.col("b.id") == F.col("hub")).where(_likely("a", "b", percent))
-    first = cut_lineage(_verified(spokes.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), sets, percent))
+    first = _verified(spokes.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), texts, groups, width, percent)
 
     label = components(first)
     placed = shared.select("key", "id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     main = placed.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "c"))["c"].alias("main")).where("kinds > 1")
     open_keys = cut_lineage(placed.join(main, "key").join(marks, "id"))
+    let_go(docs.sparkSession)
     a, b = open_keys.where("c != main").alias("a"), open_keys.alias("b")
     late = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _likely("a", "b", percent))
-    second = _verified(late.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), sets, percent)
+    second = _verified(late.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), texts, groups, width, percent)
 
     label = components(first.union(second)).select(F.col("u").alias("id"), F.col("v").alias("c"))
     linked = groups.join(label, "id", "left").select("h1", "h2", F.coalesce("c", "id").alias("c"), "least")
     least = linked.groupBy("c").agg(F.min("least").alias("component_id"))
-    return table.select("row_id", "doc_id", "n", "h1", "h2"), linked.join(least, "c").select("h1", "h2", "component_id")
+    return table, linked.join(least, "c").select("h1", "h2", "component_id")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -198,5 +223,6 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when each component keeps its document of least id (once)."""
     found = link_documents(docs, id_col, text_col, width, percent)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut_lineage(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    let_go(docs.sparkSession)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
