@@ -58,6 +58,25 @@ def test_quality_keeps_clean_and_drops_noise_and_repetition(spark):
     assert kept == {0}
 
 
+def test_quality_bands_tell_tables_symbol_tails_and_noise_from_prose(spark):
+    import random
+
+    import zstandard
+
+    rng = random.Random(2)
+    syllables = "an ther ing of to re ed st ou nd the sh er at le wh ea or is in en ha on tion ly ble".split()
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(1500)]
+    clean = [" ".join(w + ",."[i % 2] * (rng.random() < 0.1) for i, w in enumerate(words[:n])) for n in (130, 400, 1500)]
+    tables = [" | ".join(words[:n]) for n in (130, 400, 1500)]
+    tails = [" ".join(w + ("&&&", "###", "$$$")[i % 3] for i, w in enumerate(words[:n])) for n in (130, 400, 1500)]
+    noise = [" ".join("".join(rng.choices(of, k=7)) for _ in range(n)) for of in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef") for n in (500, 900, 1500)]
+    rows = {r["doc_id"]: r for r in quality.assess(docs(spark, [*clean, *tables, *tails, *noise])).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert {i for i, r in rows.items() if r["kept"]} == {0, 1, 2}
+    raw = clean[2].encode()[: quality.CHUNK_BYTES] + noise[1].encode()[:4000]
+    assert quality.in_bands(raw, zstandard.ZstdCompressor(level=quality.LEVEL))[2] == 4000 / len(raw)
+
+
 def test_quality_odd_tables(spark):
     frame = docs(spark, ["a b", "a b"])
     assert quality.assess(frame.where("false")).count() == 0
