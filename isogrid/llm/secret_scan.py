@@ -9,7 +9,7 @@ text that it came from, so a match in any layer maps back to a span of the origi
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -29,9 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is "[0-9a-f]+ of 32 or more"
 LEAST_GROUP, LEAST_ACCESS = 8, 16
 
-#: Unwrapped data larger than this is scanned in overlapping windows rather than held whole.
+#: Decompressed data larger than this is scanned in overlapping windows, which end outside any base64 run; one that stays
+#: open is held whole.
 WINDOW_CHARS, OVERLAP_CHARS = 1 << 20, 1 << 14
 MARK = "[SECRET]"
+#: Characters skipped before a run is decoded.
+OFFSETS = (0,)
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
@@ -39,6 +42,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_TABLE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _RUN_TABLE = bytes(120 if re.match(r"[A-Za-z0-9+/_-]", chr(i)) else 32 for i in range(256))
 _ESCAPED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_OUTSIDE = re.compile(r"[^A-Za-z0-9+/_=\s\\-]|[A-Za-z0-9+/_=-][ \t]+(?=[A-Za-z0-9+/_-])")
 COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -101,45 +106,77 @@ def _from_unicode(run: str) -> str | None:
     return b"".join(bytes.fromhex(x) for x in run.split("\\u")[1:]).decode("utf-16-be", "replace")
 
 
-def _unpacked(data: bytes) -> Iterator[str]:
-    """The text of unwrapped bytes, in overlapping windows; nothing if they are neither text nor known compressed data."""
-
-    def pieces() -> Iterator[bytes]:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-            unzip, rest = zlib.decompressobj(47), data
-            while rest and not unzip.eof:
-                yield unzip.decompress(rest, WINDOW_CHARS)
-                rest = unzip.unconsumed_tail
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            yield from zstandard.ZstdDecompressor().read_to_iter(data)
-        else:
-            yield data
-
-    held = ""
+def _to_the_damage(unzip, data: bytes) -> bytes:
+    """All that damaged deflate data gives, in the smallest steps."""
+    out = bytearray()
     try:
-        for piece in pieces():
-            held += piece.decode("utf-8", "replace")
-            while len(held) >= WINDOW_CHARS:
-                yield held[:WINDOW_CHARS]
-                held = held[WINDOW_CHARS - OVERLAP_CHARS :]
-    except (zlib.error, zstandard.ZstdError):
-        return  # damaged data: what came out before is kept
-    if held:
+        for at in range(len(data)):
+            rest = data[at : at + 1]
+            while (piece := unzip.decompress(rest, 1)) or unzip.unconsumed_tail:
+                out += piece
+                rest = unzip.unconsumed_tail
+    except zlib.error:
+        pass
+    return bytes(out)
+
+
+def _inflated(data: memoryview) -> Iterator[bytes]:
+    """What gzip, zlib or zstandard data at the start gives, up to its end or first damage."""
+    if data[:1] == b"\x28":
+        try:
+            yield from zstandard.ZstdDecompressor().read_to_iter(data, read_size=1)  # blocks before the damage come out
+        except zstandard.ZstdError:
+            pass
+        return
+    unzip, at, rest = zlib.decompressobj(47), 0, b""
+    while not unzip.eof:
+        part = rest or bytes(data[at : at + 4096])
+        at += 0 if rest else 4096
+        before = unzip.copy()
+        try:
+            out = unzip.decompress(part, 1 << 16)
+        except zlib.error:
+            yield _to_the_damage(before, part)
+            return
+        if not (out or part):
+            return
+        yield out
+        rest = unzip.unconsumed_tail
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The text of the pieces, cut into overlapping windows where it is long."""
+    decoder, held, most = codecs.getincrementaldecoder("utf-8")("replace"), "", WINDOW_CHARS
+    for piece in pieces:
+        held += decoder.decode(piece)
+        if len(held) >= most:
+            cut = next((ends[-1] for k in (1 << 12, len(held)) if (ends := [m.end() for m in _OUTSIDE.finditer(held, max(0, len(held) - k))])), 0)
+            if cut > OVERLAP_CHARS:
+                yield held[:cut]
+                held = held[cut - OVERLAP_CHARS :]
+            most = max(WINDOW_CHARS, 2 * len(held))
+    if held := held + decoder.decode(b"", True):
         yield held
 
 
+def _worth(raw: bytes) -> bool:
+    """Whether a layer can hold a match or another layer; most runs are words, whose decoded bytes can't."""
+    low = raw.lower()
+    return any(x in low for x in (b"passw", b"secret", b"token", b"api", b"akia")) or bool(_ESCAPED.search(raw)) or b"x" * 16 in raw.translate(_RUN_TABLE)
+
+
 def _from_base64(run: str) -> Iterator[str]:
+    """The text of a base64 run, and what compressed data anywhere in it gives; a prefix of it may be no base64."""
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
-    for text in _unpacked(data):
-        odd = sum(not (c.isprintable() or c in "\t\n\r\x0b\x0c") or c == "�" for c in text[:4096])
-        if odd * 10 <= min(len(text), 4096):
-            yield text
+    for skip in OFFSETS:
+        part = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        if _worth(data):
+            yield data.decode("utf-8", "replace")
+        for m in _PACKED.finditer(data):
+            for text in _windows(_inflated(memoryview(data)[m.start() :])):
+                if _worth(text.encode("utf-8", "surrogatepass")):
+                    yield text
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
