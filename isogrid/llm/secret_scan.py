@@ -1,7 +1,7 @@
 """Secret scans by a recursive decoding worklist.
 
 Every text is a first layer. A layer is scanned by the patterns; then its URL escapes, Unicode escapes and base64 runs
-(plain, or holding gzip, zlib or zstandard data) are unwrapped into further layers, which go on the worklist. Digests of
+(plain, or holding gzip, zlib or zstandard data; each by itself and with the lines that go on with it) are unwrapped into further layers, which go on the worklist. Digests of
 layers already seen stop cycles, so the list runs dry. Each character of a layer knows the stretch of the original
 text that it came from, so a match in any layer maps back to a span of the original.
 """
@@ -33,12 +33,18 @@ LEAST_GROUP, LEAST_ACCESS = 8, 16
 #: open is held whole.
 WINDOW_CHARS, OVERLAP_CHARS = 1 << 20, 1 << 14
 MARK = "[SECRET]"
-#: Characters skipped before a run is decoded.
-OFFSETS = (0,)
+#: Characters skipped before a run is decoded, as a path or a name may stand before the payload.
+OFFSETS = (0, 1, 2, 3)
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: No first line of a wrapped run is longer that isn't a run itself: 15 characters, line end and indent.
+FIRST_CHARS = 256
+#: Further lines of a wrapped run, also where line ends are written as escapes, and a short first line of it.
+_LINES = re.compile(r"(?:(?:[ \t]*(?:\r?\n|(?:\\r)?\\n))+[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_FIRST_LINE = re.compile(r"[A-Za-z0-9+/_-]+[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*\Z")
+_LINE_END = re.compile(r"\\[rn]|\s")
 _HEX_TABLE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _RUN_TABLE = bytes(120 if re.match(r"[A-Za-z0-9+/_-]", chr(i)) else 32 for i in range(256))
 _ESCAPED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#")
@@ -186,9 +192,16 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         yield new
     if ("\\" in text or "&#" in text) and (new := layer.replaced(_UNICODE, _from_unicode)):
         yield new
+    joined = 0
     for m in _BASE64.finditer(text):
         for inner in _from_base64(m[0]):
             yield layer.inner(m.start(), m.end(), inner)
+        if m.end() > joined:
+            before, after = _FIRST_LINE.search(text, max(0, m.start() - FIRST_CHARS), m.start()), _LINES.match(text, m.end())
+            start, joined = before.start() if before else m.start(), after.end() if after else m.end()
+            if before or after:
+                for inner in _from_base64(_LINE_END.sub("", text[start:joined])):
+                    yield layer.inner(start, joined, inner)
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -157,6 +157,31 @@ def test_secrets_in_binary_damaged_and_long_layers():
         assert (text[start:end], more) == (text[2:-2].rstrip("=") + "=" * text.count("="), []), n
 
 
+def test_secrets_in_wrapped_and_prefixed_base64():
+    import random
+    import textwrap
+    import zlib
+
+    import zstandard
+
+    rng = random.Random(5)
+    noise = " ".join(str(rng.random()) for _ in range(60)).encode()
+    plain = b"some text before it, 123456789012345 and password: hunter2hunter2 more"
+    for data in (plain, gzip.compress(noise + plain), zlib.compress(noise + plain), zstandard.compress(noise + plain)):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            run = encode(data).decode()
+            for width in (64, 76):
+                for end in ("\n", "\r\n", "\n    ", "\\n"):
+                    for lead in ("key: |\n    ", "data "):
+                        text = lead + end.join(textwrap.wrap(run, width, break_on_hyphens=False)) + "\nand so on."
+                        assert any(text[a:b].startswith(run[:60]) for a, _, b in secret_scan.find_secrets(text)[1]), text
+                        assert run[60:] not in secret_scan.redact(text)
+            for lead in ("/download/", "key_", "a-", "x/yz/", "/"):
+                assert "[SECRET]" in secret_scan.redact(f"see {lead}{run} there"), (lead, run)
+    prose = "one word\nandsomeverylongwordsinaline\nand another line\nwithverylongwordsinit too"
+    assert secret_scan.find_secrets(prose)[1] == []
+
+
 def test_redaction_keeps_rows_and_clean_texts(spark):
     out = {r["doc_id"]: r for r in secret_scan.redact_documents(docs(spark, SECRETS)).collect()}
     assert len(out) == len(SECRETS)
