@@ -6,7 +6,8 @@ by how much they repeat each other given the label; its posterior labels train a
 documents. Labels are read from training rows only; lang, source and ids are never features.
 
 The model is fitted on bounded samples (MOST_LABELLED, MOST_UNLABELLED rows, in the order of a hash of the id); every
-document is scored.
+document is scored. Where the bounds thin out one class more than the other, rows are weighted back to the class rate of
+all training labels.
 """
 
 from __future__ import annotations
@@ -98,9 +99,11 @@ class Voters:
         return np.concatenate([by_stem, np.array(rest, np.int8)])
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
+def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Posterior P(toxic) by row. gold: 1, 0, or -1 where unknown; a known label fixes its row's posterior near it.
 
+    weight: how many rows a row stands for, 1 on average over the labelled ones.
+
     Rows without a label count UNLABELLED_WEIGHT each, so that they refine the voters but can't turn the classes round.
     Each voter has a chance of each vote given the label, with add-one smoothing. Correlation: voters whose votes
     co-vary given the label share their weight, a voter's being 1 / (1 + sum of its squared correlations).
@@ -108,11 +111,12 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int =
     kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # (vote, row, voter)
     trust = np.select([gold == 1, gold == 0], [0.98, 0.02], 0.5)
     post = np.where(gold >= 0, trust, prior)
-    share = np.where(gold >= 0, 1.0, UNLABELLED_WEIGHT)
+    share = weight * np.where(gold >= 0, 1.0, UNLABELLED_WEIGHT)
     damp = np.ones(votes.shape[1])
     for _ in range(rounds):
         like = [((kinds * p[None, :, None]).sum(1) + 1) / (p.sum() + 3) for p in (post * share, (1 - post) * share)]
-        rest = votes - (post @ votes / max(post.sum(), 1e-9))[None] * post[:, None] - ((1 - post) @ votes / max((1 - post).sum(), 1e-9))[None] * (1 - post)[:, None]
+        by_class = [(p @ votes / max(p.sum(), 1e-9))[None] for p in (weight * post, weight * (1 - post))]
+        rest = np.sqrt(weight)[:, None] * (votes - by_class[0] * post[:, None] - by_class[1] * (1 - post)[:, None])
         rest = rest / np.maximum(np.sqrt((rest**2).sum(0)), 1e-9)
         damp = 1 / np.maximum((np.abs(rest.T @ rest) ** 2).sum(0), 1.0)
         ratio = np.log(like[0] / like[1]) * damp[None]
@@ -145,11 +149,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MOD == 0, F.lit(True))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of all documents with a label that training may read."""
+    return labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def class_weights(labels: DataFrame) -> tuple[float, float]:
+    """What a sampled clean and a sampled toxic row count, 1 on average: the class's labels over its sampled ones."""
+    count = {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()}
+    taken = [min(count.get(v, 0), MOST_LABELLED // 2) for v in (0, 1)]
+    thinned = sum(count.values()) / max(1, sum(taken))
+    return tuple(count[v] / taken[v] / thinned if taken[v] else 1.0 for v in (0, 1))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """text, toxic (-1 unknown) of the sample that the model is fitted on; ids and labels alone are sorted for it."""
     order = F.col("_order")
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.select("doc_id", "toxic", shuffled(F.col("doc_id"), "toxicity").alias("_order"))
+    known = known_labels(labels).select("doc_id", "toxic", shuffled(F.col("doc_id"), "toxicity").alias("_order"))
     toxic = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_LABELLED // 2)
     clean = known.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_LABELLED // 2)
     ids = docs.select(F.col(id_col).alias("doc_id")).where(~held_out(F.col("doc_id"))).select("doc_id", F.lit(-1).alias("toxic"), shuffled(F.col("doc_id"), "unlabelled").alias("_order"))
@@ -164,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = cut_lineage(sampled(docs, labels, id_col, text_col).repartition(24))
     n1, n0 = (sample.where(F.col("toxic") == v).count() for v in (1, 0))
+    c0, c1 = class_weights(labels)
+    rate = c1 * n1 / max(1e-9, c1 * n1 + c0 * n0)
 
     def count(texts: list, toxic: list) -> Iterator[tuple]:
         rows, words, all_words = Counter(), Counter(), Counter()
@@ -189,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = stats.where("stem = ''").first()
     t1, t0 = (max(1, total["w1"]), max(1, total["w0"])) if total else (1, 1)
     ratio = ((F.col("w1") + 0.5) / t1) / ((F.col("w0") + 0.5) / t0)
-    share = (F.col("r1") + F.col("r0")) / (n1 + n0)
+    share = rate * F.col("r1") / max(1, n1) + (1 - rate) * F.col("r0") / max(1, n0)
     error = F.sqrt(share * (1 - share) * (1 / max(1, n1) + 1 / max(1, n0)))
     stands_out = F.col("r1") / max(1, n1) - F.col("r0") / max(1, n0) >= STEM_ERRORS * error
     best = stats.where((F.col("stem") != "") & (ratio >= STEM_RATIO) & stands_out).select("stem", F.log(ratio).alias("weight"), (F.col("w1") * F.log(ratio)).alias("gain"))
@@ -210,9 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = [(np.array(s), np.array(m)) for s, m in zip(rows.column("stems").to_pylist(), rows.column("more").to_pylist())]
     votes = np.stack([voters.votes(s, m) for s, m in pairs]).astype(float)
     x = np.stack([voters.features(s, m) for s, m in pairs])
-    prior = min(max(n1 / (n1 + n0), 0.02), 0.98)
-    posterior = label_model(votes, gold, prior)
-    w, b = train_linear(x, posterior, np.where(gold >= 0, 1.0, 0.25))
+    prior = min(max(rate, 0.02), 0.98)
+    weight = np.select([gold == 1, gold == 0], [c1, c0], 1.0)
+    posterior = label_model(votes, gold, prior, weight)
+    w, b = train_linear(x, posterior, weight * np.where(gold >= 0, 1.0, 0.25))
     return stems, weights, w, b
 
 

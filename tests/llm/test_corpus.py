@@ -221,6 +221,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([p for p, t in held if t]) > 0.6
 
 
+def test_toxicity_keeps_the_class_rate_where_the_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=20)) for _ in range(800)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(800)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 80)
+    scores = [r["score"] for r in toxicity.score(docs(spark, texts), labels).collect()]
+    assert 0.05 < np.mean(scores) < 0.2
+
+
 def test_toxicity_odd_tables(spark):
     frame = docs(spark, ["you idiot moron", "fine text", None, "", "fine text"], [1, 2, 3, None, 2])
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
