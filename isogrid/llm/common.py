@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a new folder is taken.
+    Where that is unset, a local master gets a new folder; a cluster gets an error, as its executors share no such folder.
     """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="isogrid-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -76,6 +78,14 @@ def forget(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so (Spark compares names without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_slices(df: DataFrame, fn: Callable[..., Iterator[tuple] | Sequence[tuple]], schema: str) -> DataFrame:
     """Apply ``fn`` to lists of column values, a slice of rows at a time; it returns tuples in ``schema``'s order.
 

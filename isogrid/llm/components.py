@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import forget, stored_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each node of ``edges`` (columns u, v; u != v) but the least of its component, with that least one.
 
-    The node of a huge star is never gathered: minima are pre-aggregated and joins on it can be split. Each round is
-    written to the shared checkpoint folder; rounds end when nothing changes.
+    Repeated edges count once; an empty table gives an empty one. The node of a huge star is never gathered: minima are
+    pre-aggregated and joins on it can be split. Each round is a table in the shared checkpoint folder, deleted when the
+    next one is there; rounds end when nothing changes.
     """
-    now = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    now, path = stored_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now
-        before, now = mark, cut_lineage(_small_star(_large_star(now)))
+        following, new_path = stored_at(_small_star(_large_star(now)), "edges")
+        forget(spark, path)
+        before, now, path = mark, following, new_path

@@ -1,17 +1,19 @@
 """N-gram Jaccard self-join by universe partitioning and the pigeonhole principle.
 
 A document is its set of distinct word shingles, as 64-bit hashes. Sizes fall into bands. In a band, sets that link
-differ in at most H elements, so if the universe of hashes is cut into more than H segments, two linked sets agree on
-one segment wholly. Each set is indexed by a key for each segment of its band, and of the band below if it may link
-there. Segments that both sets lack don't count as agreement: bands get as many more segments as leaves most sets H + 1
-that they do have, and a set short of that also gets the one-deletion neighbourhoods of its segments, which settle
-segments that differ in one element, so that such a segment counts twice. A set too small even for that also gets the
-keys of its least elements (prefix filter). So no link is lost, and the costly neighbourhoods are spent on few sets.
+differ in at most H elements, and the universe of hashes is cut into somewhat more than H + 1 segments. What each
+segment costs is measured over all sets: how many share their elements of it with another set. A set's budget of H + 1 is
+then allotted by cost, the cheapest segments first: one for a segment that it has elements in, which is indexed by these,
+and if that does not reach H + 1, one more for segments of two elements or more, which are also indexed by their
+one-deletion neighbourhoods (and so still meet when one element differs). The order is the same for all sets of a band, so
+of two sets that link, the one whose allotment ends first is covered by the other's: its H + 1 exceed the elements that
+differ, so one of its segments meets. A set whose elements crowd into so few segments that even this falls short also
+gets the keys of its least elements (prefix filter). So no link is lost, and hot segments are left out where others do.
 
 Equal sets are joined first. Sets that share a key are then linked in two steps, so that a group of many near copies
 isn't expanded into pairs: all of a key's sets are compared with the one that shares most keys; then only sets that
-stayed outside the key's main component are compared with the others. Before sets are fetched, 512 parity bits give a
-lower bound of their difference; what remains is verified on the sets.
+stayed outside the key's main component are compared with the others. Before sets are fetched, parity bits (as many as a
+set has elements, at least 512) give a lower bound of their difference; what remains is verified on the sets.
 """
 
 from __future__ import annotations
@@ -21,22 +23,32 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chain64, cut_lineage, forget, let_go, map_slices, mix64, stored, stored_at, words_of
+from .common import chain64, forget, let_go, map_slices, mix64, stored, stored_at, unused, words_of
 from .components import components
 
-#: Ratio of the ends of a size band, and parity bits kept of each set.
+#: Ratio of the ends of a size band, and least number of parity bits of a set.
 BAND_RATIO = 1.5
 PARITY_BITS = 512
 #: Bits of a key. Two keys that agree by chance only add a candidate, which the verification drops.
 KEY_BITS = 48
+#: Share of segments beyond H + 1 that allotments can leave out.
+SPARE = 0.1
 #: Keys are dealt to so many rounds, each shuffled by itself, so that only a part of them is on disk at a time.
 ROUNDS = 4
-_PARITY = [f"o{i}" for i in range(PARITY_BITS // 64)]
-_NULL_ID = -(2**63)
+#: Costs are kept for bands up to this size (some 100,000 numbers, which are broadcast); larger ones keep the natural order.
+RANKED_SIZE = 1 << 16
+#: Keys among which a task counts repeats, and pairs of one set that go to one task.
+MEASURED_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 256
+
+#: Keys of one set in one band: segments with elements and their keys; segments and keys of the neighbourhoods, and
+#: the keys of the least elements, where H + 1 is not reached without them.
+BandKeys = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -61,159 +73,316 @@ def set_id(hashes: np.ndarray) -> tuple[int, int]:
 
 def parity(hashes: np.ndarray) -> list[int]:
     """Parity bits: the bits in which those of two sets differ are at most as many as the elements that they do."""
-    counts = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+    bits = max(PARITY_BITS, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else PARITY_BITS
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 @lru_cache(maxsize=4096)
 def band(k: int, percent: int) -> tuple[int, int, int, int]:
     """(least size, end, H, segments) of the k-th band.
 
-    Segments: at least H + 1, and more as long as the least sets of the band are likely to lack some of them; each
-    segment costs a key, each set left short costs a key for every element.
+    H holds for any two sets that link of which the smaller is in the band. Segments: so many that the least sets of the
+    band are likely to have elements in H + 1 and some to spare.
     """
     low = 1 if k == 0 else band(k - 1, percent)[1]
     end = max(low + 1, int(low * BAND_RATIO))
     most = (end - 1) * (100 - percent) // percent
     segments = most + 1
-    while most and segments < 1.5 * (most + 1):
+    while most and segments < 2 * (most + 1):
         lacking = segments * math.exp(-low / segments)
-        if segments - lacking - 2 * math.sqrt(lacking) >= most + 1:
+        if segments - lacking - math.sqrt(lacking) >= (1 + SPARE) * (most + 1):
             break
         segments += 1
     return low, end, most, segments
 
 
 @lru_cache(maxsize=1 << 16)
-def band_of(size: int, percent: int) -> int:
+def bands_of(size: int, percent: int) -> tuple[int, ...]:
+    """The bands that a set of this size is indexed in: its own, and all below that hold sets it may link with."""
     k = 0
     while band(k, percent)[1] <= size:
         k += 1
-    return k
+    out = [k]
+    while k and size * percent <= (band(k - 1, percent)[1] - 1) * 100:
+        k -= 1
+        out.append(k)
+    return tuple(out)
 
 
-def _keys_in_band(s: np.ndarray, k: int, percent: int) -> list[np.ndarray]:
+def _in_band(s: np.ndarray, k: int, percent: int) -> BandKeys:
     _, _, most, segments = band(k, percent)
     mixed = mix64(s)
     segment = ((s >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)  # grows with s
     first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     total, name = np.add.reduceat(mixed, first), segment[first]
-    tagged = lambda sums, names, tag: chain64(chain64(np.full(len(sums), np.uint64(4 * k + tag)), names), sums)
-    keys = [tagged(total, name, 0)]
-    short = most + 1 - len(first)
-    if short > 0:
-        sizes = np.diff(np.append(first, len(s)))
-        where = np.repeat(np.arange(len(first)), sizes)
-        more = sizes[where] > 1
-        keys += [tagged(total, name, 1), tagged(total[where][more] - mixed[more], segment[more], 1)]
-        if (sizes > 1).sum() < short:
-            prefix = len(s) - -(-len(s) * percent // 100) + 1
-            keys.append(chain64(np.full(prefix, np.uint64(3)), s[:prefix]))
-    return keys
-
-
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
+
+    def tagged(sums: np.ndarray, names: np.ndarray, tag: int) -> np.ndarray:
+        return chain64(chain64(np.full(len(sums), np.uint64(4 * k + tag)), names), sums) >> np.uint64(64 - KEY_BITS)
+
+    none = np.empty(0, np.uint64)
+    if len(first) > most:
+        return k, name, tagged(total, name, 0), none, none, none
+    sizes = np.diff(np.append(first, len(s)))
+    where = np.repeat(np.arange(len(first)), sizes)
+    more = sizes[where] > 1
+    near_names = np.concatenate([name, segment[more]])
+    near = np.concatenate([tagged(total, name, 1), tagged(total[where][more] - mixed[more], segment[more], 1)])
+    least = none
+    if len(first) + (sizes > 1).sum() <= most:
+        prefix = len(s) - -(-len(s) * percent // 100) + 1
+        least = chain64(np.full(prefix, np.uint64(3)), s[:prefix]) >> np.uint64(64 - KEY_BITS)
+    return k, name, tagged(total, name, 0), near_names, near, least
+
+
+def segment_keys(s: np.ndarray, percent: int) -> list[BandKeys]:
+    """All keys that an allotment can choose from, by band."""
+    return [_in_band(s, k, percent) for k in bands_of(len(s), percent)] if len(s) else []
+
+
+def allotted(found: list[BandKeys], percent: int, ranks: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """The distinct keys of a set: H + 1 in each band, cheapest segments first. ranks: band -> place of each segment."""
+    keys = []
+    for k, name, exact, near_name, near, least in found:
+        need, place = band(k, percent)[2] + 1, ranks[k] if ranks and k in ranks else None
+        rank = lambda names, place=place: names if place is None else place[names.astype(np.int64)]
+        if len(name) >= need:
+            keys.append(exact[np.argpartition(rank(name), need - 1)[:need]] if len(name) > need else exact)
+            continue
+        keys += [exact, least]
+        names, count = np.unique(near_name, return_counts=True)
+        twice = np.sort(rank(names[count > 1]))
+        keys.append(near if len(twice) < need - len(name) else near[rank(near_name) <= twice[need - len(name) - 1]])
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
+
+
+def keys_of(s: np.ndarray, percent: int, ranks: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """The distinct keys of a set of hashes."""
-    if not len(s):
-        return np.empty(0, np.int64)
-    k = band_of(len(s), percent)
-    keys = _keys_in_band(s, k, percent)
-    if k and len(s) * percent <= (band(k, percent)[0] - 1) * 100:
-        keys += _keys_in_band(s, k - 1, percent)
-    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).view(np.int64)
+    return allotted(segment_keys(s, percent), percent, ranks)
+
+
+def packed(found: list[BandKeys], percent: int) -> bytes:
+    """Compact form of ``segment_keys``: a bit for each segment, and KEY_BITS / 8 bytes for each key."""
+    out = []
+    for k, name, exact, near_name, near, least in found:
+        has = np.zeros(band(k, percent)[3], bool)
+        has[name.astype(np.int64)] = True
+        out += [np.array([len(near), len(least)], "<u4").tobytes(), np.packbits(has).tobytes(), near_name.astype("<u4").tobytes()]
+        out += [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes() for x in (exact, near, least)]
+    return b"".join(out)
+
+
+def unpacked(raw: bytes, size: int, percent: int) -> list[BandKeys]:
+    """``segment_keys`` of a set of this size, from the compact form."""
+    out, at = [], 0
+
+    def take(n: int, kind: str, width: int) -> np.ndarray:
+        nonlocal at
+        at += n * width
+        return np.frombuffer(raw, kind, n * width // np.dtype(kind).itemsize, at - n * width)
+
+    def keys(n: int) -> np.ndarray:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, : KEY_BITS // 8] = take(n, "u1", KEY_BITS // 8).reshape(n, KEY_BITS // 8)
+        return wide.view(np.uint64).reshape(-1)
+
+    for k in bands_of(size, percent) if size else ():
+        n_near, n_least = (int(x) for x in take(2, "<u4", 4))
+        segments = band(k, percent)[3]
+        name = np.flatnonzero(np.unpackbits(take(-(-segments // 8), "u1", 1))[:segments]).astype(np.uint64)
+        near_name = take(n_near, "<u4", 4).astype(np.uint64)
+        out.append((k, name, keys(len(name)), near_name, keys(n_near), keys(n_least)))
+    return out
+
+
+def segment_costs(sets: DataFrame, percent: int) -> DataFrame:
+    """band, segment, cost: how many sets share their key of it with another set, among those that a task holds at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            bands, names, keys = (np.concatenate(x) for x in zip(*held))
+            _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
+            again = count[where] > 1
+            both, cost = np.unique(bands[again] << np.int64(32) | names[again], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((both >> 32).astype(np.int32)), pa.array((both & 0xFFFFFFFF).astype(np.int32)), pa.array(cost.astype(np.int64))], names=["band", "segment", "cost"])
+
+        for batch in batches:
+            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, name, exact, *_ in unpacked(raw, n, percent):
+                    if band(k, percent)[1] <= RANKED_SIZE:
+                        held.append((np.full(len(name), k, np.int64), name.astype(np.int64), exact))
+                        size += len(name)
+                if size >= MEASURED_AT_ONCE:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return sets.select("n", "keys").mapInArrow(run, "band int, segment int, cost long").groupBy("band", "segment").agg(F.sum("cost").alias("cost"))
+
+
+def segment_ranks(sets: DataFrame, percent: int) -> dict[int, np.ndarray]:
+    """band -> the place of each segment in the order of cost; bands up to RANKED_SIZE, so bounded whatever the data."""
+    found: dict[int, list] = {}
+    for r in segment_costs(sets, percent).collect():
+        found.setdefault(r["band"], []).append((r["segment"], r["cost"]))
+    ranks = {}
+    for k, costs in found.items():
+        cost = np.zeros(band(k, percent)[3], np.int64)
+        at, value = zip(*costs)
+        cost[list(at)] = value
+        ranks[k] = np.argsort(np.argsort(cost, kind="stable"), kind="stable")
+    return ranks
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parity bits of two sets allow a link; the longer bits are folded onto the shorter."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    pa_, pb = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    width = F.least(F.size(pa_), F.size(pb))
 
+    def fold(bits: Column) -> Column:
+        return F.when(F.size(bits) > width, F.zip_with(F.slice(bits, 1, width), F.slice(bits, width + 1, width), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
 
-def _likely(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and parity bits of two sets allow a link."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in _PARITY[1:]), F.bit_count(F.col(f"{a}.{_PARITY[0]}").bitwiseXOR(F.col(f"{b}.{_PARITY[0]}"))))
+    differ = F.aggregate(F.zip_with(fold(pa_), fold(pb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _sets(texts: DataFrame, groups: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, n, s of the wanted sets, made anew from their texts (columns name, text)."""
-    wanted = groups.join(ids, "id").select("id", "h1", "h2", "name")
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """id, n, s of the wanted sets (columns name, id, h1, h2), made anew from their texts (columns name, text).
+
+    ``wanted`` is a small stored table, so the planner knows its size: below its limit it is broadcast and the texts stay
+    where they are, above it both sides are shuffled.
+    """
 
     def sets_of(texts: list, h1s: list, h2s: list, ids: list) -> Iterator[tuple]:
         for text, h1, h2, i in zip(texts, h1s, h2s, ids):
             s = shingles(text, width)
-            if set_id(s) == (h1, h2):  # not so for another text of a repeated doc_id
+            if set_id(s) == (h1, h2):
                 yield i, len(s), s.view(np.int64).tolist()
 
     rows = texts.join(wanted, "name").select("text", "h1", "h2", "id")
-    return stored(map_slices(rows, sets_of, "id long, n long, s array<long>"), "ngram-members").dropDuplicates(["id"])
+    return stored_at(map_slices(rows, sets_of, "id long, n long, s array<long>"), "ngram-members")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose sets link. Only sets in a pair that size and parity allow are fetched."""
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
+    """Those of the pairs (u, v) whose sets link, stored.
+
+    Only sets in one of these pairs are fetched. A set in many pairs goes to several tasks, each with some of its pairs.
+    """
     spark = pairs.sparkSession
-    pairs = cut_lineage(pairs)
+    pairs, pairs_path = stored_at(pairs, "ngram-pairs")
     let_go(spark)
-    sets = _sets(texts, groups, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), width)
+    often = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.floor(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("more"))
+    wanted, wanted_path = stored_at(marks.select("id", "h1", "h2", "name").join(often, "id"), "ngram-wanted")
+    sets, sets_path = _sets(texts, wanted.select("name", "id", "h1", "h2"), width)
     let_go(spark)
-    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su"), F.col("n").alias("nu")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"), F.col("n").alias("nv"))
-    shared = F.size(F.array_intersect("su", "sv"))
-    linked = cut_lineage(pairs.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.col("nu") + F.col("nv") - shared)).select("u", "v"))
+    sides = {}
+    for side, other in (("u", "v"), ("v", "u")):
+        more = wanted.where("more > 0").select(F.col("id").alias(side), F.col("more").alias(f"more_{side}"))
+        pairs = pairs.join(more, side, "left").withColumn(f"copy_{side}", F.when(F.col(f"more_{side}").isNull(), 0).otherwise(F.pmod(F.hash(other), F.col(f"more_{side}") + 1)))
+        copies = sets.join(wanted.select("id", "more"), "id").select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}"), F.explode(F.sequence(F.lit(0), "more")).alias(f"copy_{side}"))
+        sides[side] = copies
+    both = pairs.select("u", "v", "copy_u", "copy_v").join(sides["u"], ["u", "copy_u"]).join(sides["v"], ["v", "copy_v"])
+    shared = F.size(F.array_intersect("s_u", "s_v"))
+    linked = both.where(100 * shared >= percent * (F.col("n_u") + F.col("n_v") - shared)).select("u", "v").distinct()
+    out = stored_at(linked, "ngram-links")
+    for path in (pairs_path, wanted_path, sets_path):
+        forget(spark, path)
     let_go(spark)
-    return linked
+    return out
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with their sets' 128 bits, and for each distinct set its component's least doc_id."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _named(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A name for a row's id and text; repeated rows have the same."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
-    def index(row_ids: list, ids: list, texts: list) -> Iterator[tuple]:
-        for row, i, text in zip(row_ids, ids, texts):
-            s = shingles(text, width)
-            keys = keys_of(s, percent)
-            yield row, i, len(s), *set_id(s), *parity(s), *(keys[keys % ROUNDS == r].tolist() for r in range(ROUNDS))
-
-    deal = [f"k{r}" for r in range(ROUNDS)]
-    columns = ["row_id long, doc_id long, n long, h1 long, h2 long", *(f"{o} long" for o in _PARITY), *(f"{k} array<long>" for k in deal)]
-    table, path = stored_at(map_slices(rows, index, ", ".join(columns)), "ngram-index")
-    same = [F.min(c).alias(c) for c in ("n", *_PARITY)]  # alike in all rows of a set
-    name = F.coalesce(F.min_by(F.struct("doc_id"), "row_id")["doc_id"], F.lit(_NULL_ID)).alias("name")
-    groups = stored(table.where("n > 0").groupBy("h1", "h2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("least"), name, *same), "ngram-sets")
-    first_rows, parts = groups.select(F.col("id").alias("row_id")), []
-    for k in deal:
-        keys = table.select("row_id", k).join(first_rows, "row_id", "left_semi").select(F.explode(k).alias("key"), F.col("row_id").alias("id"))
+
+def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, times of the allotted keys that more than one set has."""
+    spark = sets.sparkSession
+    ranks = spark.sparkContext.broadcast(segment_ranks(sets, percent))
+
+    def choose(ids: list, sizes: list, raws: list) -> Iterator[tuple]:
+        for i, n, raw in zip(ids, sizes, raws):
+            yield i, allotted(unpacked(raw, n, percent), percent, ranks.value).tolist()
+
+    table, path = stored_at(map_slices(sets.select("id", "n", "keys"), choose, "id long, keys array<long>"), "ngram-keys")
+    parts = []
+    for r in range(ROUNDS):
+        keys = table.select("id", F.explode(F.filter("keys", lambda k: k % ROUNDS == r)).alias("key"))  # noqa: B023
         often = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-        parts.append(cut_lineage(keys.join(often, "key")))
-        let_go(docs.sparkSession)
-    shared = reduce(DataFrame.union, parts)
-    table = stored(table.select("row_id", "doc_id", "n", "h1", "h2"), "ngram-rows")
-    forget(docs.sparkSession, path)
-
-    texts = rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("name"), "text")
-    marks = groups.select("id", "n", *_PARITY)
+        parts.append(stored(keys.join(often, "key"), "ngram-shared"))
+        let_go(spark)
+    forget(spark, path)
+    return reduce(DataFrame.union, parts)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, name, n, h1, h2), and for each distinct set (h1, h2) its component c and that one's least doc_id."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _named(docs, id_col, text_col).alias("name"))
+    rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "name", "text")
+
+    def index(row_ids: list, ids: list, names: list, texts: list) -> Iterator[tuple]:
+        for row, i, name, text in zip(row_ids, ids, names, texts):
+            s = shingles(text, width)
+            yield row, i, name, len(s), *set_id(s), parity(s), packed(segment_keys(s, percent), percent)
+
+    index_table, index_path = stored_at(map_slices(rows, index, "row_id long, doc_id long, name long, n long, h1 long, h2 long, bits array<long>, keys binary"), "ngram-index")
+    groups = stored(index_table.where("n > 0").groupBy("h1", "h2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("least")), "ngram-sets")
+    slim = stored(index_table.select("doc_id", "name", "n", "h1", "h2"), "ngram-rows")
+    sets, sets_path = stored_at(index_table.withColumnRenamed("row_id", "id").join(groups.select("id"), "id", "left_semi"), "ngram-firsts")
+    forget(spark, index_path)
+    let_go(spark)
+    marks = stored(sets.select("id", "n", "h1", "h2", "name", "bits"), "ngram-marks")
+    shared = _shared_keys(sets, percent)
+    forget(spark, sets_path)
+
     mass = shared.groupBy("id").agg(F.sum("times").alias("mass"))
     weighed = shared.join(mass, "id").select("key", "id", "mass")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("mass", (-F.col("id")).alias("id")))["id"].alias("hub"))
     spokes = weighed.join(hubs, "key").select("id", (-F.col("hub")).alias("hub")).where("id != hub").distinct()
-    spokes = spokes.join(marks.alias("a"), F.col("a.id") == spokes["id"]).join(marks.alias("b"), F.col("b.id") == F.col("hub")).where(_likely("a", "b", percent))
-    first = _verified(spokes.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), texts, groups, width, percent)
+    sketch = marks.select("id", "n", "bits")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v), without repeats, that may link."""
+        once = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return once.join(sketch.alias("a"), F.col("a.id") == F.col("u")).join(sketch.alias("b"), F.col("b.id") == F.col("v")).where(_may_link("a", "b", percent)).select("u", "v")
+
+    first, _ = _verified(likely(spokes.select(F.col("id").alias("u"), F.col("hub").alias("v"))), texts, marks, width, percent)
 
     label = components(first)
     placed = shared.select("key", "id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     main = placed.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "c"))["c"].alias("main")).where("kinds > 1")
-    open_keys = cut_lineage(placed.join(main, "key").join(marks, "id"))
-    let_go(docs.sparkSession)
+    brief = marks.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(PARITY_BITS // 64 - 1)), lambda k: F.aggregate(F.filter("bits", lambda _, j: j % (PARITY_BITS // 64) == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))).alias("bits"))
+    open_keys, open_path = stored_at(placed.join(main, "key").join(brief, "id"), "ngram-open")
+    let_go(spark)
     a, b = open_keys.where("c != main").alias("a"), open_keys.alias("b")
-    late = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _likely("a", "b", percent))
-    second = _verified(late.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct(), texts, groups, width, percent)
+    late = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent))
+    second, _ = _verified(likely(late.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))), texts, marks, width, percent)
+    forget(spark, open_path)
 
     label = components(first.union(second)).select(F.col("u").alias("id"), F.col("v").alias("c"))
     linked = groups.join(label, "id", "left").select("h1", "h2", F.coalesce("c", "id").alias("c"), "least")
     least = linked.groupBy("c").agg(F.min("least").alias("component_id"))
-    return table, linked.join(least, "c").select("h1", "h2", "component_id")
+    return slim, linked.join(least, "c").select("h1", "h2", "c", "component_id")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the least doc_id that links lead to, its own included.
 
-    Two rows link when their sets share at least ``percent`` % of their union. Null and empty texts have an empty set,
-    link with nothing and are their own component. Repeated rows are copies and share a component; a null id counts
-    only where a component has no other. An empty table gives an empty result. Only the two named columns are read.
+    Two rows link when their sets share at least ``percent`` % (50 to 100) of their union. Null and empty texts have an
+    empty set, link with nothing and are their own component. Repeated rows are copies and share a component; so do rows of
+    one id only if their texts link. A null id counts only where a component has no other. Ties between equally good hubs
+    or segments go to the least number and don't change the result. A text is read whole: a task holds a slice of rows and
+    the sets of the one text it is at. An empty table gives an empty result. Only the two named columns are read, so others
+    cannot clash.
     """
     rows, sets = _groups(docs, id_col, text_col, width, percent)
     out = rows.join(sets, (rows["h1"] == sets["h1"]) & (rows["h2"] == sets["h2"]) & (rows["n"] > 0), "left")
@@ -221,8 +390,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when each component keeps its document of least id (once)."""
-    found = link_documents(docs, id_col, text_col, width, percent)
-    gone = cut_lineage(found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    """The rows of ``docs``, all columns, that stay when each component keeps one: that of least id.
+
+    It is decided by row, so one of several texts of an id can go and another stay. Null ids come last; of several texts of
+    the least id one is picked by a hash. Rows that repeat both id and text stay once (if their other columns differ, one of
+    them). Rows without a word (null and empty texts too) have no links and all stay. An empty table gives an empty result.
+    Any columns may be there, whatever their names. Only what goes, by id and hash of the text, is joined to the rows.
+    """
+    rows, sets = _groups(docs, id_col, text_col, width, percent)
+    placed = rows.where("n > 0").join(sets, ["h1", "h2"]).select("doc_id", "name", "c")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")
+    kept = placed.groupBy("c").agg(F.min(order).alias("kept"))
+    told = placed.join(kept, "c").groupBy("doc_id", "name").agg(F.first(F.col("kept.name").eqNullSafe(F.col("name")) & F.col("kept.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays"), F.count("*").alias("times"))
+    told = told.where("NOT stays OR times > 1")
+    name, gone_id, gone_name = (unused(docs.columns, n) for n in ("row_name", "gone_id", "gone_name"))
+    told = stored(told.select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_name), "stays"), "ngram-gone")
     let_go(docs.sparkSession)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
+    gone, again = told.where("NOT stays").drop("stays"), told.where("stays").drop("stays")
+    named = docs.withColumn(name, _named(docs, id_col, text_col))
+    same = (F.col(name) == F.col(gone_name)) & F.col(id_col).cast("long").eqNullSafe(F.col(gone_id))
+    out = named.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = out.join(again, same, "left_semi").dropDuplicates([id_col, name])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.drop(name)
+
+
+__all__ = ["keys_of", "link_documents", "one_of_each_group", "shingles"]

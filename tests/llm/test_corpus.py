@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from isogrid.llm import fingerprints, ngram_join, packing, token_binary, tokens, toxicity
@@ -82,6 +83,54 @@ def test_keys_meet_for_all_linked_sets(percent):
             assert len(np.intersect1d(ngram_join.keys_of(a, percent), ngram_join.keys_of(b, percent))), (len(a), len(b), both)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 80, 90])
+def test_allotments_in_any_order_meet_and_keep_their_budget(percent):
+    """Whatever the order of costs, linked sets share a key; a set with enough segments has just H + 1 keys a band."""
+    rng = np.random.default_rng(percent + 1)
+    linked = 0
+    for round_ in range(1500):
+        ranks = {k: rng.permutation(ngram_join.band(k, percent)[3]) for k in range(20)}
+        n = int(rng.integers(1, 80))
+        pool = rng.integers(0, 2**63, 2 * n + 2, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        a = np.unique(pool[:n])
+        drop = int(rng.integers(0, n * (100 - percent) // 90 + 2))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], pool[n : n + int(rng.integers(0, n * (100 - percent) // 90 + 2))]]))
+        found = ngram_join.segment_keys(a, percent)
+        again = ngram_join.unpacked(ngram_join.packed(found, percent), len(a), percent)
+        assert all(x[0] == y[0] and all((p == q).all() for p, q in zip(x[1:], y[1:])) for x, y in zip(found, again)) and len(found) == len(again)
+        for one in found:
+            if len(one[1]) > ngram_join.band(one[0], percent)[2]:
+                assert len(ngram_join.allotted([one], percent, ranks)) == ngram_join.band(one[0], percent)[2] + 1
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(ngram_join.keys_of(a, percent, ranks), ngram_join.keys_of(b, percent, ranks))), (len(a), len(b), both)
+    assert linked > 200
+
+
+def test_costs_put_hot_segments_last(spark):
+    """Sets that all hold the same elements of one segment: that segment comes last, and allotments leave it out."""
+    rng, percent, rows = np.random.default_rng(1), 80, []
+    k = ngram_join.bands_of(60, percent)[0]
+    segments = ngram_join.band(k, percent)[3]
+    width = 2**32 // segments + 1
+    hot = np.array([(5 * width + 7) << 32], np.uint64)
+    for _ in range(50):
+        s = rng.integers(0, 2**63, 70, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        s = np.unique(np.concatenate([s[(s >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32) != 5][:59], hot]))
+        rows.append((len(s), ngram_join.packed(ngram_join.segment_keys(s, percent), percent)))
+    ranks = ngram_join.segment_ranks(spark.createDataFrame(rows, "n long, keys binary"), percent)
+    assert ranks[k][5] == segments - 1
+
+
+def test_one_of_each_group_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    frame = spark.createDataFrame([(7, a, 1), (7, b, 2), (3, b, 3), (None, b, 4), (9, c, 5), (9, c, 5), (None, "", 6), (None, None, 7), (None, "", 6)], "doc_id long, text string, _name int")
+    kept = ngram_join.one_of_each_group(frame.withColumn("gone_id", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "_name", "gone_id"]
+    assert sorted((r["_name"] for r in kept.collect())) == [1, 3, 5, 6, 6, 7]
+
+
 def test_near_duplicates_odd_tables(spark):
     frame = docs(spark, ["a b c d", "a b c d", "a b c d", None, "x y z"], [7, 7, None, 3, 7])
     rows = ngram_join.link_documents(frame.withColumn("n", frame.text).withColumn("component_id", frame.text)).collect()
