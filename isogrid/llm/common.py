@@ -140,15 +140,17 @@ def shuffled(key: Column, seed: str = "") -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def with_prefix_sums(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Add exclusive running sums within ``keys``, in the order of the hex string ``order`` and then ``ties``.
+def with_prefix_sums(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], values: dict[str, str], dealt: Column | None = None) -> DataFrame:
+    """Add exclusive running sums within ``keys``, in the order of ``order`` and then ``ties``.
 
-    values: name of the new column -> column to sum. No task gets a whole key: rows are dealt by the first three hex
-    digits as well, the sums of these ranges (4096 a key at most) are accumulated on their own and joined back. The
-    join and the inner window use the same partitioning, so the rows move once.
+    values: name of the new column -> column to sum. No task gets a whole key: rows are dealt to ranges of ``order`` as well
+    (``dealt``, which grows with it; by default the first three digits of a hex string), the sums of these ranges (4096 a
+    key or so) are accumulated on their own and joined back. The join and the inner window use the same partitioning, so the
+    rows move once.
     """
     names = {k: f"_k{n}" for n, k in enumerate(keys)}
-    rows = df.select("*", F.substring(order, 1, 3).alias("_range"), *(F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(v) for k, v in names.items()))
+    ranges = F.substring(order, 1, 3) if dealt is None else dealt
+    rows = df.select("*", ranges.alias("_range"), *(F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(v) for k, v in names.items()))
     by = [*names.values(), "_range"]
     before = Window.partitionBy(*names.values()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by).agg(*(F.sum(v).alias(f"_t_{n}") for n, v in values.items()))

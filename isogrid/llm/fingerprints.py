@@ -5,6 +5,7 @@ lexicon: not so common that all texts hold them, not so rare that one edit chang
 lexicon terms, sorted, are hashed once for each of several random subsets of the lexicon; texts that agree on a subset
 agree on its hash. The band's lower end of document frequency bounds the lexicon: with D distinct terms a document on
 average, at most D / LEAST_SHARE terms can be that frequent, however many documents there are. So it can be broadcast.
+The first hash of a fingerprint is that of the whole lexicon, so a text that thin subsets leave out still has one.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ COUNTED_AT_ONCE = 1 << 20
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EMPTY = "-" * 8
 _RNG = np.random.default_rng(20_240_607)
-_SEEDS = _RNG.integers(0, 2**63, SUBSETS_PER_RATE * RATES, dtype=np.int64).astype(np.uint64)
-_MASKS = np.repeat((1 << np.arange(3, RATES + 3)) - 1, SUBSETS_PER_RATE).astype(np.uint64)
+_SEEDS = np.append(0, _RNG.integers(0, 2**63, SUBSETS_PER_RATE * RATES, dtype=np.int64)).astype(np.uint64)
+_MASKS = np.append(0, np.repeat((1 << np.arange(3, RATES + 3)) - 1, SUBSETS_PER_RATE)).astype(np.uint64)
+#: Bytes of text in a block of neighbouring documents; there are as many blocks as shuffle partitions at least.
+BLOCK_BYTES = 64 << 20
 
 
 def terms_of(text: str | None) -> np.ndarray:
@@ -43,7 +46,7 @@ def terms_of(text: str | None) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, n: the number of rows each term is in. Tasks add up what they have read before it is shuffled."""
+    """term, n: the number of rows each term is in. Tasks add up what they have read before it is shuffled; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -74,7 +77,7 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def fingerprint(text: str | None, terms: np.ndarray) -> str:
-    """8 hex digits for each subset, dashes where the text has none of its terms.
+    """8 hex digits for the whole lexicon and for each subset, dashes where the text has none of its terms.
 
     A text with no lexicon term at all is hashed by all its terms, so that it still has a fingerprint of its own.
     """
@@ -107,15 +110,16 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with its fingerprint, that of its edited text and both likenesses.
 
-    Null texts count as empty; a null id sorts first; repeated ids are ordered by text. A table's only row is its own
-    next. An empty table gives an empty result. Only the two named columns are read. Texts move once: to blocks of
-    neighbouring ids, the first of each block also to the block before (that of the first block to the last).
+    Null texts count as empty; a null id sorts first; repeated ids are ordered by text, repeated rows are each other's next.
+    A table's only row is its own next. An empty table gives an empty result. Only the two named columns are read, so
+    others cannot clash. A text is held whole, with the one before it. Texts move once: to blocks of neighbouring ids, one a
+    task, the first of each block also to the block before (that of the first block to the last).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     terms = spark.sparkContext.broadcast(lexicon(rows))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1)
     ends = rows.select(F.min(key).alias("first"), F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10 * n).alias("ends")).first()
     firsts = np.unique(np.array([ends["first"], *(ends["ends"] or [])], np.int64)) if ends["first"] is not None else np.zeros(1, np.int64)
 
@@ -126,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series([[{"block": b, "ahead": False}, {"block": (b - 1) % len(firsts), "ahead": True}] if lead else [{"block": b, "ahead": False}] for b, lead in zip(block.tolist(), leads.tolist())])
 
     dealt = rows.select("doc_id", "text", F.explode(homes(key)).alias("_home")).select("doc_id", "text", "_home.block", "_home.ahead")
-    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(len(firsts), "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "text")
     schema = to_arrow_schema(T.StructType.fromDDL(COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 """DuckDB SQL for those queries of the corpus operators that SQL can express."""
 
 from .mixing import MOST_USES, SEED, WEIGHTS
+from .sharding import N_SHARDS, TABLE_SIZE, lookup_table, shard_names
 from .url_filter import BLOCK_GLOBS, PREFIX_RULES
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 OP3 = f"""
-WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(WEIGHTS)}
   {' '.join(f'WHEN {n} THEN {w}' for n, w in enumerate(WEIGHTS))} END AS w FROM d GROUP BY source),
 r AS (SELECT *, {MOST_USES} * source_size / w AS ratio FROM s),
@@ -16,15 +17,21 @@ l AS (SELECT a.ratio, (SELECT sum(source_size) FROM s) - coalesce(sum({MOST_USES
 v AS (SELECT min_by(words / ws, ratio) AS level FROM l WHERE words / ws <= ratio),
 t AS (SELECT source, source_size, least(CAST({MOST_USES} * source_size AS DOUBLE), coalesce(w * (SELECT level FROM v), 0)) AS target FROM r),
 q AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target,
-  CAST(floor(round(target) / greatest(source_size, 1)) * size + greatest(0, least(size, round(target) - floor(round(target) / greatest(source_size, 1)) * source_size - b)) AS BIGINT) AS taken,
-  CASE WHEN target > 0 AND size > 0 THEN (b + size) / target END AS first_finish FROM q
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, use * source_size + b AS start FROM q CROSS JOIN range({MOST_USES}) u(use)),
+p AS (SELECT r, o, doc_id, size, use, least(size, goal - start) AS words, CAST(least(start + size, goal) AS DOUBLE) / goal AS finish FROM a WHERE size > 0 AND start < goal
+  UNION ALL SELECT r, o, doc_id, size, use, start + size - goal, CAST(start + size AS DOUBLE) / goal FROM a WHERE size > 0 AND start < goal AND start + size > goal
+  UNION ALL SELECT r, o, doc_id, size, 0, 0, NULL FROM q)
+SELECT doc_id, source, size, source_size, target, taken, CASE WHEN target > 0 AND size > 0 THEN (b + size) / target END AS first_finish FROM q
+JOIN (SELECT r, CAST(sum(greatest(0, least(words, budget - ahead))) AS BIGINT) AS taken FROM (
+  SELECT r, words, (SELECT sum(source_size) FROM s) AS budget, coalesce(sum(words) OVER (ORDER BY finish, o, doc_id, size, use ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p) GROUP BY r) USING (r)
 """
 
 _ORDER = sorted(range(len(PREFIX_RULES)), key=lambda r: (-len(PREFIX_RULES[r][1] + PREFIX_RULES[r][2]), PREFIX_RULES[r][0] != "block", r))
 _FITS = {r: f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}'))" for r, (_, h, p) in enumerate(PREFIX_RULES)}
-_BAD = " OR ".join(f"contains(host, '{g.strip('^')}')" for g in BLOCK_GLOBS)
+_HOSTS = [g for g in BLOCK_GLOBS if "/" not in g and "." not in g]
+_like = lambda g: "".join({"*": "[\\s\\S]*", "^": "[^/]*", ".": "\\."}.get(c, c) for c in g)
+_BAD = " OR ".join(f"regexp_full_match(host || path, '{_like(g)}')" for g in [*(g + "/*" for g in _HOSTS), *BLOCK_GLOBS])
 OP5 = f"""
 WITH c AS (SELECT page_id, regexp_matches(url, '://') AS ok, regexp_extract(url, '://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) AS p FROM pages),
 u AS (SELECT page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(p, '') AS path FROM c)
@@ -32,4 +39,11 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {_FITS[r]} THEN '{PREFIX_RULES
   CASE {' '.join(f"WHEN {_FITS[r]} THEN '{PREFIX_RULES[r][0]}'" for r in _ORDER)} WHEN {_BAD} THEN 'block' ELSE 'allow' END AS verdict FROM u
 """
 
-ORACLES = {"op3_mixing": OP3, "op5_url_filter": OP5}
+_TABLE = ",".join(map(str, lookup_table(shard_names(N_SHARDS))))
+OP6 = f"""
+WITH t AS (SELECT string_split('{_TABLE}', ',') AS shards),
+k AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {TABLE_SIZE} AS INT) AS slot FROM documents)
+SELECT doc_id, slot, CAST((SELECT shards FROM t)[slot + 1] AS INT) AS shard FROM k
+"""
+
+ORACLES = {"op6_sharding": OP6, "op3_mixing": OP3, "op5_url_filter": OP5}

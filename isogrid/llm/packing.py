@@ -2,8 +2,10 @@
 
 A document gives its full windows and a rest. Shallow combinations of two or three rest lengths that fill a window
 exactly are enumerated; non-negative least squares fits how often to use each to the histogram of rest lengths (at most
-2047 numbers, all that the driver sees); the counts are rounded to what is there. What is left over is packed greedily,
-end to end with cuts at window ends, and its last window is cut into powers of two, which need no padding.
+2047 numbers, all that the driver sees); the counts are rounded to what is there. What is left over is packed greedily by
+best fit: the longest length with the longest that still fit, as long as the window ends up exactly full. Only what no full
+window can be made of is laid end to end with cuts at window ends, and its last window is cut into powers of two, which need
+no padding.
 """
 
 from __future__ import annotations
@@ -63,23 +65,77 @@ def fit(histogram: np.ndarray, patterns: list[tuple[int, ...]], sweeps: int = SW
     return x
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, end rank, first sequence, offset) of the rests placed by combinations; their number of sequences."""
+#: (length, first rank, end rank, first sequence, offset): the rests of these ranks go to one sequence each.
+Places = list[tuple[int, int, int, int, int]]
+
+
+def best_fit(left: np.ndarray, window: int = WINDOW, depth: int = 12) -> tuple[int, ...]:
+    """Lengths that fill a window, of those that ``left`` counts: the longest, then the longest that fit, until one or two
+    more end it exactly. Empty if the longest can't be used so.
+    """
+    left, rest, out = left.copy(), window, []
+    while len(out) < depth:
+        if out and left[rest]:
+            return (*out, rest)
+        if out:
+            a = np.arange(1, rest // 2 + 1)
+            pairs = a[(left[a] > 0) & (left[rest - a] > (a * 2 == rest))]
+            if len(pairs):
+                return (*out, int(rest - pairs[-1]), int(pairs[-1]))
+        there = np.flatnonzero(left[1 : min(rest, window - 1) + 1])
+        if not len(there):
+            return ()
+        longest = int(there[-1]) + 1
+        out.append(longest)
+        left[longest] -= 1
+        rest -= longest
+    return ()
+
+
+def plan(histogram: np.ndarray, window: int = WINDOW) -> tuple[Places, int]:
+    """Places of the rests that fill windows exactly, those of the fitted combinations first; their number of sequences."""
+    places, sequences, left = by_combinations(histogram, window)
+    more, sequences, _ = by_best_fit(histogram, left, sequences, window)
+    return places + more, sequences
+
+
+def _place(places: Places, pattern: tuple[int, ...], times: int, sequence: int, histogram: np.ndarray, left: np.ndarray) -> None:
+    """Note ``times`` windows of a pattern from ``sequence`` on; ranks go on where earlier ones of a length ended."""
+    offset = 0
+    for v in pattern:
+        rank = int(histogram[v] - left[v])
+        places.append((v, rank, rank + times, sequence, offset))
+        left[v] -= times
+        offset += v
+
+
+def by_combinations(histogram: np.ndarray, window: int = WINDOW) -> tuple[Places, int, np.ndarray]:
+    """Places by non-negative least squares, their number of sequences, and the counts that are left."""
     patterns = combinations(histogram, window)
     counts = np.rint(fit(histogram, patterns)).astype(np.int64) if patterns else []
-    left, next_rank, rows, sequence = histogram.astype(np.int64), np.zeros(window, np.int64), [], 0
+    left, places, sequence = histogram.astype(np.int64), [], 0
     for pattern, wanted in sorted(zip(patterns, counts), key=lambda x: (-x[1], x[0])):
         times = min([int(wanted), *(int(left[v]) // pattern.count(v) for v in set(pattern))])
-        if times <= 0:
+        if times > 0:
+            _place(places, pattern, times, sequence, histogram, left)
+            sequence += times
+    return places, sequence, left
+
+
+def by_best_fit(histogram: np.ndarray, left: np.ndarray, sequence: int, window: int = WINDOW) -> tuple[Places, int, np.ndarray]:
+    """Places by best fit of what is left. Each step uses up a length or sets one aside, so there are few whatever the counts."""
+    left, free, places = left.copy(), left.copy(), []
+    while free.any():
+        pattern = best_fit(free, window)
+        if not pattern:
+            free[np.flatnonzero(free)[-1]] = 0  # no full window has it: it is laid end to end
             continue
-        offset = 0
+        times = min(int(free[v]) // pattern.count(v) for v in set(pattern))
+        _place(places, pattern, times, sequence, histogram, left)
         for v in pattern:
-            rows.append((v, int(next_rank[v]), int(next_rank[v]) + times, sequence, offset))
-            next_rank[v] += times
-            left[v] -= times
-            offset += v
+            free[v] -= times
         sequence += times
-    return rows, sequence
+    return places, sequence, left
 
 
 def tail_cuts(total: int, window: int = WINDOW) -> list[int]:
@@ -109,9 +165,11 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> Da
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are their end id alone. Repeated rows are packed each by itself. An empty table gives an empty
-    result. Only the two named columns are read. The ids move once, to meet their places; the places are computed on
-    three numbers a document, with hot rest lengths split into ranges of a hash.
+    Null and empty texts are their end id alone, a null id is kept. Repeated rows are packed each by itself. Rests of equal
+    length are ranked by a hash of the row. A text longer than a window gives its full windows and a rest; its ids are held
+    whole by one task at a time. An empty table gives an empty result. Only the two named columns are read, so others cannot
+    clash. The ids move once, to meet their places; the places are computed on three numbers a document, with hot rest
+    lengths split into ranges of a hash.
     """
     ids = tokenized(docs, id_col, text_col, tokenizer or default_tokenizer())
     spark = docs.sparkSession

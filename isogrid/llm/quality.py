@@ -98,8 +98,9 @@ def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: counts, the base rules' verdict and ``kept``.
 
-    Null and empty texts have no words and fail. Repeated rows are judged each by itself. Other columns of ``docs`` are
-    not read and cannot clash. No shuffle; a task holds a slice of rows.
+    Null and empty texts have no words and fail, a null id is kept. Repeated rows are judged each by itself, alike. A ratio on
+    a limit is within it. A text of any length is read whole, in chunks of which the last may be short. An empty table gives
+    an empty result. Other columns of ``docs`` are not read and cannot clash. No shuffle; a task holds a slice of rows.
     """
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
@@ -111,7 +112,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns unchanged."""
+    """The rows of ``docs`` that ``assess`` keeps, repeated ones each, with all columns unchanged, whatever their names.
+
+    Null and empty texts go, long texts are judged whole. An empty table gives an empty result.
+    """
 
     def keep(texts: list) -> list[bool]:
         packer = zstandard.ZstdCompressor(level=LEVEL)

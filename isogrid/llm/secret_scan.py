@@ -1,9 +1,11 @@
 """Secret scans by a recursive decoding worklist.
 
 Every text is a first layer. A layer is scanned by the patterns; then its URL escapes, Unicode escapes and base64 runs
-(plain, or holding gzip, zlib or zstandard data; each by itself and with the lines that go on with it) are unwrapped into further layers, which go on the worklist. Digests of
-layers already seen stop cycles, so the list runs dry. Each character of a layer knows the stretch of the original
-text that it came from, so a match in any layer maps back to a span of the original.
+(plain, or holding gzip, zlib or zstandard data; each by itself and with the lines that go on with it) are unwrapped into
+further layers, which go on the worklist. It is worked depth first: a layer is scanned and unwrapped before the next one is
+made, so a task holds one layer of each depth, and of decompressed data one window, however much there is. Digests of layers
+already seen stop cycles, so the list runs dry. Each character of a layer knows the stretch of the original text that it
+came from, so a match in any layer maps back to a span of the original.
 """
 
 from __future__ import annotations
@@ -67,11 +69,14 @@ def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the half-open stretch [lo, hi) of the original it came from."""
+    """A text and the half-open stretch [lo, hi) of the original that each of its characters came from.
+
+    lo and hi are arrays; or two numbers, where all of the layer came from one stretch.
+    """
 
     __slots__ = ("hi", "lo", "text")
 
-    def __init__(self, text: str, lo: np.ndarray, hi: np.ndarray):
+    def __init__(self, text: str, lo: np.ndarray | int, hi: np.ndarray | int):
         self.text, self.lo, self.hi = text, lo, hi
 
     @classmethod
@@ -79,24 +84,39 @@ class Layer:
         at = np.arange(len(text), dtype=np.int64)
         return cls(text, at, at + 1)
 
+    def stretch(self, start: int, end: int) -> tuple[int, int]:
+        """Where text[start:end] came from."""
+        if isinstance(self.lo, int):
+            return self.lo, self.hi
+        return int(self.lo[start]), int(self.hi[end - 1])
+
+    def digest(self) -> bytes:
+        """Equal for equal texts from the same places."""
+        place = f"{self.lo} {self.hi}".encode() if isinstance(self.lo, int) else self.lo.tobytes()
+        return hashlib.sha256(place + self.text.encode("utf-8", "surrogatepass")).digest()
+
     def replaced(self, pattern: re.Pattern, decode) -> Layer | None:
         """The layer with each match decoded; a decoded character maps to its whole match. None if nothing changes."""
-        parts, lo, hi, last = [], [], [], 0
+        parts, places, last = [], [], 0
         for m in pattern.finditer(self.text):
             new = decode(m[0])
             if new is None or new == m[0]:
                 continue
             parts += [self.text[last : m.start()], new]
-            lo += [self.lo[last : m.start()], np.full(len(new), self.lo[m.start()])]
-            hi += [self.hi[last : m.start()], np.full(len(new), self.hi[m.end() - 1])]
+            places.append((last, m.start(), m.end(), len(new)))
             last = m.end()
         if not parts:
             return None
-        return Layer("".join([*parts, self.text[last:]]), np.concatenate([*lo, self.lo[last:]]), np.concatenate([*hi, self.hi[last:]]))
+        text = "".join([*parts, self.text[last:]])
+        if isinstance(self.lo, int):
+            return Layer(text, self.lo, self.hi)
+        lo = [x for a, b, _, n in places for x in (self.lo[a:b], np.full(n, self.lo[b]))]
+        hi = [x for a, b, c, n in places for x in (self.hi[a:b], np.full(n, self.hi[c - 1]))]
+        return Layer(text, np.concatenate([*lo, self.lo[last:]]), np.concatenate([*hi, self.hi[last:]]))
 
     def inner(self, start: int, end: int, text: str) -> Layer:
         """A layer unwrapped from text[start:end]; all of it maps to that stretch."""
-        return Layer(text, np.full(len(text), self.lo[start]), np.full(len(text), self.hi[end - 1]))
+        return Layer(text, *self.stretch(start, end))
 
 
 def _from_url(run: str) -> str | None:
@@ -212,17 +232,18 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     base = scan(text, raw)
     if not (_ESCAPED.search(raw) or b"x" * 16 in raw.translate(_RUN_TABLE)):
         return base, base
-    spans, seen, work = set(base), {hashlib.sha256(raw).digest()}, [Layer.original(text)]
+    spans, seen, work = set(base), {hashlib.sha256(raw).digest()}, [unwrap(Layer.original(text))]
     while work:
-        for new in unwrap(work.pop()):
-            mark = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + new.lo.tobytes()).digest()
-            if new.text and mark not in seen:
-                seen.add(mark)
-                work.append(new)
-                for s, kind, e in scan(new.text):
-                    lo, hi = int(new.lo[s]), int(new.hi[e - 1])
-                    if not any(k == kind and a <= lo and hi <= b for a, k, b in spans):
-                        spans.add((lo, kind, hi))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif new.text and (mark := new.digest()) not in seen:
+            seen.add(mark)
+            for s, kind, e in scan(new.text):
+                lo, hi = new.stretch(s, e)
+                if not any(k == kind and a <= lo and hi <= b for a, k, b in spans):
+                    spans.add((lo, kind, hi))
+            work.append(unwrap(new))
     return base, sorted(spans)
 
 
@@ -233,8 +254,9 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and spans (code points, end exclusive) of secrets in each row's whole text.
 
-    Null and empty texts have none (the digest is that of the empty string). Repeated rows are scanned each by itself;
-    only the two named columns are read. No shuffle.
+    Null and empty texts have none (the digest is that of the empty string), a null id is kept. Repeated rows are scanned
+    each by itself. Matches of the same start are told apart by kind. A text of any length is scanned whole. An empty table
+    gives an empty result. Only the two named columns are read, so others cannot clash. No shuffle.
     """
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
@@ -260,7 +282,11 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs`` with secrets in ``text_col`` marked out; ``chars_col``, if there, is counted anew."""
+    """All rows and columns of ``docs`` with secrets in ``text_col`` marked out; ``chars_col``, if there, is counted anew.
+
+    Null and empty texts stay as they are, repeated rows are each treated alike, texts of any length are read whole. Other
+    columns may have any name and pass through. An empty table gives an empty result.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,32 +1,37 @@
 """Toxicity by weak supervision.
 
 Voters are stems (whole words and word beginnings) that stand out in toxic training rows, a hand lexicon, and patterns
-such as shouting. A generative label model estimates each voter's accuracy by expectation maximisation and damps voters
-by how much they repeat each other given the label; its posterior labels train a linear classifier, which scores all
-documents. Labels are read from training rows only; lang, source and ids are never features.
-
-The model is fitted on bounded samples (MOST_LABELLED, MOST_UNLABELLED rows, in the order of a hash of the id); every
-document is scored. Where the bounds thin out one class more than the other, rows are weighted back to the class rate of
-all training labels.
+such as shouting. A generative label model, which sees votes only, estimates by expectation maximisation how each voter
+votes in either class (its accuracy) and how voters correlate within a class; the posterior labels that it gives to the
+training rows train a linear classifier, which scores all documents. The given labels pick the stems, set the class rate
+and say where the model starts, so which of its two classes is the toxic one; no row keeps its label in the model or the
+classifier. Labels are read from training rows only; lang, source and ids are never features.
+
+The model is fitted on a bounded sample of labelled rows (MOST_LABELLED, in the order of a hash of the id); every document
+is scored. Where the bound thins out one class more than the other, rows are weighted back to the class rate of all
+training labels.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, shuffled
+from .common import cut_lineage, map_slices, shuffled
 
-#: Bounds of the samples that the model is fitted on.
-MOST_LABELLED, MOST_UNLABELLED = 8_000, 2_000
+#: Bound of the sample that the model is fitted on, half of it for either label.
+MOST_LABELLED = 8_000
 #: Stems kept, and what a stem needs: toxic rows it is in (share of them, and at least), its rate there over elsewhere,
 #: and how many standard errors its share of the toxic rows lies above that of the others.
 MOST_STEMS, STEM_SHARE, STEM_ROWS, STEM_RATIO, STEM_ERRORS = 512, 0.02, 3, 3.0, 4.0
-UNLABELLED_WEIGHT = 0.2
+#: The label model: where rows with label 1 and 0 start, how far correlations are shrunk, a variance added to every voter's,
+#: and its rounds.
+START, SHRINK, OWN_VARIANCE, ROUNDS = (0.9, 0.1), 0.1, 0.005, 25
 PREFIXES = (3, 4, 5, 6, 7)
 HELD_OUT_MOD = 5
 #: A few common insults; the label model weighs them like any other voter.
@@ -99,33 +104,41 @@ class Voters:
         return np.concatenate([by_stem, np.array(rest, np.int8)])
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, prior: float, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior P(toxic) by row. gold: 1, 0, or -1 where unknown; a known label fixes its row's posterior near it.
+@dataclass(frozen=True)
+class LabelModel:
+    """What the label model has estimated, and the posterior of each row."""
+
+    means: np.ndarray  # (class, voter): the mean vote
+    covariance: np.ndarray  # (voter, voter), within a class
+    posterior: np.ndarray
+
+    @property
+    def correlations(self) -> np.ndarray:
+        """Of each pair of voters, within a class."""
+        size = np.sqrt(np.diag(self.covariance))
+        return self.covariance / size[:, None] / size[None, :]
+
 
-    weight: how many rows a row stands for, 1 on average over the labelled ones.
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float, weight: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """A two-class model of vote vectors: each class has its mean votes, both share the voters' covariances.
 
-    Rows without a label count UNLABELLED_WEIGHT each, so that they refine the voters but can't turn the classes round.
-    Each voter has a chance of each vote given the label, with add-one smoothing. Correlation: voters whose votes
-    co-vary given the label share their weight, a voter's being 1 / (1 + sum of its squared correlations).
+    votes: (row, voter) in -1, 0, 1. start: first P(toxic) by row; after that rows follow the votes alone. prior: P(toxic) of
+    a row whose votes tell nothing. weight: how many rows a row stands for. Voters that repeat each other share their say, as
+    the posterior's log odds weigh votes by the inverse covariance. Rounds end when no posterior moves by 0.0001.
     """
-    kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # (vote, row, voter)
-    trust = np.select([gold == 1, gold == 0], [0.98, 0.02], 0.5)
-    post = np.where(gold >= 0, trust, prior)
-    share = weight * np.where(gold >= 0, 1.0, UNLABELLED_WEIGHT)
-    damp = np.ones(votes.shape[1])
+    post = start.astype(float)
     for _ in range(rounds):
-        like = [((kinds * p[None, :, None]).sum(1) + 1) / (p.sum() + 3) for p in (post * share, (1 - post) * share)]
-        by_class = [(p @ votes / max(p.sum(), 1e-9))[None] for p in (weight * post, weight * (1 - post))]
-        rest = np.sqrt(weight)[:, None] * (votes - by_class[0] * post[:, None] - by_class[1] * (1 - post)[:, None])
-        rest = rest / np.maximum(np.sqrt((rest**2).sum(0)), 1e-9)
-        damp = 1 / np.maximum((np.abs(rest.T @ rest) ** 2).sum(0), 1.0)
-        ratio = np.log(like[0] / like[1]) * damp[None]
-        logit = np.einsum("vrk,vk->r", kinds, ratio) + np.log(prior / (1 - prior))
-        new = np.where(gold >= 0, trust, 1 / (1 + np.exp(-np.clip(logit, -8, 8))))
-        if np.abs(new - post).max() < 1e-4:
+        shares = (weight * (1 - post), weight * post)
+        means = np.stack([(w @ votes + 1e-9) / (w.sum() + 1e-9) for w in shares])
+        spread = sum(((votes - m) * w[:, None]).T @ (votes - m) for m, w in zip(means, shares)) / weight.sum()
+        covariance = (1 - SHRINK) * spread + SHRINK * np.diag(np.diag(spread)) + OWN_VARIANCE * np.eye(votes.shape[1])
+        say = np.linalg.solve(covariance, means[1] - means[0])
+        logit = (votes - means.mean(0)) @ say + np.log(prior / (1 - prior))
+        new = 1 / (1 + np.exp(-np.clip(logit, -8, 8)))
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-4:
             break
-        post = new
-    return post
+    return LabelModel(means, covariance, post)
 
 
 def train_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -163,21 +176,19 @@ def class_weights(labels: DataFrame) -> tuple[float, float]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """text, toxic (-1 unknown) of the sample that the model is fitted on; ids and labels alone are sorted for it."""
+    """text, toxic of the sample that the model is fitted on; ids and labels alone are sorted for it.
+
+    It has MOST_LABELLED ids at most; what is joined to the documents is them, and the planner picks how.
+    """
     order = F.col("_order")
     known = known_labels(labels).select("doc_id", "toxic", shuffled(F.col("doc_id"), "toxicity").alias("_order"))
-    toxic = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_LABELLED // 2)
-    clean = known.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_LABELLED // 2)
-    ids = docs.select(F.col(id_col).alias("doc_id")).where(~held_out(F.col("doc_id"))).select("doc_id", F.lit(-1).alias("toxic"), shuffled(F.col("doc_id"), "unlabelled").alias("_order"))
-    others = ids.orderBy(order, "doc_id").limit(MOST_UNLABELLED)
-    chosen = toxic.union(clean).union(others).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("text", "toxic")
+    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_LABELLED // 2).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_LABELLED // 2))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Stems, their weights, the classifier's weights and its intercept."""
-    from .common import cut_lineage
-
     sample = cut_lineage(sampled(docs, labels, id_col, text_col).repartition(24))
     n1, n0 = (sample.where(F.col("toxic") == v).count() for v in (1, 0))
     c0, c1 = class_weights(labels)
@@ -200,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for label, n in all_words.items():
             yield "", label, 0, n
 
-    counted = map_slices(sample.where("toxic >= 0"), count, "stem string, toxic int, n_rows long, n_words long")
+    counted = map_slices(sample, count, "stem string, toxic int, n_rows long, n_words long")
     side = lambda c, v: F.sum(F.when(F.col("toxic") == v, F.col(c)).otherwise(0))
     stats = counted.groupBy("stem").agg(side("n_rows", 1).alias("r1"), side("n_rows", 0).alias("r0"), side("n_words", 1).alias("w1"), side("n_words", 0).alias("w0"))
     stats = stats.where((F.col("stem") == "") | (F.col("r1") >= max(STEM_ROWS, STEM_SHARE * n1)))
@@ -228,19 +239,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = [(np.array(s), np.array(m)) for s, m in zip(rows.column("stems").to_pylist(), rows.column("more").to_pylist())]
     votes = np.stack([voters.votes(s, m) for s, m in pairs]).astype(float)
     x = np.stack([voters.features(s, m) for s, m in pairs])
-    prior = min(max(rate, 0.02), 0.98)
-    weight = np.select([gold == 1, gold == 0], [c1, c0], 1.0)
-    posterior = label_model(votes, gold, prior, weight)
-    w, b = train_linear(x, posterior, weight * np.where(gold >= 0, 1.0, 0.25))
+    weight = np.where(gold == 1, c1, c0)
+    model = label_model(votes, np.where(gold == 1, *START), min(max(rate, 0.02), 0.98), weight)
+    w, b = train_linear(x, model.posterior, weight)
     return stems, weights, w, b
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    Null and empty texts get the score of a text without any word. Repeated rows score alike. Labels other than 0 and 1
-    and null labels are ignored, a document labelled twice counts as toxic if either says so. Without labels of both
-    kinds all score low. Columns other than the named ones are not read.
+    Null and empty texts get the score of a text without any word. Repeated rows score alike; a null id counts as held out.
+    Labels other than 0 and 1 and null labels are ignored, a document labelled twice counts as toxic if either says so.
+    Ties in the order of the sample go to the lesser id, those of equally good stems to the first in order. Without labels
+    of both kinds all score low. A text is read whole, its words one count each. Columns other than the named ones are not
+    read, so they cannot clash. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     state: dict[str, Voters] = {}

@@ -18,8 +18,18 @@ from .common import map_slices
 
 #: (verdict, host, path start): a host rule also holds for subdomains. Fixed values of the query.
 PREFIX_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Globs over host + path that block a URL which no prefix rule covers. ``*`` stands for any run, ``^`` for one without "/".
-BLOCK_GLOBS = ("^casino^", "^cheap-pills^", "^spam^", "^free-bets^", "^ads-track^", "^adserver^", "^porn^", "^xxx^", "^viagra^", "^warez^")
+#: Globs that block a URL which no prefix rule covers: of its host if the glob has no "/" or ".", else of host + path.
+#: ``*`` stands for any run, ``^`` for one without "/".
+#: Kinds: gambling, pills, adult, pirated, spam and advertising hosts; then paths of forms, carts, feeds, archives and files.
+BLOCK_GLOBS = (
+    "^casino^", "^free-bets^", "^betting^", "^poker^", "^jackpot^", "^slots^",
+    "^cheap-pills^", "^viagra^", "^cialis^", "^pharmacy-online^",
+    "^porn^", "^xxx^", "^sexcam^", "^escorts^",
+    "^warez^", "^keygen^", "^cracked-apps^", "^torrents^",
+    "^spam^", "^ads-track^", "^adserver^", "^adclick^", "^doorway^", "^replica-watches^", "^payday-loan^",
+    "*/wp-login.php", "*/wp-admin/*", "*/user/login", "*/cart/*", "*/checkout/*", "*/affiliate/*", "*/out/redirect*", "*/feed/atom*", "*/xmlrpc.php",
+    "*.exe", "*.apk", "*.zip", "*.rar", "*.iso", "*.mp4", "*.jpg", "*.png",
+)
 COLUMNS = "page_id long, host string, path string, rule string, verdict string"
 _PARTS = re.compile(r"(?s)://([^/?#]*)([^?#]*)")
 
@@ -69,7 +79,6 @@ class GlobSet:
             self.stay[:, b // 64] |= one << np.uint64(b % 64)
             if not slash:
                 self.stay[ord("/"), b // 64] &= ~(one << np.uint64(b % 64))
-        # a glob that ends with a star and was entered stays; the state before a star is looped by that star itself
 
     def match(self, texts: Sequence[bytes]) -> np.ndarray:
         """A boolean for each text and glob."""
@@ -101,7 +110,8 @@ def _compiled(rules: tuple, blocked: tuple) -> GlobSet:
     globs = []
     for _, host, path in rules:
         globs += [f"{host}{path}*", f"^.{host}{path}*"]
-    return GlobSet([*globs, *(g + "/*" for g in blocked), *blocked])
+    hosts = [g for g in blocked if "/" not in g and "." not in g]
+    return GlobSet([*globs, *(g + "/*" for g in hosts), *blocked])
 
 
 def judge(urls: Sequence[str | None], rules: tuple = PREFIX_RULES, blocked: tuple = BLOCK_GLOBS) -> list[tuple]:
@@ -122,8 +132,9 @@ def judge(urls: Sequence[str | None], rules: tuple = PREFIX_RULES, blocked: tupl
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = PREFIX_RULES, blocked: tuple = BLOCK_GLOBS) -> DataFrame:
     """A verdict for each row of ``pages``; only these two columns are read, so others cannot clash.
 
-    A null URL or one without "://" has an empty host and path, no rule, and is allowed. Repeated rows are judged alike.
-    A URL of any length is read whole. No shuffle.
+    A null URL or one without "://" has an empty host and path, no rule, and is allowed; a null id is kept. Repeated rows are
+    judged alike. Among rules of equal length a block wins, then the first. A URL of any length is read whole. An empty table
+    gives an empty result. No shuffle.
     """
 
     def run(ids: list, urls: list) -> Iterator[tuple]:

@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from isogrid.llm import mixing, quality, secret_scan, sharding, url_filter
 
@@ -272,3 +274,45 @@ def test_mixed_documents_hold_what_was_taken(spark):
         assert r["n_chars"] == len(r["text"])
     assert got == Counter({k: v for k, v in taken.items() if v})
     assert mixing.mix(frame.where("false")).count() == 0
+
+
+def test_mixing_serves_packets_in_the_order_of_virtual_time(spark):
+    """Against a queue served packet by packet, in plain Python."""
+    rng = random.Random(4)
+    texts, sources = [], []
+    for _ in range(300):
+        texts.append(" ".join(["w"] * rng.choice([0, 1, 2, 5, 30, 200])))
+        sources.append(rng.choices(["a", "b", "c", None], [60, 5, 20, 1])[0])
+    frame = docs(spark, texts, sources)
+    rows = mixing.mix(frame).collect()
+    want = dict.fromkeys(range(len(texts)), 0)
+    goals = {r["source"]: (round(r["target"]), r["source_size"]) for r in rows}
+    line = []
+    for source, (goal, _) in goals.items():
+        sent = 0
+        queue = sorted((i for i, s in enumerate(sources) if s == source and texts[i]), key=lambda i: (hashlib.md5(f"mix{i}".encode()).hexdigest(), i))
+        for use in range(3):
+            for i in queue:
+                n = len(texts[i].split())
+                for words in (min(n, goal - sent), n - min(n, goal - sent)) if sent < goal else ():
+                    if words:
+                        sent += words
+                        line.append((sent / goal, hashlib.md5(f"mix{i}".encode()).hexdigest(), i, n, use, words))
+    left = sum(size for _, size in goals.values())
+    for *_, i, _, _, words in sorted(line):
+        want[i] += min(words, left)
+        left -= min(words, left)
+    assert {r["doc_id"]: r["taken"] for r in rows} == want and left == 0
+    for source, (goal, size) in goals.items():
+        assert abs(sum(want[i] for i, s in enumerate(sources) if s == source) - goal) <= 2 and goal <= 3 * size
+
+
+def test_mixed_documents_lose_no_word_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "s", 1), (1, "a b c d e f g", "s", 2), (1, "x y", "s", 3), (1, "x y z", "t", 4), (None, "k l m n", None, 5), (None, "k l m n", None, 6), (2, "q " * 40, "t", 7), (3, None, "t", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int")
+    frame = frame.select("*", *(F.lit(k).alias(c) for k, c in enumerate(["_taken", "_id", "_n", "_use", "mix_size", "mix_use", "row", "name"])))
+    out = mixing.mixed_documents(frame)
+    assert out.columns == frame.columns
+    got = out.collect()
+    assert sum(len(r["text"].split()) for r in got) == sum(r["taken"] for r in mixing.mix(frame).collect())
+    assert all((r["_taken"], r["mix_use"], r["name"]) == (0, 5, 7) and r["_size"] in range(1, 8) for r in got)
