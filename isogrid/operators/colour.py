@@ -68,10 +68,11 @@ def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent:
 def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: float = 0.02) -> DataFrame:
     """The ticks to draw, with norm in 0..1 and label: one closer than ``gap`` to the last kept is left out.
 
-    Which ticks stay depends on those kept before, so each section's 13 ticks are folded in order.
+    Which ticks stay depends on those kept before, so each section's 13 ticks are folded in order. In a range of one value
+    (vmin = vmax) all ticks are in the middle.
     """
     span = F.col("vmax") - F.col("vmin")
-    norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("vmin")) / span))
+    norm = F.when(span == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("vmin")) / F.nullif(span, F.lit(0.0)))))
     rows = ticks.join(F.broadcast(ranges), keys).select(*keys, "pct", "value", norm.alias("norm"), span.alias("span"))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pct", "value", "norm"))).alias("all"), F.first("span").alias("span"))
     empty = F.expr("cast(array() as array<struct<pct:int,value:double,norm:double>>)")

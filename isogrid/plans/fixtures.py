@@ -47,8 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kelvin observations with fill values on land; the scan reads four columns."""
-    return _sql(spark, RAW, lineitem=table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_quantity"))
+    """Kelvin observations with fill values on land, all of them DOUBLE as are the axes; the scan reads four columns."""
+    rows = _sql(spark, RAW, lineitem=table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_quantity"))
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon", "sst")})
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,11 @@ def query(name: str, oracle: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder; one of its own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isogrid-")
+    """A new folder below the session's shared checkpoint folder; where that is unset, one of its own on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="isogrid-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -75,6 +78,11 @@ def monthly_all(spark: SparkSession, d: str) -> DataFrame:
     return products_of(spark, d).where("season_type = 'monthly' AND period = 'all'")
 
 
+def off_halves(rows: DataFrame) -> DataFrame:
+    """The rows with a little added to their values before an operator rounds them, for the same reason as in ``query``."""
+    return rows.withColumn("value", F.col("value") + ora.OFF_HALVES)
+
+
 def is_symmetric():
     return F.col("section").isin("s2", "s2_raw", "s5", "s5_raw")
 
@@ -336,9 +344,9 @@ def _(spark, d):
     return points.field_value(near_of(spark, d), first_field(spark, d), cells_of(spark, d))
 
 
-@query("j8_point_profile", ora.sql("SELECT point_id, m.s AS seq, round(value, 4) AS value FROM near CROSS JOIN (SELECT CAST(s AS INT) AS s FROM range(12) r(s)) m LEFT JOIN (SELECT * FROM prod WHERE section = 's2' AND season_type = 'monthly' AND period = 'all') p ON p.i = near.i AND p.j = near.j AND p.season_idx = m.s", "value"))
+@query("j8_point_profile", ora.sql(f"SELECT point_id, m.s AS seq, round(value + {ora.OFF_HALVES:.10f}, 4) AS value FROM near CROSS JOIN (SELECT CAST(s AS INT) AS s FROM range(12) r(s)) m LEFT JOIN (SELECT * FROM prod WHERE section = 's2' AND season_type = 'monthly' AND period = 'all') p ON p.i = near.i AND p.j = near.j AND p.season_idx = m.s", "value"))
 def _(spark, d):
-    return points.point_profile(near_of(spark, d), climate.significant_trend(fx.obs(spark, d)))
+    return points.point_profile(near_of(spark, d), off_halves(climate.significant_trend(fx.obs(spark, d))))
 
 
 @query("j9_point_var_by_year", ora.sql("SELECT point_id, year AS seq, round(var_pop(sst), 4) AS value FROM near JOIN obs USING (i, j) GROUP BY ALL", "value"))
@@ -518,16 +526,16 @@ def _(spark, d):
 
 
 _LEGEND = """, lr AS (SELECT section, coalesce(min(value), 0) AS vmin, coalesce(max(value), 1) AS vmax FROM prod WHERE season_type = 'monthly' AND period = 'all' GROUP BY section),
-lt AS (SELECT t.section, t.pct, t.value, CAST(row_number() OVER (PARTITION BY t.section ORDER BY t.pct) AS INT) AS k, greatest(0.0, least(1.0, (t.value - vmin)/(vmax - vmin))) AS norm, vmax - vmin AS span FROM ticks t JOIN lr USING (section)),
+lt AS (SELECT t.section, t.pct, t.value, CAST(row_number() OVER (PARTITION BY t.section ORDER BY t.pct) AS INT) AS k, greatest(0.0, least(1.0, (t.value - vmin)/(vmax - vmin))) AS norm, vmax - vmin AS span FROM (SELECT section, pct, value + {off} AS value FROM ticks) t JOIN lr USING (section)),
 rc AS (WITH RECURSIVE r(section, k, last, kept) AS (SELECT section, 1, norm, true FROM lt WHERE k = 1 UNION ALL SELECT l.section, l.k, CASE WHEN abs(l.norm - r.last) >= 0.02 THEN l.norm ELSE r.last END, abs(l.norm - r.last) >= 0.02 FROM r JOIN lt l ON l.section = r.section AND l.k = r.k + 1) SELECT * FROM r),
 kt AS (SELECT lt.*, value - lag(value) OVER (PARTITION BY lt.section ORDER BY lt.k) AS step FROM lt JOIN rc ON rc.section = lt.section AND rc.k = lt.k AND rc.kept),
-dg AS (SELECT section, CAST(greatest(0, least(4, ceil(-log10(CASE WHEN count(*) >= 2 THEN coalesce(min(CASE WHEN abs(step) > 0 THEN abs(step) END), max(span)) ELSE max(span) END)))) AS INT) AS digits FROM kt GROUP BY section)"""
+dg AS (SELECT section, CAST(greatest(0, least(4, ceil(-log10(CASE WHEN count(*) >= 2 THEN coalesce(min(CASE WHEN abs(step) > 0 THEN abs(step) END), max(span)) ELSE max(span) END)))) AS INT) AS digits FROM kt GROUP BY section)""".replace("{off}", f"{ora.OFF_HALVES:.10f}")
 
 
 @query("k5_legend_ticks", ora.sql("SELECT section, pct, round(value, 4) AS value, round(norm, 4) AS norm, replace(CASE digits WHEN 0 THEN printf('%.0f', round(value, 0)) WHEN 1 THEN printf('%.1f', round(value, 1)) WHEN 2 THEN printf('%.2f', round(value, 2)) WHEN 3 THEN printf('%.3f', round(value, 3)) ELSE printf('%.4f', round(value, 4)) END, '.', ',') AS label FROM kt JOIN dg USING (section)", "value", "norm", more=ora.TICKS + _LEGEND))
 def _(spark, d):
     maps = monthly_all(spark, d)
-    return colour.legend_ticks(colour.section_ticks(maps), colour.value_range(maps, ["section"], F.lit(False), 100), ["section"])
+    return colour.legend_ticks(off_halves(colour.section_ticks(maps)), colour.value_range(maps, ["section"], F.lit(False), 100), ["section"])
 
 
 def _lut_sql() -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,29 +18,40 @@ def read_slices(spark: SparkSession, folder: str, schema: str, pattern: str | No
     return reader.parquet(folder)
 
 
-def deduplicated(slices: DataFrame, keys: list[str], delay: str = "40 days", time: str = "ts") -> DataFrame:
-    """The first row for each key; state is dropped once the watermark has passed."""
-    return slices.withWatermark(time, delay).dropDuplicatesWithinWatermark([time, *keys])
+#: A batch of more months than this looks up the whole stretch of time that it covers.
+MOST_MONTHS = 120
+
+
+def _in_months(batch: DataFrame, time: str) -> Column:
+    """A filter on the months that the batch has rows of, which the scan of the store can use to skip files."""
+    months = [r[0] for r in batch.select(F.trunc(F.col(time).cast("date"), "month")).distinct().limit(MOST_MONTHS + 1).collect()]
+    if len(months) > MOST_MONTHS:
+        ends = batch.agg(F.min(time), F.max(time)).first()
+        return F.col(time).between(ends[0], ends[1])
+    start = [F.lit(m).cast("timestamp") for m in months if m is not None]
+    return reduce(Column.__or__, [(F.col(time) >= m) & (F.col(time) < m + F.expr("interval 1 month")) for m in start], F.lit(False))
 
 
-def stream_append(slices: DataFrame, store: str, checkpoint: str, keys: list[str], delay: str = "40 days", time: str = "ts") -> StreamingQuery:
+def stream_append(slices: DataFrame, store: str, checkpoint: str, keys: list[str], time: str = "ts") -> StreamingQuery:
     """Append rows not stored yet to a Parquet store, until the input that is there is used up.
 
-    Repeats within the watermark are dropped by the stream's state, older ones by an anti join with the store, so late
-    slices are accepted once, and a repeated batch after a restart adds nothing.
+    A row is new if the store has none of its time and keys, however late it comes: nothing is dropped for its age. Repeats
+    within a batch count once, and a repeated batch after a restart adds nothing. Of the store only the months that the
+    batch has rows of are read.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        new = batch.dropDuplicates([time, *keys])
         try:
             stored = spark.read.schema(batch.schema).parquet(store).select(time, *keys)
-            batch = batch.join(stored, [time, *keys], "left_anti").select(*batch.columns)
-        except Exception as e:  # nothing is stored before the first batch
+            new = new.join(stored.where(_in_months(batch, time)), [time, *keys], "left_anti").select(*batch.columns)
+        except AnalysisException as e:  # nothing is stored before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        batch.write.mode("append").parquet(store)
+        new.write.mode("append").parquet(store)
 
-    return deduplicated(slices, keys, delay, time).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return slices.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_anomaly(slices: DataFrame, base: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def test_stream_append_equals_batch_and_survives_restart(spark, tmp_path):
     assert got.count() == want.count() == 19 * 4 and got.exceptAll(want).count() == 0
 
 
-def test_repeats_beyond_the_watermark_are_dropped_by_the_store(spark, tmp_path):
+def test_repeats_of_earlier_batches_are_dropped_by_the_store(spark, tmp_path):
     source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
-    run = lambda: streams.stream_append(streams.read_slices(spark, source, SCHEMA), store, state, ["i", "j"], "1 day").awaitTermination()
+    run = lambda: streams.stream_append(streams.read_slices(spark, source, SCHEMA), store, state, ["i", "j"]).awaitTermination()
     slices(spark, source, [1, 20])
     run()
     slices(spark, source, [20, 21])
@@ -41,6 +41,20 @@ def test_repeats_beyond_the_watermark_are_dropped_by_the_store(spark, tmp_path):
     assert spark.read.parquet(store).count() == 3 * 4
 
 
+def test_late_months_are_kept_whatever_their_age(spark, tmp_path):
+    source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+
+    def months(*wanted):
+        for m in wanted:
+            spark.range(3).select(F.make_timestamp(F.lit(2024), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("ts"), F.col("id").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(m).alias("month"), F.lit(float(m)).alias("sst")).coalesce(1).write.mode("append").parquet(source)
+        streams.stream_append(streams.read_slices(spark, source, SCHEMA), store, state, ["i", "j"]).awaitTermination()
+        return sorted(r["month"] for r in spark.read.parquet(store).groupBy("month").count().where("count = 3").collect())
+
+    assert months(1, 2, 3, 6) == [1, 2, 3, 6]
+    assert months(7) == [1, 2, 3, 6, 7]
+    assert months(4, 8, 2) == [1, 2, 3, 4, 6, 7, 8]
+
+
 def test_stream_anomaly(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     slices(spark, source, [1, 2])
