@@ -21,6 +21,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SLICE_ROWS = 256
 #: Rows of a prefix sum are dealt to so many ranges of a hash, each summed by itself.
 PREFIX_BUCKETS = 4096
+#: Greatest size of a name filter: 16 MB.
+MOST_FILTER_BITS = 1 << 27
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -86,6 +88,37 @@ def unused(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def name_test(names: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test on arrays of 64-bit names, for tasks, that all rows of ``names`` (one column) pass, and few others.
+
+    A Bloom filter of 16 bits a name, MOST_FILTER_BITS at most, so its size is bounded whatever the data; with many more
+    names more others pass. It only spares rows a shuffle: what passes is still joined.
+    """
+    spark, column = names.sparkSession, names.columns[0]
+    bits = min(MOST_FILTER_BITS, 1 << max(10, (16 * names.count()).bit_length()))
+
+    def places(values: np.ndarray) -> np.ndarray:
+        return np.stack([mix64(values.astype(np.int64).view(np.uint64) + _M1 * np.uint64(k)) & np.uint64(bits - 1) for k in range(1, 5)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(places(batch.column(0).to_numpy()).reshape(-1))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            ones = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ones.view(np.int64))], names=["word", "ones"])
+
+    found = names.select(column).mapInArrow(run, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("ones").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def passes(values: np.ndarray) -> np.ndarray:
+        at = places(values)
+        return ((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+    return passes
+
+
 def map_slices(df: DataFrame, fn: Callable[..., Iterator[tuple] | Sequence[tuple]], schema: str) -> DataFrame:
     """Apply ``fn`` to lists of column values, a slice of rows at a time; it returns tuples in ``schema``'s order.
 

@@ -27,8 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chain64, forget, let_go, map_slices, mix64, stored, stored_at, unused, words_of
+from .common import SLICE_ROWS, chain64, forget, let_go, map_slices, mix64, name_test, stored, stored_at, unused, words_of
 from .components import components
 
 #: Ratio of the ends of a size band, and least number of parity bits of a set.
@@ -43,8 +45,10 @@ ROUNDS = 4
 #: Costs are kept for bands up to this size (some 100,000 numbers, which are broadcast); larger ones keep the natural order.
 RANKED_SIZE = 1 << 16
 #: Keys among which a task counts repeats, and pairs of one set that go to one task.
-MEASURED_AT_ONCE = 1 << 21
+MEASURED_AT_ONCE = 1 << 19
 PAIRS_AT_ONCE = 256
+#: Sets that a task remembers, to give copies no keys; beyond that it starts afresh.
+REMEMBERED = 1 << 20
 
 #: Keys of one set in one band: segments with elements and their keys; segments and keys of the neighbourhoods, and
 #: the keys of the least elements, where H + 1 is not reached without them.
@@ -254,24 +258,25 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> tuple[DataFrame, str]:
     """id, n, s of the wanted sets (columns name, id, h1, h2), made anew from their texts (columns name, text).
 
-    ``wanted`` is a small stored table, so the planner knows its size: below its limit it is broadcast and the texts stay
-    where they are, above it both sides are shuffled.
+    The texts stay where they are: a filter picks those that may be wanted, and only their sets are joined.
     """
 
-    def sets_of(texts: list, h1s: list, h2s: list, ids: list) -> Iterator[tuple]:
-        for text, h1, h2, i in zip(texts, h1s, h2s, ids):
-            s = shingles(text, width)
-            if set_id(s) == (h1, h2):
-                yield i, len(s), s.view(np.int64).tolist()
+    passes = name_test(wanted.select("name"))
+
+    def sets_of(names: list, texts: list) -> Iterator[tuple]:
+        for name, text, asked in zip(names, texts, passes(np.array(names, np.int64)).tolist()):
+            if asked:
+                s = shingles(text, width)
+                yield name, *set_id(s), len(s), s.view(np.int64).tolist()
 
-    rows = texts.join(wanted, "name").select("text", "h1", "h2", "id")
-    return stored_at(map_slices(rows, sets_of, "id long, n long, s array<long>"), "ngram-members")
+    made = map_slices(texts.select("name", "text"), sets_of, "name long, h1 long, h2 long, n long, s array<long>")
+    return stored_at(made.join(wanted, ["name", "h1", "h2"]).select("id", "n", "s"), "ngram-members")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
     """Those of the pairs (u, v) whose sets link, stored.
 
-    Only sets in one of these pairs are fetched. A set in many pairs goes to several tasks, each with some of its pairs.
+    Only sets in one of these pairs are fetched, from their texts. A set in many pairs goes to several tasks, each with some of its pairs.
     """
     spark = pairs.sparkSession
     pairs, pairs_path = stored_at(pairs, "ngram-pairs")
@@ -301,24 +306,29 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """key, id, times of the allotted keys that more than one set has."""
-    spark = sets.sparkSession
-    ranks = spark.sparkContext.broadcast(segment_ranks(sets, percent))
+def _shared_keys(rows: DataFrame, first_of: DataFrame, percent: int) -> DataFrame:
+    """key, id, times of the allotted keys that more than one set has. first_of: the set (id) of each row with keys."""
+    spark = rows.sparkSession
+    ranks = spark.sparkContext.broadcast(segment_ranks(rows, percent))
 
     def choose(ids: list, sizes: list, raws: list) -> Iterator[tuple]:
         for i, n, raw in zip(ids, sizes, raws):
             yield i, allotted(unpacked(raw, n, percent), percent, ranks.value).tolist()
 
-    table, path = stored_at(map_slices(sets.select("id", "n", "keys"), choose, "id long, keys array<long>"), "ngram-keys")
+    table, path = stored_at(map_slices(rows.select("row_id", "n", "keys"), choose, "row_id long, keys array<long>"), "ngram-keys")
     parts = []
     for r in range(ROUNDS):
-        keys = table.select("id", F.explode(F.filter("keys", lambda k: k % ROUNDS == r)).alias("key"))  # noqa: B023
-        often = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-        parts.append(stored(keys.join(often, "key"), "ngram-shared"))
+        keys = table.select("row_id", F.explode(F.filter("keys", lambda k: k % ROUNDS == r)).alias("key"))  # noqa: B023
+        often = keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+        parts.append(stored_at(keys.join(often, "key"), "ngram-often"))
         let_go(spark)
     forget(spark, path)
-    return reduce(DataFrame.union, parts)
+    every = reduce(DataFrame.union, [t for t, _ in parts]).join(first_of, "row_id").select("key", "id").distinct()
+    times = every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    shared = stored(every.join(times, "key"), "ngram-shared")
+    for _, path in parts:
+        forget(spark, path)
+    return shared
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -329,20 +339,34 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _named(docs, id_col, text_col).alias("name"))
     rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "name", "text")
 
-    def index(row_ids: list, ids: list, names: list, texts: list) -> Iterator[tuple]:
-        for row, i, name, text in zip(row_ids, ids, names, texts):
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of copies only the first in a task needs keys
+
+        def one(row: int, i: int, name: int, text: str) -> tuple:
             s = shingles(text, width)
-            yield row, i, name, len(s), *set_id(s), parity(s), packed(segment_keys(s, percent), percent)
+            mark = set_id(s)
+            new = len(s) > 0 and mark not in seen
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(mark)
+            return row, i, name, len(s), *mark, parity(s), packed(segment_keys(s, percent), percent) if new else None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                made = [one(*r) for r in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), type=f.type) for v, f in zip(zip(*made), schema)], schema=schema)
 
-    index_table, index_path = stored_at(map_slices(rows, index, "row_id long, doc_id long, name long, n long, h1 long, h2 long, bits array<long>, keys binary"), "ngram-index")
+    columns = "row_id long, doc_id long, name long, n long, h1 long, h2 long, bits array<long>, keys binary"
+    schema = to_arrow_schema(T.StructType.fromDDL(columns))
+    index_table, index_path = stored_at(rows.mapInArrow(index, columns), "ngram-index")
     groups = stored(index_table.where("n > 0").groupBy("h1", "h2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("least")), "ngram-sets")
     slim = stored(index_table.select("doc_id", "name", "n", "h1", "h2"), "ngram-rows")
-    sets, sets_path = stored_at(index_table.withColumnRenamed("row_id", "id").join(groups.select("id"), "id", "left_semi"), "ngram-firsts")
+    with_keys = index_table.where("keys IS NOT NULL")
+    first_of = stored(with_keys.select("row_id", "h1", "h2").join(groups, ["h1", "h2"]).select("row_id", "id"), "ngram-firsts")
+    shared = _shared_keys(with_keys, first_of, percent)
+    marks = stored(index_table.withColumnRenamed("row_id", "id").join(first_of.select("id").distinct(), "id", "left_semi").select("id", "n", "h1", "h2", "name", "bits"), "ngram-marks")
     forget(spark, index_path)
     let_go(spark)
-    marks = stored(sets.select("id", "n", "h1", "h2", "name", "bits"), "ngram-marks")
-    shared = _shared_keys(sets, percent)
-    forget(spark, sets_path)
 
     mass = shared.groupBy("id").agg(F.sum("times").alias("mass"))
     weighed = shared.join(mass, "id").select("key", "id", "mass")
@@ -395,7 +419,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     It is decided by row, so one of several texts of an id can go and another stay. Null ids come last; of several texts of
     the least id one is picked by a hash. Rows that repeat both id and text stay once (if their other columns differ, one of
     them). Rows without a word (null and empty texts too) have no links and all stay. An empty table gives an empty result.
-    Any columns may be there, whatever their names. Only what goes, by id and hash of the text, is joined to the rows.
+    Any columns may be there, whatever their names. What goes is known by id and hash of the text; a filter of bounded size
+    tells which rows must be joined with it, so most texts are not shuffled.
     """
     rows, sets = _groups(docs, id_col, text_col, width, percent)
     placed = rows.where("n > 0").join(sets, ["h1", "h2"]).select("doc_id", "name", "c")
@@ -407,13 +432,16 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     told = stored(told.select(F.col("doc_id").alias(gone_id), F.col("name").alias(gone_name), "stays"), "ngram-gone")
     let_go(docs.sparkSession)
     gone, again = told.where("NOT stays").drop("stays"), told.where("stays").drop("stays")
+    passes = name_test(told.select(gone_name))
     named = docs.withColumn(name, _named(docs, id_col, text_col))
     same = (F.col(name) == F.col(gone_name)) & F.col(id_col).cast("long").eqNullSafe(F.col(gone_id))
-    out = named.join(gone, same, "left_anti")
+    asked_for = F.arrow_udf(lambda names: pa.array(passes(names.to_numpy())), "boolean")
+    rest, asked = named.where(~asked_for(name)), named.where(asked_for(name))  # most rows are told by the filter and stay in place
+    out = asked.join(gone, same, "left_anti")
     if not again.isEmpty():
         once = out.join(again, same, "left_semi").dropDuplicates([id_col, name])
         out = out.join(again, same, "left_anti").unionByName(once)
-    return out.drop(name)
+    return rest.unionByName(out).drop(name)
 
 
 __all__ = ["keys_of", "link_documents", "one_of_each_group", "shingles"]
