@@ -72,7 +72,8 @@ def _served(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
 
     uses = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most_uses - 1).cast("long")), packets))
     sent = placed.select("*", F.explode_outer(uses).alias("packet")).select("*", "packet.use", "packet.finish", F.coalesce("packet.words", F.lit(0).cast("long")).alias("words")).drop("packet")
-    time = F.coalesce(F.least(F.floor(F.col("finish") * PREFIX_BUCKETS), F.lit(PREFIX_BUCKETS + 1)), F.lit(PREFIX_BUCKETS + 1))
+    unsent = PREFIX_BUCKETS + 2 + F.pmod(F.hash("row"), F.lit(PREFIX_BUCKETS))  # rows without a packet come last and are spread
+    time = F.when(F.col("finish").isNull(), unsent).otherwise(F.least(F.floor(F.col("finish") * PREFIX_BUCKETS), F.lit(PREFIX_BUCKETS + 1)))
     line = with_prefix_sums(sent, [], "finish", ["order", "doc_id", "size", "use"], {"ahead": "words"}, time)
     served = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("ahead")))
     finish = F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("before") + F.col("size")) / F.when(F.col("target") > 0, F.col("target")))
