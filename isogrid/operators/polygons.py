@@ -32,8 +32,8 @@ def to_pixels(vertices: DataFrame, width: int, height: int, box: tuple[float, fl
 def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     """px, py of land pixels: centres inside a polygon's outer ring and outside its own holes.
 
-    Rings are cut into edges and edges into the pixel rows they cross, so no ring is ever in one task; in a row the
-    crossings are sorted and the stretches between each odd and the following even one are inside.
+    Rings are cut into edges (a window over each ring) and edges into the pixel rows they cross; in a row the crossings
+    are sorted and the stretches between each odd and the following even one are inside.
     """
     ring = Window.partitionBy("half", *RING).orderBy("seq")
     closed = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
