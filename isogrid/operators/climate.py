@@ -52,6 +52,12 @@ def product(stats: DataFrame, section: str, value: Column) -> DataFrame:
     return stats.select(F.lit(section).alias("section"), "season_type", "season_idx", "period", "i", "j", value.alias("value"))
 
 
+def _maps(stats: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Several product maps of the same statistics, in the long shape."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), v.alias("value")) for s, v in values.items()))).alias("_e")
+    return stats.select("season_type", "season_idx", "period", "i", "j", each).select("_e.section", "season_type", "season_idx", "period", "i", "j", "_e.value")
+
+
 def clim_mean(obs: DataFrame, season_type: str = "monthly", periods: tuple[Period, ...] = (ALL_YEARS,)) -> DataFrame:
     return product(moments(obs, (season_type,), periods), "s1", F.col("mean"))
 
@@ -93,11 +99,16 @@ def sq_anomaly(obs: DataFrame, season_type: str = "monthly", periods: tuple[Peri
     return rows.select(*keys, F.lit(season_type).alias("season_type"), "year", (difference * difference).alias("sq"))
 
 
-def var_trend(obs: DataFrame, season_type: str = "monthly", periods: tuple[Period, ...] = (ALL_YEARS,), min_n: int = 5, alpha: float | None = 0.05) -> DataFrame:
-    """Trend of the squared anomalies on the year, per decade; with alpha only where significant."""
+def var_moments(obs: DataFrame, season_type: str = "monthly", periods: tuple[Period, ...] = (ALL_YEARS,), min_n: int = 5) -> DataFrame:
+    """As ``moments``, of the squared anomalies on the year."""
     rows = sq_anomaly(obs, season_type, periods)
     stats = rows.groupBy("i", "j", "season_type", "season_idx", "period").agg(_regression(F.col("sq"), F.col("year").cast("double")).alias("s")).select("i", "j", "season_type", "season_idx", "period", "s.*")
-    tested = _tested(stats, min_n)
+    return _tested(stats, min_n)
+
+
+def var_trend(obs: DataFrame, season_type: str = "monthly", periods: tuple[Period, ...] = (ALL_YEARS,), min_n: int = 5, alpha: float | None = 0.05) -> DataFrame:
+    """Trend of the squared anomalies on the year, per decade; with alpha only where significant."""
+    tested = var_moments(obs, season_type, periods, min_n)
     return product(tested, "s5" if alpha else "s5_raw", significant(alpha) if alpha else F.col("trend"))
 
 
@@ -126,14 +137,14 @@ def composite(products: DataFrame, kind: str) -> DataFrame:
     return out.select("section", F.lit(kind).alias("season_type"), "season_idx", "period", "i", "j", "value")
 
 
-def products(obs: DataFrame, periods: tuple[Period, ...], min_n: int = 5, alpha: float = 0.05) -> DataFrame:
-    """All of s1 to s5 and the unmasked s2 and s5, for all years and each period, in one long table."""
+def products(obs: DataFrame, periods: tuple[Period, ...], min_n: int = 5, alpha: float = 0.05, season_types: tuple[str, ...] = ("monthly", "ess")) -> DataFrame:
+    """All of s1 to s5 and the unmasked s2 and s5, for all years and each period, in one long table.
+
+    Only the months or seasons and the periods asked for are computed, and each statistic once for its masked and raw map.
+    """
     every = (ALL_YEARS, *periods)
-    stats = moments(obs, ("monthly", "ess"), every, min_n)
     values = {"s1": F.col("mean"), "s2": significant(alpha), "s2_raw": F.col("trend"), "s3": F.col("r2"), "s4": F.col("variance")}
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), v.alias("value")) for s, v in values.items()))).alias("_e")
-    out = stats.select("season_type", "season_idx", "period", "i", "j", each).select("_e.section", "season_type", "season_idx", "period", "i", "j", "_e.value")
-    for kind in ("monthly", "ess"):
-        for a in (alpha, None):
-            out = out.unionByName(var_trend(obs, kind, every, min_n, a))
+    out = _maps(moments(obs, season_types, every, min_n), values)
+    for kind in season_types:
+        out = out.unionByName(_maps(var_moments(obs, kind, every, min_n), {"s5": significant(alpha), "s5_raw": F.col("trend")}))
     return out

@@ -65,6 +65,12 @@ def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent:
     return out.select(*keys, lo.alias("vmin"), F.when(lo == hi, lo + 1).otherwise(hi).alias("vmax"))
 
 
+def anomaly_range(scale: DataFrame, period: str, percent: float = 99) -> DataFrame:
+    """vmin, vmax of anomaly maps (s7): one pooled scale, that of a fixed baseline period, on both sides of 0."""
+    vm = F.col("vm_100" if percent >= 100 else "vm_999" if percent >= 99.9 else "vm_99")
+    return scale.where(F.col("period") == period).select((-vm).alias("vmin"), F.when(vm == 0, 1.0).otherwise(vm).alias("vmax"))
+
+
 def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: float = 0.02) -> DataFrame:
     """The ticks to draw, with norm in 0..1 and label: one closer than ``gap`` to the last kept is left out.
 

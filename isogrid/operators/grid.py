@@ -63,24 +63,24 @@ def fill_land(fields: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame
     """Land cells off the border get the value of the nearest ocean cell, in index distance; ties by (i, j).
 
     Exact in two separable steps: the nearest source within each column by window functions, then for each land cell
-    the best column of its row. A row's columns form one array, so work is cells times columns, never cells squared.
-    Without ocean values any value is a source; without any, land gets 0.
+    the best column of its row. A row's columns form one array, so work is cells times columns, never cells squared, and no
+    task needs a whole map. Without ocean values any value is a source; without any, land gets 0.
     """
     rows = complete(fields, keys, cells)
-    whole = Window.partitionBy(*keys)
     own = F.col("value").isNotNull()
-    any_ocean = F.max(own & ~F.col("is_land")).over(whole)
-    rows = rows.select("*", (own & (~F.col("is_land") | ~any_ocean)).alias("_src"), F.max("i").over(whole).alias("_last_i"), F.max("j").over(whole).alias("_last_j"))
+    whole = rows.groupBy(*keys).agg(F.max(own & ~F.col("is_land")).alias("_ocean"), F.max("i").alias("_last_i"), F.max("j").alias("_last_j"))
+    inner = (F.col("i") > 0) & (F.col("j") > 0) & (F.col("i") < F.col("_last_i")) & (F.col("j") < F.col("_last_j"))
+    marked = rows.join(whole, keys).select(*keys, "i", "j", "value", (own & (~F.col("is_land") | ~F.col("_ocean"))).alias("_src"), (~own & F.col("is_land") & inner).alias("_fill"))
     column = Window.partitionBy(*keys, "j").orderBy("i")
     source = F.when(F.col("_src"), F.struct("i", "value"))
-    near = rows.select("*", F.last(source, True).over(column.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.first(source, True).over(column.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
+    near = marked.select("*", F.last(source, True).over(column.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.first(source, True).over(column.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
     option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.pow(F.col("i") - F.col(f"{c}.i"), 2).alias("d2"), F.col(f"{c}.i").alias("si"), F.col(f"{c}.value").alias("v")))
     best = near.withColumn("_best", F.array_min(F.filter(F.array(option("_up"), option("_down")), lambda o: o.isNotNull())))
-    lines = best.where(F.col("_best").isNotNull()).groupBy(*keys, "i").agg(F.collect_list(F.struct("j", "_best")).alias("_line"))
-    target = rows.withColumn("_fill", ~own & F.col("is_land") & (F.col("i") > 0) & (F.col("j") > 0) & (F.col("i") < F.col("_last_i")) & (F.col("j") < F.col("_last_j")))
-    joined = target.join(lines, [*keys, "i"], "left")
-    found = F.array_min(F.transform("_line", lambda c: F.struct((c["_best"]["d2"] + F.pow(F.col("j") - c["j"], 2)).alias("d2"), c["_best"]["si"].alias("si"), c["j"].alias("sj"), c["_best"]["v"].alias("v"))))["v"]
-    return joined.select(*keys, "i", "j", F.when(F.col("_fill"), F.coalesce(found, F.lit(0.0))).otherwise(F.col("value")).alias("value"))
+    lines = best.groupBy(*keys, "i").agg(F.collect_list(F.struct("j", "value", "_fill", "_best")).alias("_line"))
+    lines = lines.withColumn("_from", F.filter("_line", lambda c: c["_best"].isNotNull()))
+    nearest = lambda j: F.array_min(F.transform("_from", lambda s: F.struct((s["_best"]["d2"] + F.pow(j - s["j"], 2)).alias("d2"), s["_best"]["si"].alias("si"), s["j"].alias("sj"), s["_best"]["v"].alias("v"))))["v"]
+    filled = F.transform("_line", lambda c: F.struct(c["j"].alias("j"), F.when(c["_fill"], F.coalesce(nearest(c["j"]), F.lit(0.0))).otherwise(c["value"]).alias("value")))
+    return lines.select(*keys, "i", F.explode(filled).alias("_c")).select(*keys, "i", "_c.j", "_c.value")
 
 
 def _corners(targets: DataFrame, fi: Column, fj: Column, grid: Grid) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +34,17 @@ def to_pixels(vertices: DataFrame, width: int, height: int, box: tuple[float, fl
 def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
     """px, py of land pixels: centres inside a polygon's outer ring and outside its own holes.
 
-    Rings are cut into edges (a window over each ring) and edges into the pixel rows they cross; in a row the crossings
-    are sorted and the stretches between each odd and the following even one are inside.
+    Rings are cut into edges and edges into the pixel rows they cross; in a row the crossings are sorted and the stretches
+    between each odd and the following even one are inside. A vertex is joined with its next, so that a ring's vertices
+    (numbered by seq without gaps) are spread over all tasks.
     """
-    ring = Window.partitionBy("half", *RING).orderBy("seq")
-    closed = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = vertices.select("half", *RING, "is_hole", "x", "y", F.coalesce(F.lead("x").over(ring), F.first("x").over(closed)).alias("x2"), F.coalesce(F.lead("y").over(ring), F.first("y").over(closed)).alias("y2"))
+    ring = ["half", *RING]
+    points = vertices.select(*ring, "seq", "is_hole", "x", "y")
+    ends = points.groupBy(*ring).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    closing = points.join(ends, ring).where("seq = _first").withColumn("seq", F.col("_last"))
+    shifted = points.withColumn("seq", F.col("seq") - 1)
+    following = reduce(DataFrame.union, [p.select(*ring, "seq", F.col("x").alias("x2"), F.col("y").alias("y2")) for p in (shifted, closing)])
+    edges = points.join(following, [*ring, "seq"])
     low, high = F.least("y", "y2"), F.greatest("y", "y2")
     first, last = F.greatest(F.lit(0), F.ceil(low - 0.5)), F.least(F.lit(height - 1), F.ceil(high - 0.5) - 1)
     rows = edges.where((F.col("y") != F.col("y2")) & (first <= last)).withColumn("py", F.explode(F.sequence(first, last)))

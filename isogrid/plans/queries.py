@@ -75,7 +75,7 @@ def first_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monthly_all(spark: SparkSession, d: str) -> DataFrame:
-    return products_of(spark, d).where("season_type = 'monthly' AND period = 'all'")
+    return climate.products(fx.obs(spark, d), (), season_types=("monthly",))
 
 
 def off_halves(rows: DataFrame) -> DataFrame:
@@ -134,7 +134,12 @@ def _(spark, d):
 
 @query("s6_read_polygons", ora.sql("SELECT feature_id, poly_id, ring_id, is_hole, seq, lon, lat FROM verts", "lon", "lat", more=ora.SQUARES))
 def _(spark, d):
-    return grids.explode_rings(fx.features(spark, d))
+    path = scratch(spark, "polygons")
+    parts = fx.features(spark, d).repartition(8, "feature_id")  # a file is one document, which one task reads
+    shape = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("feature_id").cast("string"), F.lit('},"geometry":{"type":"'), F.col("type"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}}"))
+    whole = parts.groupBy(F.spark_partition_id().alias("part")).agg(F.array_join(F.collect_list(shape), ",").alias("features"))
+    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit("]}")).alias("value"), "part").write.partitionBy("part").text(path)
+    return grids.read_polygons(spark, path, "id").select("feature_id", "poly_id", "ring_id", "is_hole", "seq", "lon", "lat")
 
 
 @query("s7_series_json", ora.sql("SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY label) - 1 AS INT) AS pos, label, round(sst, 3) AS value, '°C' AS unit FROM near JOIN obs USING (i, j)", "value"))
@@ -235,14 +240,17 @@ _MASKED = "CASE WHEN p < 0.05 THEN trend END"
 _stat("a2_clim_mean_monthly", climate.clim_mean, "monthly", "mean", "s1")
 _stat("a3_clim_mean_ess", climate.clim_mean, "ess", "mean", "s1")
 _stat("a4_clim_mean_periods", climate.clim_mean, "monthly", "mean", "s1", fx.EVERY)
+_stat("a4_clim_mean_periods_ess", climate.clim_mean, "ess", "mean", "s1", fx.EVERY)
 _stat("a5_clim_var", climate.clim_var, "ess", "variance", "s4")
 _stat("a6_clim_var_periods", climate.clim_var, "monthly", "variance", "s4", fx.EVERY)
+_stat("a6_clim_var_periods_ess", climate.clim_var, "ess", "variance", "s4", fx.EVERY)
 _stat("a7_trend", climate.trend, "monthly", "trend", "s2_raw")
 _stat("a8_trend_r2", climate.trend_r2, "monthly", "r2", "s3")
 _stat("a9_trend_pvalue", climate.trend_pvalue, "monthly", "p", "p")
 _stat("a9_trend_pvalue_ess", climate.trend_pvalue, "ess", "p", "p")
 _stat("a10_significant_trend", climate.significant_trend, "monthly", _MASKED, "s2")
 _stat("a11_trend_periods", climate.significant_trend, "ess", _MASKED, "s2", fx.EVERY)
+_stat("a11_trend_periods_monthly", climate.significant_trend, "monthly", _MASKED, "s2", fx.EVERY)
 
 
 def _variation(name: str, season: str, alpha, section: str, periods=None):
@@ -254,6 +262,7 @@ _variation("a12_var_trend_monthly", "monthly", 0.05, "s5")
 _variation("a12_var_trend_raw", "monthly", None, "s5_raw")
 _variation("a13_var_trend_ess", "ess", 0.05, "s5")
 _variation("a14_var_trend_periods", "monthly", 0.05, "s5", fx.EVERY)
+_variation("a14_var_trend_periods_ess", "ess", 0.05, "s5", fx.EVERY)
 
 _ROLL = f""", rw AS (SELECT i, j, month, year AS start_year, var_pop(sst) OVER w AS rv, lead(year, {fx.WINDOW // 2}) OVER (PARTITION BY i, j, month ORDER BY year) AS label_year, count(*) OVER w AS n
   FROM obs WINDOW w AS (PARTITION BY i, j, month ORDER BY year ROWS BETWEEN CURRENT ROW AND {fx.WINDOW - 1} FOLLOWING)),
@@ -261,14 +270,17 @@ rv AS (SELECT * FROM rw WHERE n = {fx.WINDOW}),
 rc AS (SELECT r.*, label_year - m.ml AS dx FROM rv r JOIN (SELECT i, j, month, avg(label_year) AS ml FROM rv GROUP BY ALL) m USING (i, j, month))"""
 
 
-@query("a15_rolling_var_trend", ora.sql(f"SELECT 's5_rolling' AS section, 'monthly' AS season_type, month - 1 AS season_idx, 'all' AS period, i, j, CASE WHEN count(rv) >= {fx.MIN_WINDOWS} THEN sum(dx*coalesce(rv, 0.0))/nullif(sum(dx*dx), 0)*10 END AS value FROM rc GROUP BY ALL", "value", more=_ROLL))
+_ROLLING = f"SELECT 's5_rolling' AS section, 'monthly' AS season_type, month - 1 AS season_idx, 'all' AS period, i, j, CASE WHEN count(rv) >= {fx.MIN_WINDOWS} THEN sum(dx*coalesce(rv, 0.0))/nullif(sum(dx*dx), 0)*10 END AS value FROM rc GROUP BY ALL"
+
+
+@query("a15_rolling_var_trend", ora.sql(_ROLLING, "value", more=_ROLL))
 def _(spark, d):
     return climate.rolling_var_trend(fx.obs(spark, d), fx.WINDOW, fx.MIN_WINDOWS)
 
 
 @query("a16_composite", ora.sql("SELECT section, 'seasonal' AS season_type, ((season_idx + 1) % 12)//3 AS season_idx, period, i, j, avg(value) AS value FROM prod WHERE season_type = 'monthly' GROUP BY ALL UNION ALL SELECT section, 'annual', 0, period, i, j, avg(value) FROM prod WHERE season_type = 'monthly' GROUP BY ALL", "value"))
 def _(spark, d):
-    maps = products_of(spark, d)
+    maps = climate.products(fx.obs(spark, d), fx.PERIODS, season_types=("monthly",))
     return climate.composite(maps, "seasonal").unionByName(climate.composite(maps, "annual"))
 
 
@@ -344,9 +356,23 @@ def _(spark, d):
     return points.field_value(near_of(spark, d), first_field(spark, d), cells_of(spark, d))
 
 
-@query("j8_point_profile", ora.sql(f"SELECT point_id, m.s AS seq, round(value + {ora.OFF_HALVES:.10f}, 4) AS value FROM near CROSS JOIN (SELECT CAST(s AS INT) AS s FROM range(12) r(s)) m LEFT JOIN (SELECT * FROM prod WHERE section = 's2' AND season_type = 'monthly' AND period = 'all') p ON p.i = near.i AND p.j = near.j AND p.season_idx = m.s", "value"))
+@query("j7_field_value_rolling", ora.sql(f"SELECT point_id, round(CASE WHEN NOT is_land THEN value + {ora.OFF_HALVES:.10f} END, 3) AS value FROM near JOIN cells USING (i, j) LEFT JOIN (SELECT * FROM ({_ROLLING}) WHERE season_idx = 0) USING (i, j)", "value", more=_ROLL))
 def _(spark, d):
-    return points.point_profile(near_of(spark, d), off_halves(climate.significant_trend(fx.obs(spark, d))))
+    obs = fx.obs(spark, d)
+    field = off_halves(climate.rolling_var_trend(obs, fx.WINDOW, fx.MIN_WINDOWS)).where("season_idx = 0")
+    return points.field_value(near_of(spark, d), field, cells_of(spark, d))
+
+
+def _profile(name: str, f, source: str, more: str = "") -> None:
+    q = f"SELECT point_id, m.s AS seq, round(value + {ora.OFF_HALVES:.10f}, 4) AS value FROM near CROSS JOIN (SELECT CAST(s AS INT) AS s FROM range(12) r(s)) m LEFT JOIN ({source}) p ON p.i = near.i AND p.j = near.j AND p.season_idx = m.s"
+    query(name, ora.sql(q, "value", more=more))(lambda spark, d: points.point_profile(near_of(spark, d), off_halves(f(fx.obs(spark, d)))))
+
+
+_MONTHLY = "SELECT * FROM prod WHERE season_type = 'monthly' AND period = 'all' AND section = "
+_profile("j8_point_profile", climate.significant_trend, f"{_MONTHLY} 's2'")
+_profile("j8_point_profile_mean", climate.clim_mean, f"{_MONTHLY} 's1'")
+_profile("j8_point_profile_r2", climate.trend_r2, f"{_MONTHLY} 's3'")
+_profile("j8_point_profile_rolling", lambda obs: climate.rolling_var_trend(obs, fx.WINDOW, fx.MIN_WINDOWS), _ROLLING, _ROLL)
 
 
 @query("j9_point_var_by_year", ora.sql("SELECT point_id, year AS seq, round(var_pop(sst), 4) AS value FROM near JOIN obs USING (i, j) GROUP BY ALL", "value"))
@@ -501,7 +527,7 @@ def _(spark, d):
 
 @query("k1_section_ticks", ora.sql("SELECT section, pct, value FROM ticks", "value", more=ora.TICKS))
 def _(spark, d):
-    return colour.section_ticks(products_of(spark, d))
+    return colour.section_ticks(monthly_all(spark, d))
 
 
 @query("k2_anomaly_scale", ora.sql("SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period", "vm_99", "vm_999", "vm_100"))
@@ -525,6 +551,21 @@ def _(spark, d):
     return colour.value_range(monthly_all(spark, d), ["section", "season_idx"], is_symmetric())
 
 
+@query("k4_value_range_narrow", ora.sql("SELECT section, season_idx, vmin, CASE WHEN vmin = hi THEN vmin + 1 ELSE hi END AS vmax FROM (SELECT section, season_idx, coalesce(CASE WHEN section IN ('s2', 's2_raw', 's5', 's5_raw') THEN -quantile_cont(abs(value), 0.999) ELSE quantile_cont(value, 0.001) END, 0) AS vmin, coalesce(CASE WHEN section IN ('s2', 's2_raw', 's5', 's5_raw') THEN quantile_cont(abs(value), 0.999) ELSE quantile_cont(value, 0.999) END, 1) AS hi FROM prod WHERE season_type = 'monthly' AND period = 'all' GROUP BY section, season_idx)", "vmin", "vmax"))
+def _(spark, d):
+    return colour.value_range(monthly_all(spark, d), ["section", "season_idx"], is_symmetric(), 99.9)
+
+
+_SCALE = "SELECT quantile_cont(abs(value), [0.99, 0.999, 1.0]) AS q FROM anom WHERE period = 'p2' AND value IS NOT NULL"
+
+
+@query("k4_value_range_anomalies", ora.sql(f"SELECT pct, -q[k] AS vmin, q[k] AS vmax FROM ({_SCALE}) CROSS JOIN (VALUES (1, '99'), (2, '99.9'), (3, '100')) c(k, pct)", "vmin", "vmax"))
+def _(spark, d):
+    scale = colour.anomaly_scale(anom_of(spark, d))
+    ranges = [colour.anomaly_range(scale, "p2", p).select(F.lit(f"{p:g}").alias("pct"), "vmin", "vmax") for p in (99, 99.9, 100)]
+    return ranges[0].union(ranges[1]).union(ranges[2])
+
+
 _LEGEND = """, lr AS (SELECT section, coalesce(min(value), 0) AS vmin, coalesce(max(value), 1) AS vmax FROM prod WHERE season_type = 'monthly' AND period = 'all' GROUP BY section),
 lt AS (SELECT t.section, t.pct, t.value, CAST(row_number() OVER (PARTITION BY t.section ORDER BY t.pct) AS INT) AS k, greatest(0.0, least(1.0, (t.value - vmin)/(vmax - vmin))) AS norm, vmax - vmin AS span FROM (SELECT section, pct, value + {off} AS value FROM ticks) t JOIN lr USING (section)),
 rc AS (WITH RECURSIVE r(section, k, last, kept) AS (SELECT section, 1, norm, true FROM lt WHERE k = 1 UNION ALL SELECT l.section, l.k, CASE WHEN abs(l.norm - r.last) >= 0.02 THEN l.norm ELSE r.last END, abs(l.norm - r.last) >= 0.02 FROM r JOIN lt l ON l.section = r.section AND l.k = r.k + 1) SELECT * FROM r),
@@ -570,6 +611,14 @@ def _(spark, d):
     return coloured(spark, d).withColumn("idx", F.when(F.col("value").isNotNull(), F.col("idx"))).withColumns({c: F.when(F.col("value").isNotNull(), F.col(c)) for c in "rgb"})
 
 
+@query("k7_colorize_rounded", ora.sql(f"SELECT c.section, c.season_idx, c.i, c.j, c.idx, l.r, l.g, l.b FROM (SELECT p.section, p.season_idx, p.i, p.j, {_MAP_SQL} AS cmap, CAST(floor(greatest(0.0, least(1.0, (p.value + {ora.OFF_HALVES:.10f} - vmin)/(vmax - vmin)))*255 + 0.5) AS INT) AS idx FROM prod p JOIN rg USING (section, season_idx) WHERE season_type = 'monthly' AND period = 'all' AND value IS NOT NULL) c JOIN lut l ON l.cmap = c.cmap AND l.idx = c.idx", more=ora.RANGES + _lut_sql()))
+def _(spark, d):
+    maps = monthly_all(spark, d).where("value IS NOT NULL").select("section", "season_idx", "i", "j", "value")
+    keys = ["section", "season_idx"]
+    drawn = colour.colorize(off_halves(maps), colour.value_range(maps, keys, is_symmetric()), keys, colour.color_lut(spark), cmap_of(), rounded=True, epsilon=0.0)
+    return drawn.select(*keys, "i", "j", "idx", "r", "g", "b")
+
+
 @query("k8_contour_bands", ora.sql("SELECT p.section, p.season_idx, p.i, p.j, CASE WHEN value IS NOT NULL THEN CAST(len(list_filter(range(1, 11), lambda k: vmin + (vmax - vmin)*k/11 <= value)) AS INT) END AS band FROM prod p JOIN rg USING (section, season_idx) WHERE season_type = 'monthly' AND period = 'all'", more=ora.RANGES))
 def _(spark, d):
     maps = monthly_all(spark, d).select("section", "season_idx", "i", "j", "value")
@@ -628,6 +677,15 @@ def _(spark, d):
     return updates.refresh(obs.where("ts < timestamp'2001-07-01'"), obs.where("ts >= timestamp'2001-07-01'"))
 
 
+@query("u5_refresh_products", ora.sql(f"SELECT {PRODUCT}, value FROM prod", "value"))
+def _(spark, d):
+    obs, path = fx.obs(spark, d), scratch(spark, "refreshed")
+    old, new = obs.where("ts < timestamp'2001-07-01'"), obs.where("ts >= timestamp'2001-07-01'")
+    grids.write_products(climate.products(old, fx.PERIODS), path)
+    updates.write_refreshed(spark, path, updates.refreshed_products(old, new, fx.PERIODS))
+    return grids.read_products(spark, path)
+
+
 def event_slices(spark: SparkSession, d: str) -> DataFrame:
     schema = fx.table(spark, d, "events").schema
     return fx.slices(streams.read_slices(spark, d, schema, "events.parquet"))

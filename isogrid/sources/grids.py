@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 RAW_SCHEMA = "valid_time BIGINT, latitude DOUBLE, longitude DOUBLE, sst DOUBLE"
 CUBE_SCHEMA = "valid_time BIGINT, sst ARRAY<ARRAY<FLOAT>>"
 PRODUCT_SCHEMA = "section STRING, season_type STRING, season_idx INT, period STRING, i INT, j INT, value DOUBLE"
-POLYGON_SCHEMA = "features ARRAY<STRUCT<geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+POLYGON_SCHEMA = "features ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
 
 
 def read_obs(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = RAW_SCHEMA) -> DataFrame:
@@ -76,7 +76,11 @@ def explode_rings(features: DataFrame) -> DataFrame:
     return points.select("feature_id", "poly_id", "ring_id", (F.col("ring_id") > 0).alias("is_hole"), "seq", F.col("at")[0].alias("lon"), F.col("at")[1].alias("lat"))
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Ring vertices of a GeoJSON feature collection. Coordinates are kept as text until the type is known."""
-    found = spark.read.schema(POLYGON_SCHEMA).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature_id", "f"))
+def read_polygons(spark: SparkSession, path: str, id_property: str | None = None) -> DataFrame:
+    """Ring vertices of GeoJSON feature collections. Coordinates are kept as text until the type is known.
+
+    feature_id is the named whole-number property, or else the place in its collection (one of a kind in one file only).
+    """
+    found = spark.read.schema(POLYGON_SCHEMA).option("multiLine", True).json(path).select(F.posexplode("features").alias("place", "f"))
+    found = found.select((F.col("f.properties")[id_property].cast("long") if id_property else F.col("place")).alias("feature_id"), "f")
     return explode_rings(found.select("feature_id", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates")))
