@@ -18,33 +18,56 @@ STOPS = {
 SECTION_MAPS = {"s1": ("RdYlBu_r", False), "s2": ("RdBu_r", True), "s3": ("Viridis", False), "s4": ("YlOrRd", False), "s5": ("RdBu_r", True), "s6": ("Hot_r", False), "s7": ("RdBu_r", True)}
 
 
-def percentiles(column: str, percents: tuple[float, ...], exact: bool = True) -> Column:
-    """Linear-interpolated percentiles, or for very large pools approximate ones whose memory is bounded."""
-    shares = [p / 100 for p in percents]
-    return F.percentile(column, F.array(*map(F.lit, shares))) if exact else F.percentile_approx(column, shares, 100_000)
+def percentiles(column: str, percents: tuple[float, ...]) -> Column:
+    """Linear-interpolated percentiles as an aggregate; for groups of a map's size, as it holds a group's distinct values."""
+    return F.percentile(column, F.array(*(F.lit(p / 100) for p in percents)))
 
 
-def _ticks(df: DataFrame, keys: list[str], column: str, exact: bool) -> DataFrame:
-    packed = df.groupBy(*keys).agg(percentiles(column, TICK_PERCENTS, exact).alias("_v"))
-    at = F.array(*map(F.lit, TICK_PERCENTS))
-    return packed.select(*keys, F.posexplode("_v").alias("_n", "value")).select(*keys, F.get(at, F.col("_n")).cast("int").alias("pct"), "value")
+def pooled_percentiles(pool: DataFrame, keys: list[str], column: str, percents: tuple[float, ...], n_ranges: int = 64) -> DataFrame:
+    """keys, pct, value: the exact linear-interpolated percentiles of groups of any size, which no task holds whole.
 
-
-def section_ticks(products: DataFrame, exact: bool = True) -> DataFrame:
+    A sketch cuts each group's values into ranges. Those are counted, which tells in which range each asked rank lies, and only
+    the distinct values of such ranges are put in order. The result doesn't depend on where the sketch cuts; a value that is
+    repeated often is one row with its count. Groups are few (sections, periods). The pool is read three times, so store a
+    costly one first. NULLs are skipped; a group without values gives no row.
+    """
+    known = pool.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"))
+    cuts = known.groupBy(*keys).agg(F.percentile_approx("_x", [k / n_ranges for k in range(1, n_ranges)], 1_000).alias("_cuts"))
+    placed = known.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(cuts), keys)
+    counted = placed.select(*keys, "_x", "_c", F.size(F.filter("_cuts", lambda cut: cut <= F.col("_x"))).alias("_range"))
+    group, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_range")
+    sizes = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
+    sizes = sizes.select(*keys, "_range", "_size", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("_n"))
+
+    def ranks(p: float) -> list[Column]:
+        at = (F.col("_n") - 1) * F.lit(p / 100)
+        low = F.floor(at)
+        return [F.struct(F.lit(float(p)).alias("pct"), low.alias("rank"), (low + 1 - at).alias("w")), F.struct(F.lit(float(p)).alias("pct"), (low + 1).alias("rank"), (at - low).alias("w"))]
+
+    asked = F.filter(F.array(*(r for p in percents for r in ranks(p))), lambda r: (r["w"] > 0) & (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_size")))
+    wanted = sizes.select(*keys, "_range", "_before", asked.alias("_asked")).where(F.size("_asked") > 0)
+    ordered = counted.join(F.broadcast(wanted), [*keys, "_range"])
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_x"))
+    hits = ordered.withColumn("_end", end).select(*keys, "_x", F.explode(F.filter("_asked", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_c")))).alias("_r"))
+    return hits.groupBy(*keys, F.col("_r.pct").alias("pct")).agg(F.sum(F.col("_r.w") * F.col("_x")).alias("value"))
+
+
+def section_ticks(products: DataFrame) -> DataFrame:
     """section, pct, value over the values of all twelve monthly maps of all years."""
-    pool = products.where("season_type = 'monthly' AND period = 'all' AND value IS NOT NULL")
-    return _ticks(pool, ["section"], "value", exact)
+    pool = products.where("season_type = 'monthly' AND period = 'all'")
+    return pooled_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
-def anomaly_scale(anomalies: DataFrame, exact: bool = True) -> DataFrame:
+def anomaly_scale(anomalies: DataFrame) -> DataFrame:
     """period, vm_99, vm_999, vm_100: percentiles and maximum of the absolute anomalies."""
-    size = anomalies.where("value IS NOT NULL").select("period", F.abs("value").alias("a"))
-    out = size.groupBy("period").agg(percentiles("a", (99, 99.9), exact).alias("_v"), F.max("a").alias("vm_100"))
-    return out.select("period", F.col("_v")[0].alias("vm_99"), F.col("_v")[1].alias("vm_999"), "vm_100")
+    rows = pooled_percentiles(anomalies.select("period", F.abs("value").alias("a")), ["period"], "a", (99, 99.9, 100))
+    at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
+    return rows.groupBy("period").agg(at(99.0).alias("vm_99"), at(99.9).alias("vm_999"), at(100.0).alias("vm_100"))
 
 
-def anomaly_ticks(anomalies: DataFrame, exact: bool = True) -> DataFrame:
-    return _ticks(anomalies.where("value IS NOT NULL"), ["period"], "value", exact)
+def anomaly_ticks(anomalies: DataFrame) -> DataFrame:
+    """period, pct, value over all anomalies of a period."""
+    return pooled_percentiles(anomalies, ["period"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
 def stride_sample(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ SELECT m AS ts, CAST(year(m) AS INT) AS year, CAST(month(m) AS INT) AS month, i,
 FROM (SELECT CAST(l_suppkey % 6 AS INT) AS i, CAST(l_partkey % 8 AS INT) AS j, date_trunc('month', l_shipdate) AS m, avg(l_quantity) AS q
       FROM {lineitem} GROUP BY 1, 2, 3) o"""
 
+#: A second grid, as large as the tables: a cell for each order, 84 months each, about as many rows as columns. Land lies in
+#: blocks, and one month in eleven is missing. {each} is the engine's way to spread a list.
+FINE = """
+SELECT CAST(make_date(year, month, 1) AS TIMESTAMP) AS ts, year, month, i, j, 72e0 - 46e0*i/w AS lat, 117e0 + 129e0*j/w AS lon,
+       CASE WHEN (floor(i/4e0) + floor(j/6e0)) % 7 = 3 OR (a + k) % 11 = 0 THEN -32767e0
+            ELSE 28515e-2 - 20e0*i/w + 6e0*sin(2*pi()*(month - 3)/12e0) + ((b*31 + k*k*17 + a*7) % 101)/20e0 + 15e-2*(b % 5 - 2)*(year - 1995) END AS sst
+FROM (SELECT a, b, k, w, CAST(floor(a/CAST(w AS DOUBLE)) AS INT) AS i, CAST(a % w AS INT) AS j, CAST(1995 + floor(k/12e0) AS INT) AS year, CAST(k % 12 + 1 AS INT) AS month
+      FROM (SELECT o_orderkey AS a, o_custkey AS b, (SELECT CAST(ceil(sqrt(max(o_orderkey) + 1)) AS INT) FROM {orders}) AS w, {each} AS k FROM {orders}) o) c"""
+
 POINTS = "SELECT CAST(c_custkey AS BIGINT) AS point_id, 26.0 + c_custkey % 47 + (c_custkey % 7)/10.0 AS lat, 110.0 + c_custkey % 140 + (c_custkey % 3)/4.0 AS lon FROM {customer}"
 
 #: A square for each customer; every third has a hole, every fifth lies across the antimeridian, every seventh is a
@@ -56,6 +67,19 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_x(with_season(clean_sst(raw_obs(spark, sf_dir))))
 
 
+def fine_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of the grid that grows with the tables."""
+    text = FINE.replace("{each}", "explode(sequence(0, 83))")
+    return with_x(with_season(clean_sst(_sql(spark, text, orders=table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")))))
+
+
+def fine_grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """Its steps and size, of one aggregate row."""
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    width = ceil(sqrt(last + 1))
+    return Grid(72.0, -46.0 / width, last // width + 1, 117.0, 129.0 / width, width)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sql(spark, POINTS, customer=table(spark, sf_dir, "customer"))
     return rows.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))

@@ -75,7 +75,12 @@ inb AS (SELECT half, feature_id, poly_id, is_hole, CAST(p.px AS INT) AS px, CAST
 land AS (SELECT DISTINCT px, py FROM inb a WHERE NOT is_hole AND NOT EXISTS (SELECT 1 FROM inb b WHERE b.is_hole AND b.half = a.half AND b.feature_id = a.feature_id AND b.poly_id = a.poly_id AND b.px = a.px AND b.py = a.py))"""
 
 
-def sql(body: str, *doubles: str, more: str = "") -> str:
+#: The same tables over the grid that grows with the given ones.
+FINE_BASE = BASE.replace(fx.RAW.format(lineitem="lineitem"), fx.FINE.format(orders="orders", each="unnest(range(84))"))
+FINE_WIDTH = "(SELECT ceil(sqrt(max(o_orderkey) + 1)) FROM orders)"
+
+
+def sql(body: str, *doubles: str, more: str = "", base: str = BASE) -> str:
     """A query over the shared tables with its double columns rounded to 6 (and no negative zero)."""
     body = f"SELECT * FROM ({body})" if not doubles else f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + {OFF_HALVES:.10f}, 6) + 0.0 AS {c}' for c in doubles)}) FROM ({body})"
-    return f"{BASE}{more} {body}"
+    return f"{base}{more} {body}"

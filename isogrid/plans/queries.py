@@ -78,6 +78,13 @@ def monthly_all(spark: SparkSession, d: str) -> DataFrame:
     return climate.products(fx.obs(spark, d), (), season_types=("monthly",))
 
 
+def stored(spark: SparkSession, products: DataFrame) -> DataFrame:
+    """Product maps written out and read back, for what reads them more than once."""
+    path = scratch(spark, "products")
+    grids.write_products(products, path)
+    return grids.read_products(spark, path)
+
+
 def off_halves(rows: DataFrame) -> DataFrame:
     """The rows with a little added to their values before an operator rounds them, for the same reason as in ``query``."""
     return rows.withColumn("value", F.col("value") + ora.OFF_HALVES)
@@ -527,7 +534,7 @@ def _(spark, d):
 
 @query("k1_section_ticks", ora.sql("SELECT section, pct, value FROM ticks", "value", more=ora.TICKS))
 def _(spark, d):
-    return colour.section_ticks(monthly_all(spark, d))
+    return colour.section_ticks(stored(spark, monthly_all(spark, d)))
 
 
 @query("k2_anomaly_scale", ora.sql("SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period", "vm_99", "vm_999", "vm_100"))
@@ -707,3 +714,56 @@ def _(spark, d):
     rows = streams.stream_anomaly(event_slices(spark, d), base_of(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH").alias("label"), "i", "j", "period", "value")
     streams.run_to_table(rows, out, scratch(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out)
+
+# Work on a grid that grows with the tables
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", F.round(F.col("value") + ora.OFF_HALVES, 4))
+
+
+def _fine(name: str, body: str, more: str = ""):
+    text = f"SELECT * REPLACE (round(value + {ora.OFF_HALVES:.10f}, 4) AS value) FROM ({body})"
+    keep = query(name, ora.sql(text, "value", more=more, base=ora.FINE_BASE))
+    return lambda f: keep(lambda spark, d: _rounded(f(spark, d)))
+
+
+@_fine("a10_significant_trend_fine", f"SELECT 's2' AS section, season_type, season_idx, period, i, j, {_MASKED} AS value FROM st WHERE season_type = 'monthly' AND period = 'all'")
+def _(spark, d):
+    return climate.significant_trend(fx.fine_obs(spark, d))
+
+
+@_fine("a13_var_trend_fine", f"SELECT 's5' AS section, season_type, season_idx, period, i, j, {_MASKED} AS value FROM vt WHERE season_type = 'ess' AND period = 'all'")
+def _(spark, d):
+    return climate.var_trend(fx.fine_obs(spark, d), "ess")
+
+
+@_fine("j4_anomaly_annual_fine", "SELECT period, i, j, avg(sst) - avg(clim) AS value FROM anom WHERE year = (SELECT max(year) FROM obs) GROUP BY ALL")
+def _(spark, d):
+    obs = fx.fine_obs(spark, d)
+    return anomalies.anomaly_annual(obs, anomalies.baseline(obs, fx.PERIODS[:2]))
+
+
+_FINE_GRAD = _GRAD.replace("FROM st WHERE period = 'all'", "FROM st WHERE period = 'all' AND season_type = 'monthly'")
+
+
+@_fine("n1_gradient_fine", f"SELECT season_type, season_idx, i, j, CASE WHEN NOT is_land THEN sqrt(pow((coalesce(s, v) - coalesce(n, v))/(CASE WHEN s IS NULL OR n IS NULL THEN 1 ELSE 2 END)/(46/{ora.FINE_WIDTH}*111.0)*100, 2) + pow((coalesce(e, v) - coalesce(w, v))/(CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END)/(cos(radians(lat))*129/{ora.FINE_WIDTH}*111.0)*100, 2)) END AS value FROM gd", _FINE_GRAD)
+def _(spark, d):
+    obs, size = fx.fine_obs(spark, d), fx.fine_grid(spark, d)
+    means = climate.clim_mean(obs).select("season_type", "season_idx", "i", "j", "value")
+    return grid.gradient(means, ["season_type", "season_idx"], observations.land_mask(obs), size.lat_step, size.lon_step)
+
+
+_FINE_FILL = ora.FIELD.format(section="s1") + _FILL.replace("t.i BETWEEN 1 AND 4 AND t.j BETWEEN 1 AND 6", "t.i BETWEEN 1 AND (SELECT max(i) FROM cells) - 1 AND t.j BETWEEN 1 AND (SELECT max(j) FROM cells) - 1")
+
+
+@_fine("n2_fill_land_fine", "SELECT 1 AS k, i, j, value FROM fl", _FINE_FILL)
+def _(spark, d):
+    obs = fx.fine_obs(spark, d)
+    field = grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all")
+    return grid.fill_land(field.withColumn("k", F.lit(1)), ["k"], observations.land_mask(obs))
+
+
+@_fine("k1_section_ticks_fine", "SELECT section, pct, value FROM ticks", ora.TICKS)
+def _(spark, d):
+    return colour.section_ticks(stored(spark, climate.products(fx.fine_obs(spark, d), (), season_types=("monthly",))))

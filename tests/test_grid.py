@@ -278,3 +278,21 @@ def test_labels(spark):
     row = one(spark.range(1).select(fn.fmt_coord(F.lit(-5.25), F.lit(170.5)).alias("c"), fn.fmt_num(F.lit(2.345), 2).alias("n"), fn.fmt_num(F.lit(None).cast("double"), 2).alias("m"), fn.norm_lon(F.lit(246.0)).alias("l")))
     assert row["c"] == "5°15′S 170°30′E" and row["n"] in ("2,35", "2,34") and row["m"] == "—" and row["l"] == -114.0
     assert not math.isnan(row["l"])
+
+
+def test_pooled_percentiles_equal_sorting(spark):
+    """Ties that hold a third of the rows, one value, two values, NULLs, and a group without values."""
+    groups = {
+        "spread": [((k * 7919) % 1009) / 7.0 for k in range(1009)],
+        "hot": [3.5] * 400 + [float(k) for k in range(800)],
+        "one": [2.0],
+        "two": [1.0, 4.0],
+        "some": [None, 5.0, None, -1.0, 2.0],
+        "none": [None, None],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    percents = (0, 1, 33.3, 50, 99, 99.9, 100)
+    got = {(r["g"], r["pct"]): r["value"] for r in colour.pooled_percentiles(df, ["g"], "v", percents, n_ranges=8).collect()}
+    want = {(g, float(p)): float(np.percentile(known, p)) for g, vs in groups.items() if (known := [v for v in vs if v is not None]) for p in percents}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
