@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, ngram_join, packing, quality, secret_scan, sharding, token_binary, toxicity, url_filter
+from . import decontamination, divergence, fingerprints, lexical_search, mixing, ngram_join, packing, quality, secret_scan, sharding, token_binary, toxicity, url_filter
 from .common import read
 from .oracles import ORACLES
 
@@ -49,6 +49,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_packing, op3_mixing, op4_toxicity, op5_url_filter, op6_sharding, op7_token_binary, op8_fingerprints, op9_secret_scan, op10_quality_rules)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_packing, op3_mixing, op4_toxicity, op5_url_filter, op6_sharding, op7_token_binary, op8_fingerprints, op9_secret_scan, op10_quality_rules, op11_decontamination, op12_lexical_search, op13_source_divergence)}
 
 __all__ = ["ORACLES", "QUERIES"]
