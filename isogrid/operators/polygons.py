@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,31 +29,79 @@ def to_pixels(vertices: DataFrame, width: int, height: int, box: tuple[float, fl
     return vertices.withColumns({"x": (x - x0) / (x1 - x0) * width, "y": (y1 - y) / (y1 - y0) * height})
 
 
-def rasterize(vertices: DataFrame, width: int, height: int) -> DataFrame:
-    """px, py of land pixels: centres inside a polygon's outer ring and outside its own holes.
+def place_polygons(polys: DataFrame, width: int, height: int, box: tuple[float, float, float, float] = DOMAIN, boxes: dict[str, tuple[float, float, float, float]] = CLIP_BOXES) -> DataFrame:
+    """half, feature_id, poly_id, rings of the polygons (rings as arrays of lon, lat) in pixels, a row for each half they meet.
+
+    As ``tag_halves`` and ``to_pixels``, but within a polygon's own row, so nothing is grouped or joined. A ring has the
+    columns x and y, arrays of the same length.
+    """
+    x0, y0, x1, y1 = mercator_extent(box=box)
+    points = F.flatten("rings")
+    edge = lambda f, k: f(F.transform(points, lambda p: p[k]))
+    bounds = polys.withColumns({"_w": edge(F.array_min, 0), "_e": edge(F.array_max, 0), "_s": edge(F.array_min, 1), "_n": edge(F.array_max, 1)})
+    meets = [F.when((F.col("_w") <= e) & (F.col("_e") >= w) & (F.col("_s") <= n) & (F.col("_n") >= s), F.lit(h)) for h, (w, s, e, n) in boxes.items()]
+    tagged = bounds.select("feature_id", "poly_id", "rings", F.explode(F.array_compact(F.array(*meets))).alias("half"))
+    xs = lambda r: F.transform(r, lambda p: (mercator_x(p[0], F.col("half") == "east") - x0) / (x1 - x0) * width)
+    ys = lambda r: F.transform(r, lambda p: (y1 - mercator_y(p[1])) / (y1 - y0) * height)
+    return tagged.select("half", "feature_id", "poly_id", F.transform("rings", lambda r: F.struct(xs(r).alias("x"), ys(r).alias("y"))).alias("rings"))
+
 
-    Rings are cut into edges and edges into the pixel rows they cross; in a row the crossings are sorted and the stretches
-    between each odd and the following even one are inside. A vertex is joined with its next, so that a ring's vertices
-    (numbered by seq without gaps) are spread over all tasks.
+def gather_rings(vertices: DataFrame) -> DataFrame:
+    """half, feature_id, poly_id, rings from a row for each vertex (x and y in pixels), for ``rasterize``."""
+    one = vertices.groupBy("half", *RING).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
+    ring = F.struct("ring_id", F.transform("v", lambda p: p["x"]).alias("x"), F.transform("v", lambda p: p["y"]).alias("y"))
+    rings = one.groupBy("half", "feature_id", "poly_id").agg(F.array_sort(F.collect_list(ring)).alias("all"))
+    return rings.select("half", "feature_id", "poly_id", F.transform("all", lambda r: F.struct(r["x"], r["y"])).alias("rings"))
+
+
+def crossings(polys: DataFrame, width: int, height: int) -> DataFrame:
+    """half, feature_id, poly_id, ring_id, py, at: where the polygons' edges cross the middles of pixel rows.
+
+    Each vertex is paired with its next (the last one with the first) inside the ring's array, so what is exploded are edges
+    that need no join, and of them the pixel rows they cross. Edges beyond the picture's top or bottom give none.
+    """
+    rings = polys.select("half", "feature_id", "poly_id", F.posexplode("rings").alias("ring_id", "r"))
+    turned = lambda c: F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1))
+    zipped = F.arrays_zip(F.col("r.x").alias("ax"), F.col("r.y").alias("ay"), turned(F.col("r.x")).alias("bx"), turned(F.col("r.y")).alias("by"))
+    edges = rings.select("half", "feature_id", "poly_id", "ring_id", F.inline(zipped).alias("ax", "ay", "bx", "by"))
+    first = F.greatest(F.lit(0), F.ceil(F.least("ay", "by") - 0.5))
+    last = F.least(F.lit(height - 1), F.ceil(F.greatest("ay", "by") - 0.5) - 1)
+    rows = edges.select("*", first.alias("_first"), last.alias("_last")).where("ay <> by AND _first <= _last").withColumn("py", F.explode(F.sequence("_first", "_last")))
+    at = F.col("ax") + (F.col("py") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    return rows.select("half", "feature_id", "poly_id", "ring_id", F.col("py").cast("int").alias("py"), at.alias("at"))
+
+
+def land_runs(polys: DataFrame, width: int, height: int) -> DataFrame:
+    """py, first, last: the stretches of land pixels of each row, whose centres lie in an outer ring and outside its own holes.
+
+    A sweep over signed crossings. In a pixel row each ring is entered at its odd and left at its even crossings; their running
+    sums, of the outer ring and of the holes, tell the stretches that are land. Of a stretch only its two ends move on, and
+    again a running sum, over all polygons, gives the row's land. Polygons are dealt by pixel row as well, so a continent is
+    spread over as many tasks as it has rows. One pass over the polygons, three exchanges.
     """
-    ring = ["half", *RING]
-    points = vertices.select(*ring, "seq", "is_hole", "x", "y")
-    ends = points.groupBy(*ring).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
-    closing = points.join(ends, ring).where("seq = _first").withColumn("seq", F.col("_last"))
-    shifted = points.withColumn("seq", F.col("seq") - 1)
-    following = reduce(DataFrame.union, [p.select(*ring, "seq", F.col("x").alias("x2"), F.col("y").alias("y2")) for p in (shifted, closing)])
-    edges = points.join(following, [*ring, "seq"])
-    low, high = F.least("y", "y2"), F.greatest("y", "y2")
-    first, last = F.greatest(F.lit(0), F.ceil(low - 0.5)), F.least(F.lit(height - 1), F.ceil(high - 0.5) - 1)
-    rows = edges.where((F.col("y") != F.col("y2")) & (first <= last)).withColumn("py", F.explode(F.sequence(first, last)))
-    at = F.col("x") + (F.col("py") + 0.5 - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))
-    line = Window.partitionBy("half", *RING, "py").orderBy("at")
-    crossings = rows.select("half", *RING, "is_hole", "py", at.alias("at"))
-    pairs = crossings.select("*", F.row_number().over(line).alias("k"), F.lead("at").over(line).alias("to")).where("k % 2 = 1 AND to IS NOT NULL")
-    a, b = F.greatest(F.lit(0), F.ceil(F.col("at") - 0.5)), F.least(F.lit(width - 1), F.ceil(F.col("to") - 0.5) - 1)
-    inside = pairs.where(a <= b).select("half", "feature_id", "poly_id", "is_hole", F.col("py").cast("int").alias("py"), F.explode(F.sequence(a, b)).alias("px"))
-    keys = ["half", "feature_id", "poly_id", "px", "py"]
-    return inside.where("NOT is_hole").join(inside.where("is_hole").select(*keys), keys, "left_anti").select(F.col("px").cast("int").alias("px"), "py").distinct()
+    row = ["half", "feature_id", "poly_id", "py"]
+    dealt = crossings(polys, width, height).repartition(*row)
+    odd = F.row_number().over(Window.partitionBy(*row, "ring_id").orderBy("at")) % 2 == 1
+    step = F.when(odd, 1).otherwise(-1)
+    entered = dealt.withColumn("step", step)
+    # what starts inside a pixel's centre counts from the next pixel on; ends at one place are taken together
+    place = F.greatest(F.lit(0), F.least(F.lit(width), F.ceil(F.col("at") - 0.5))).cast("int")
+    sweep = Window.partitionBy(*row).orderBy("px").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = entered.withColumn("px", place).select(*row, "px", F.sum(F.when(F.col("ring_id") == 0, F.col("step")).otherwise(0)).over(sweep).alias("outer"), F.sum(F.when(F.col("ring_id") > 0, F.col("step")).otherwise(0)).over(sweep).alias("holes"))
+    land = (F.col("outer") > 0) & (F.col("holes") <= 0)
+    before = F.lag(land, 1, False).over(Window.partitionBy(*row).orderBy("px"))
+    ends = swept.withColumns({"land": land, "before": before}).where("land <> before").select("py", "px", F.when(F.col("land"), 1).otherwise(-1).alias("step"))
+    line = Window.partitionBy("py").orderBy("px")
+    summed = ends.groupBy("py", "px").agg(F.sum("step").alias("step"))
+    depth = summed.select("py", "px", (F.sum("step").over(line) > 0).alias("land"))
+    turns = depth.withColumn("before", F.lag("land", 1, False).over(line)).where("land <> before")
+    runs = turns.select("py", F.col("px").alias("first"), (F.lead("px", 1, width).over(line) - 1).alias("last"), "land")
+    return runs.where(F.col("land") & (F.col("first") < width)).drop("land")
+
+
+def rasterize(polys: DataFrame, width: int, height: int) -> DataFrame:
+    """px, py of the land pixels of ``land_runs``."""
+    return land_runs(polys, width, height).select(F.explode(F.sequence("first", "last")).alias("px"), "py")
 
 
 def ocean_pixels(land: DataFrame, width: int, height: int) -> DataFrame:

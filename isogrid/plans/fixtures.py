@@ -16,6 +16,8 @@ EVERY = (ALL_YEARS, *PERIODS)
 YEAR, WINDOW, MIN_WINDOWS, TODAY = 2000, 3, 3, "2002-03-15"
 GRID = Grid(72.0, -8.0, 6, 117.0, 16.0, 8)
 WIDTH, HEIGHT, ZOOM, SIGMA = 120, 55, 3, 4.0
+#: The size of a land mask as it is used.
+FINE_WIDTH, FINE_HEIGHT = 1200, 550
 
 
 RAW = """

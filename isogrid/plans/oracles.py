@@ -64,17 +64,26 @@ BILINEAR = f""", t1 AS (SELECT *, (lat - 72.0)/-8.0 AS fi, (lon - 117.0)/16.0 AS
 t2 AS (SELECT *, CAST(least(floor(fi), 4) AS INT) AS i0, CAST(least(floor(fj), 6) AS INT) AS j0 FROM t1 WHERE fi BETWEEN 0 AND 5 AND fj BETWEEN 0 AND 7),
 t3 AS (SELECT target_id, CASE WHEN count(f.value) = 4 THEN sum(abs(1 - a - (fi - i0))*abs(1 - b - (fj - j0))*f.value) END AS value FROM t2 CROSS JOIN {_CORNERS} LEFT JOIN fld f ON f.i = i0 + a AND f.j = j0 + b GROUP BY target_id),
 bil AS (SELECT t1.target_id, t3.value FROM t1 LEFT JOIN t3 USING (target_id))"""
-SQUARES = f""", s0 AS ({fx.SQUARES.format(customer='customer')}), sqr AS (SELECT feature_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(r AS DOUBLE) AS r, hole, multi FROM s0),
+_SQUARES = f""", s0 AS ({fx.SQUARES.format(customer='customer')}), sqr AS (SELECT feature_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(r AS DOUBLE) AS r, hole, multi FROM s0),
 rings AS (SELECT feature_id, 0 AS poly_id, 0 AS ring_id, x, y, r FROM sqr UNION ALL SELECT feature_id, 0, 1, x, y, r/2 FROM sqr WHERE hole UNION ALL SELECT feature_id, 1, 0, x, y, r/4 FROM sqr WHERE multi),
 verts AS (SELECT feature_id, poly_id, ring_id, ring_id > 0 AS is_hole, seq, x + a*r AS lon, y + b*r AS lat FROM rings CROSS JOIN (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) c(seq, a, b)),
 bb AS (SELECT feature_id, poly_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM verts GROUP BY ALL),
 halves AS (SELECT feature_id, poly_id, half FROM bb JOIN (VALUES ('west', 116.5, 25.5, 180.5, 72.5), ('east', -180.5, 25.5, -114.5, 72.5)) h(half, w, s, e, n) ON x0 <= e AND x1 >= w AND y0 <= n AND y1 >= s),
-pv AS (SELECT half, v.*, (radians(lon)*{_R} + CASE WHEN half = 'east' THEN {_C} ELSE 0 END - {_X0})/({_X1} - {_X0})*{fx.WIDTH} AS x, ({_Y1} - ln(tan(pi()/4 + radians(lat)/2))*{_R})/({_Y1} - {_Y0})*{fx.HEIGHT} AS y FROM verts v JOIN halves USING (feature_id, poly_id)),
+pv AS (SELECT half, v.*, (radians(lon)*{_R} + CASE WHEN half = 'east' THEN {_C} ELSE 0 END - {_X0})/({_X1} - {_X0})*{{width}} AS x, ({_Y1} - ln(tan(pi()/4 + radians(lat)/2))*{_R})/({_Y1} - {_Y0})*{{height}} AS y FROM verts v JOIN halves USING (feature_id, poly_id)),
 box AS (SELECT half, feature_id, poly_id, ring_id, is_hole, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM pv GROUP BY ALL),
-inb AS (SELECT half, feature_id, poly_id, is_hole, CAST(p.px AS INT) AS px, CAST(q.py AS INT) AS py FROM box, range({fx.WIDTH}) p(px), range({fx.HEIGHT}) q(py) WHERE p.px + 0.5 >= ax AND p.px + 0.5 < bx AND q.py + 0.5 >= ay AND q.py + 0.5 < by_),
+inr AS (SELECT half, feature_id, poly_id, is_hole, ax, bx, unnest(range(greatest(0, CAST(ceil(ay - 0.5) AS BIGINT)), least({{height}}, CAST(ceil(by_ - 0.5) AS BIGINT)))) AS py FROM box),
+inb AS (SELECT half, feature_id, poly_id, is_hole, CAST(py AS INT) AS py, CAST(unnest(range(greatest(0, CAST(ceil(ax - 0.5) AS BIGINT)), least({{width}}, CAST(ceil(bx - 0.5) AS BIGINT)))) AS INT) AS px FROM inr),
 land AS (SELECT DISTINCT px, py FROM inb a WHERE NOT is_hole AND NOT EXISTS (SELECT 1 FROM inb b WHERE b.is_hole AND b.half = a.half AND b.feature_id = a.feature_id AND b.poly_id = a.poly_id AND b.px = a.px AND b.py = a.py))"""
 
 
+def squares(width: int, height: int) -> str:
+    """The polygons, and their land in a picture of that size; squares with level sides hold ranges of rows and columns."""
+    return _SQUARES.format(width=width, height=height)
+
+
+SQUARES = squares(fx.WIDTH, fx.HEIGHT)
+
+
 #: The same tables over the grid that grows with the given ones.
 FINE_BASE = BASE.replace(fx.RAW.format(lineitem="lineitem"), fx.FINE.format(orders="orders", each="unnest(range(84))"))
 FINE_WIDTH = "(SELECT ceil(sqrt(max(o_orderkey) + 1)) FROM orders)"

@@ -412,6 +412,11 @@ def projected(spark: SparkSession, d: str) -> DataFrame:
     return polygons.to_pixels(vertices.join(polygons.tag_halves(vertices), ["feature_id", "poly_id"]), fx.WIDTH, fx.HEIGHT)
 
 
+def land_pixels(spark: SparkSession, d: str, width: int, height: int) -> DataFrame:
+    polys = polygons.place_polygons(grids.explode_polygons(fx.features(spark, d)), width, height)
+    return polygons.ocean_pixels(polygons.rasterize(polys, width, height), width, height)
+
+
 @query("j13_tag_halves", ora.sql("SELECT feature_id, poly_id, half FROM halves", more=ora.SQUARES))
 def _(spark, d):
     return polygons.tag_halves(grids.explode_rings(fx.features(spark, d)))
@@ -419,12 +424,12 @@ def _(spark, d):
 
 @query("j14_rasterize", ora.sql(f"SELECT CAST(p.x AS INT) AS px, CAST(q.y AS INT) AS py, l.px IS NULL AS is_ocean FROM range({fx.WIDTH}) p(x) CROSS JOIN range({fx.HEIGHT}) q(y) LEFT JOIN land l ON l.px = p.x AND l.py = q.y", more=ora.SQUARES))
 def _(spark, d):
-    return polygons.ocean_pixels(polygons.rasterize(projected(spark, d), fx.WIDTH, fx.HEIGHT), fx.WIDTH, fx.HEIGHT)
+    return land_pixels(spark, d, fx.WIDTH, fx.HEIGHT)
 
 
 @query("j15_sample_mask", ora.sql(f"SELECT point_id, l.px IS NULL AS is_ocean FROM (SELECT point_id, greatest(0, least({fx.WIDTH - 1}, CAST(trunc((radians(lon)*{ora._R} - {ora._X0})/(({ora._X1} - {ora._X0})/{fx.WIDTH})) AS INT))) AS mx, greatest(0, least({fx.HEIGHT - 1}, CAST(trunc(({ora._Y1} - ln(tan(pi()/4 + radians(lat)/2))*{ora._R})/(({ora._Y1} - {ora._Y0})/{fx.HEIGHT})) AS INT))) AS my FROM pts) LEFT JOIN land l ON l.px = mx AND l.py = my", more=ora.SQUARES))
 def _(spark, d):
-    mask = polygons.ocean_pixels(polygons.rasterize(projected(spark, d), fx.WIDTH, fx.HEIGHT), fx.WIDTH, fx.HEIGHT)
+    mask = land_pixels(spark, d, fx.WIDTH, fx.HEIGHT)
     placed = fx.points(spark, d).select("point_id", fn.mercator_x(F.col("lon")).alias("x"), fn.mercator_y(F.col("lat")).alias("y"))
     return polygons.sample_mask(placed, mask, fx.WIDTH, fx.HEIGHT).select("point_id", "is_ocean")
 
@@ -767,3 +772,9 @@ def _(spark, d):
 @_fine("k1_section_ticks_fine", "SELECT section, pct, value FROM ticks", ora.TICKS)
 def _(spark, d):
     return colour.section_ticks(stored(spark, climate.products(fx.fine_obs(spark, d), (), season_types=("monthly",))))
+
+
+@query("j14_rasterize_fine", ora.sql("SELECT py, CAST(min(px) AS INT) AS first, CAST(max(px) AS INT) AS last FROM (SELECT px, py, px - row_number() OVER (PARTITION BY py ORDER BY px) AS run FROM land) GROUP BY py, run", more=ora.squares(fx.FINE_WIDTH, fx.FINE_HEIGHT)))
+def _(spark, d):
+    polys = polygons.place_polygons(grids.explode_polygons(fx.features(spark, d)), fx.FINE_WIDTH, fx.FINE_HEIGHT)
+    return polygons.land_runs(polys, fx.FINE_WIDTH, fx.FINE_HEIGHT)

@@ -65,13 +65,16 @@ def series_json(series: DataFrame) -> DataFrame:
     return series.groupBy("point_id").agg(F.to_json(packed, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def explode_polygons(features: DataFrame) -> DataFrame:
+    """feature_id, poly_id, rings (arrays of lon, lat; the first is the outer one) from rows of (feature_id, type, coordinates as JSON text)."""
+    polygon = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
+    polys = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", polygon))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", f"ARRAY<{polygon}>"))
+    return features.select("feature_id", F.posexplode(polys).alias("poly_id", "rings"))
+
+
 def explode_rings(features: DataFrame) -> DataFrame:
     """Ring vertices from rows of (feature_id, type, coordinates as JSON text), for polygons and multipolygons alike."""
-    polygon = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
-    one = features.where("type = 'Polygon'").select("feature_id", F.array(F.from_json("coordinates", polygon)).alias("polys"))
-    many = features.where("type = 'MultiPolygon'").select("feature_id", F.from_json("coordinates", f"ARRAY<{polygon}>").alias("polys"))
-    polys = one.union(many).select("feature_id", F.posexplode("polys").alias("poly_id", "rings"))
-    rings = polys.select("feature_id", "poly_id", F.posexplode("rings").alias("ring_id", "ring"))
+    rings = explode_polygons(features).select("feature_id", "poly_id", F.posexplode("rings").alias("ring_id", "ring"))
     points = rings.select("feature_id", "poly_id", "ring_id", F.posexplode("ring").alias("seq", "at"))
     return points.select("feature_id", "poly_id", "ring_id", (F.col("ring_id") > 0).alias("is_hole"), "seq", F.col("at")[0].alias("lon"), F.col("at")[1].alias("lat"))
 

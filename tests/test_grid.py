@@ -204,6 +204,7 @@ def test_rasterized_square_with_hole_and_island(spark):
     rows = [(0, 0, k, k > 0, s, float(x), float(y), "west") for k, rr in enumerate((8, 4)) for s, (x, y) in enumerate(ring(10, rr))]
     rows += [(1, 0, 0, False, s, float(x), float(y), "west") for s, (x, y) in enumerate(ring(10, 1))]
     v = spark.createDataFrame(rows, "feature_id long, poly_id int, ring_id int, is_hole boolean, seq int, x double, y double, half string")
+    v = polygons.gather_rings(v)
     land = {(r["px"], r["py"]) for r in polygons.rasterize(v, 20, 20).collect()}
     want = {(x, y) for x in range(20) for y in range(20) if max(abs(x - 9.5), abs(y - 9.5)) < 8 and not max(abs(x - 9.5), abs(y - 9.5)) < 4 or max(abs(x - 9.5), abs(y - 9.5)) < 1}
     assert land == want and polygons.ocean_pixels(polygons.rasterize(v, 20, 20), 20, 20).where("is_ocean").count() == 400 - len(want)
