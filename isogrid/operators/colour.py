@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .quantiles import exact_percentiles, with_row_numbers
 
 # The percentiles of legend ticks, colour stops (position and RGB) and the sections' colour maps.
 TICK_PERCENTS = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99, 100)
@@ -18,73 +19,45 @@ STOPS = {
 SECTION_MAPS = {"s1": ("RdYlBu_r", False), "s2": ("RdBu_r", True), "s3": ("Viridis", False), "s4": ("YlOrRd", False), "s5": ("RdBu_r", True), "s6": ("Hot_r", False), "s7": ("RdBu_r", True)}
 
 
-def percentiles(column: str, percents: tuple[float, ...]) -> Column:
-    """Linear-interpolated percentiles as an aggregate; for groups of a map's size, as it holds a group's distinct values."""
-    return F.percentile(column, F.array(*(F.lit(p / 100) for p in percents)))
-
-
-def pooled_percentiles(pool: DataFrame, keys: list[str], column: str, percents: tuple[float, ...], n_ranges: int = 64) -> DataFrame:
-    """keys, pct, value: the exact linear-interpolated percentiles of groups of any size, which no task holds whole.
-
-    A sketch cuts each group's values into ranges. Those are counted, which tells in which range each asked rank lies, and only
-    the distinct values of such ranges are put in order. The result doesn't depend on where the sketch cuts; a value that is
-    repeated often is one row with its count. Groups are few (sections, periods). The pool is read three times, so store a
-    costly one first. NULLs are skipped; a group without values gives no row.
-    """
-    known = pool.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"))
-    cuts = known.groupBy(*keys).agg(F.percentile_approx("_x", [k / n_ranges for k in range(1, n_ranges)], 1_000).alias("_cuts"))
-    placed = known.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(cuts), keys)
-    counted = placed.select(*keys, "_x", "_c", F.size(F.filter("_cuts", lambda cut: cut <= F.col("_x"))).alias("_range"))
-    group, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_range")
-    sizes = counted.groupBy(*keys, "_range").agg(F.sum("_c").alias("_size"))
-    sizes = sizes.select(*keys, "_range", "_size", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("_n"))
-
-    def ranks(p: float) -> list[Column]:
-        at = (F.col("_n") - 1) * F.lit(p / 100)
-        low = F.floor(at)
-        return [F.struct(F.lit(float(p)).alias("pct"), low.alias("rank"), (low + 1 - at).alias("w")), F.struct(F.lit(float(p)).alias("pct"), (low + 1).alias("rank"), (at - low).alias("w"))]
-
-    asked = F.filter(F.array(*(r for p in percents for r in ranks(p))), lambda r: (r["w"] > 0) & (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_size")))
-    wanted = sizes.select(*keys, "_range", "_before", asked.alias("_asked")).where(F.size("_asked") > 0)
-    ordered = counted.join(F.broadcast(wanted), [*keys, "_range"])
-    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_x"))
-    hits = ordered.withColumn("_end", end).select(*keys, "_x", F.explode(F.filter("_asked", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_c")))).alias("_r"))
-    return hits.groupBy(*keys, F.col("_r.pct").alias("pct")).agg(F.sum(F.col("_r.w") * F.col("_x")).alias("value"))
-
-
 def section_ticks(products: DataFrame) -> DataFrame:
-    """section, pct, value over the values of all twelve monthly maps of all years."""
+    """section, pct, value over the values of all twelve monthly maps of all years; the maps are read three times."""
     pool = products.where("season_type = 'monthly' AND period = 'all'")
-    return pooled_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
+    return exact_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
 def anomaly_scale(anomalies: DataFrame) -> DataFrame:
     """period, vm_99, vm_999, vm_100: percentiles and maximum of the absolute anomalies."""
-    rows = pooled_percentiles(anomalies.select("period", F.abs("value").alias("a")), ["period"], "a", (99, 99.9, 100))
+    rows = exact_percentiles(anomalies.select("period", F.abs("value").alias("a")), ["period"], "a", (99, 99.9, 100))
     at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
     return rows.groupBy("period").agg(at(99.0).alias("vm_99"), at(99.9).alias("vm_999"), at(100.0).alias("vm_100"))
 
 
 def anomaly_ticks(anomalies: DataFrame) -> DataFrame:
     """period, pct, value over all anomalies of a period."""
-    return pooled_percentiles(anomalies, ["period"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
+    return exact_percentiles(anomalies, ["period"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
 def stride_sample(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """Every k-th row of each group in order, k such that about n remain; sampling is the feature here."""
-    w = Window.partitionBy(*keys)
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / n))
-    ranked = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)) - 1, "_step": step})
-    return ranked.where("_rn % _step = 0").drop("_rn", "_step")
+    """Every k-th row of each group in order, k such that about n remain; sampling is the feature here.
+
+    Rows are numbered by ranges, so no task holds a group.
+    """
+    ranked = with_row_numbers(df, keys, order, "_rn", "_n")
+    return ranked.where(F.col("_rn") % F.greatest(F.lit(1), F.floor(F.col("_n") / n)) == 0).select(*df.columns)
 
 
 def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent: float = 99) -> DataFrame:
-    """vmin, vmax of each field's colours. Symmetric ones reach the percentile of the absolute values on both sides."""
-    low, high = (0, 100) if percent >= 100 else (0.1, 99.9) if percent >= 99.9 else (1, 99)
-    v = fields.withColumn("_a", F.abs("value"))
-    out = v.groupBy(*keys).agg(percentiles("value", (low, high)).alias("_v"), percentiles("_a", (high,)).alias("_s"), F.first(symmetric).alias("_sym"))
-    lo = F.coalesce(F.when(F.col("_sym"), -F.col("_s")[0]).otherwise(F.col("_v")[0]), F.lit(0.0))
-    hi = F.coalesce(F.when(F.col("_sym"), F.col("_s")[0]).otherwise(F.col("_v")[1]), F.lit(1.0))
+    """vmin, vmax of each field's colours. Symmetric ones reach the percentile of the absolute values on both sides.
+
+    A field without values has the range 0 to 1. The fields are read four times, so store costly ones first.
+    """
+    low, high = (0.0, 100.0) if percent >= 100 else (0.1, 99.9) if percent >= 99.9 else (1.0, 99.0)
+    kinds = fields.groupBy(*keys).agg(F.first(symmetric).alias("_sym"))
+    sized = fields.select(*keys, F.when(symmetric, F.abs("value")).otherwise(F.col("value")).alias("_v"))
+    found = exact_percentiles(sized, keys, "_v", (low, high)).groupBy(*keys).agg(F.max(F.when(F.col("pct") == low, F.col("value"))).alias("_low"), F.max(F.when(F.col("pct") == high, F.col("value"))).alias("_high"))
+    out = kinds.join(found, keys, "left")
+    lo = F.coalesce(F.when(F.col("_sym"), -F.col("_high")).otherwise(F.col("_low")), F.lit(0.0))
+    hi = F.coalesce("_high", F.lit(1.0))
     return out.select(*keys, lo.alias("vmin"), F.when(lo == hi, lo + 1).otherwise(hi).alias("vmax"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from math import ceil, exp
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,53 +37,145 @@ class Grid:
         return min(self.lat0, lat1), max(self.lat0, lat1), min(self.lon0, lon1), max(self.lon0, lon1)
 
 
+#: Cells of a tile's side; a tile is what one task works on at a time.
+TILE_CELLS = 64
+
+
 def complete(fields: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
-    """A row for every key and cell; value NULL where the field had none. Keys are few (months, sections)."""
-    names = fields.select(*keys).distinct()
-    full = cells.join(F.broadcast(names))
-    return full.join(fields.select(*keys, "i", "j", "value"), [*keys, "i", "j"], "left")
+    """Rows that hold every cell of every key (lat, is_land) and every value of the fields, not yet brought together.
+
+    Keys are few (months, sections). Grouped by key and cell, the greatest of each column makes one row of both.
+    """
+    asked = cells.join(F.broadcast(fields.select(*keys).distinct()))
+    have = fields.select(*keys, "i", "j", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("boolean").alias("is_land"), F.col("value").cast("double").alias("value"))
+    return asked.select(*keys, "i", "j", F.col("lat").cast("double").alias("lat"), "is_land", F.lit(None).cast("double").alias("value")).unionByName(have)
+
+
+def _one_each(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each cell of ``complete``'s; values outside the cells go."""
+    return rows.groupBy(*by).agg(*(F.max(c).alias(c) for c in ("lat", "is_land", "value"))).where("is_land IS NOT NULL")
+
+
+def tiles(fields: DataFrame, keys: list[str], cells: DataFrame, halo: int, side: int = TILE_CELLS) -> DataFrame:
+    """keys, _ti, _tj, i, j, lat, is_land, value: each cell in its tile and in those that it is at most ``halo`` cells from.
+
+    This is the only shuffle: what follows is work inside tiles, which are dealt by key and place.
+    """
+    near = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / side)), F.floor((F.col(c) + halo) / side))
+    rows = complete(fields, keys, cells).withColumn("_ti", F.explode(near("i"))).withColumn("_tj", F.explode(near("j")))
+    return _one_each(rows.repartition(*keys, "_ti", "_tj"), [*keys, "_ti", "_tj", "i", "j"])
+
+
+def _per_tile(rows: DataFrame, keys: list[str], fields: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """keys, i, j, value of the cells that ``work`` answers for: it gets a tile's rows and gives their places and values (NaN for none)."""
+    schema = fields.select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value")).schema
+    names = [f.name for f in schema][:-1]
+
+    def run(tile: pa.Table) -> pa.Table:
+        own, value = work(tile)
+        return tile.take(pa.array(own)).select(names).append_column("value", pa.array(value, pa.float64(), mask=np.isnan(value)))
 
+    return rows.groupBy(*keys, "_ti", "_tj").applyInArrow(run, schema).select(*keys, "i", "j", "value")
 
-def gradient(fields: DataFrame, keys: list[str], cells: DataFrame, lat_step: float, lon_step: float) -> DataFrame:
-    """Size of the gradient per 100 km. Land and missing cells count as 0 in differences and get no value on land.
 
-    Differences are central inside and one-sided at the ends of each axis, over a complete grid.
+def gradient(fields: DataFrame, keys: list[str], cells: DataFrame, lat_step: float, lon_step: float, side: int = TILE_CELLS) -> DataFrame:
+    """Size of the gradient per 100 km. Land and missing values count as 0 in differences; land gets no value.
+
+    Differences are central inside and one-sided at the ends of each axis, also where the cells end inside of their rectangle.
+    One shuffle, of the cells with a margin of one; a tile's differences are those of its dense array.
     """
-    rows = complete(fields, keys, cells).withColumn("_v", F.when(~F.col("is_land"), F.coalesce("value", F.lit(0.0))).otherwise(0.0))
 
-    def slope(along: str, across: str) -> Column:
-        w = Window.partitionBy(*keys, across).orderBy(along)
-        before, after = F.lag("_v").over(w), F.lead("_v").over(w)
-        return F.when(before.isNull(), after - F.col("_v")).when(after.isNull(), F.col("_v") - before).otherwise((after - before) / 2)
+    def slopes(v: np.ndarray) -> np.ndarray:
+        """Along the first axis, with NaN for no cell and where a cell has no neighbour at all."""
+        before, after = np.full_like(v, np.nan), np.full_like(v, np.nan)
+        before[1:], after[:-1] = v[:-1], v[1:]
+        one = np.where(np.isnan(before), after - v, v - before)
+        return np.where(np.isnan(before) | np.isnan(after), one, (after - before) / 2)
+
+    def work(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j, lat, value = (tile.column(c).to_numpy() for c in ("i", "j", "lat", "value"))
+        land = tile.column("is_land").to_numpy()
+        v = np.full((i.max() - i.min() + 1, j.max() - j.min() + 1), np.nan)
+        at = i - i.min(), j - j.min()
+        v[at] = np.where(land | np.isnan(value), 0.0, value)
+        km_lon = np.cos(np.radians(lat)) * abs(lon_step) * KM_PER_DEGREE
+        gy, gx = slopes(v)[at] / (abs(lat_step) * KM_PER_DEGREE) * 100, slopes(v.T).T[at] / np.where(km_lon > 0, km_lon, 1.0) * 100
+        own = np.flatnonzero((i // side == tile.column("_ti")[0].as_py()) & (j // side == tile.column("_tj")[0].as_py()))
+        return own, np.where(land, np.nan, np.sqrt(gx * gx + gy * gy))[own]
 
-    km_lat, km_lon = abs(lat_step) * KM_PER_DEGREE, F.cos(F.radians("lat")) * (abs(lon_step) * KM_PER_DEGREE)
-    both = rows.withColumn("_gy", slope("i", "j") / km_lat * 100).withColumn("_gx", slope("j", "i") / F.when(km_lon > 0, km_lon).otherwise(1.0) * 100)
-    size = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
-    return both.select(*keys, "i", "j", F.when(~F.col("is_land"), size).alias("value"))
+    return _per_tile(tiles(fields, keys, cells, 1, side), keys, fields, work)
+
+
+def nearest_in_line(at: list[int], offset: list[int], row: list[int], asked: list[int]) -> list[int]:
+    """For each asked column the index of the best source: least (at - column)² + offset, then least row, then least column.
+
+    Sources are in order of their columns ``at``. Their parabolas' lower envelope is built in one fold, in which each is put
+    on and taken off once, and read in one sweep, so work grows with the columns, not with their square. All in whole numbers.
+    """
+    stack: list[int] = []
+    upto: list[tuple[int, int]] = []  # where the one below gives way, as a fraction; both are best at that very place
+
+    def meet(p: int, q: int) -> tuple[int, int]:
+        return offset[q] + at[q] ** 2 - offset[p] - at[p] ** 2, 2 * (at[q] - at[p])
+
+    for q in range(len(at)):
+        while stack:
+            n, d = meet(stack[-1], q)
+            if len(stack) > 1 and n * upto[-1][1] < upto[-1][0] * d:
+                stack.pop()
+                upto.pop()
+            else:
+                upto.append((n, d))
+                break
+        stack.append(q)
+    out, k = [], 0
+    for j in asked:
+        while k < len(upto) and upto[k][0] < j * upto[k][1]:
+            k += 1
+        best, m = stack[k], k
+        while m < len(upto) and upto[m][0] == j * upto[m][1]:
+            m += 1
+            best = min(best, stack[m], key=lambda s: (row[s], at[s]))
+        out.append(best)
+    return out
 
 
 def fill_land(fields: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
     """Land cells off the border get the value of the nearest ocean cell, in index distance; ties by (i, j).
 
-    Exact in two separable steps: the nearest source within each column by window functions, then for each land cell
-    the best column of its row. A row's columns form one array, so work is cells times columns, never cells squared, and no
-    task needs a whole map. Without ocean values any value is a source; without any, land gets 0.
+    Exact in two separable steps: the nearest source within each column by window functions, then for each row the lower
+    envelope of its columns' distances (``nearest_in_line``), so work is in proportion to the cells and no task holds a map.
+    Without ocean values any value is a source; without any, land gets 0. Two shuffles, by column and by row. The fields are
+    read twice, so store costly ones first.
     """
-    rows = complete(fields, keys, cells)
+    rows = _one_each(complete(fields, keys, cells).repartition(*keys, "j"), [*keys, "j", "i"])
     own = F.col("value").isNotNull()
     whole = rows.groupBy(*keys).agg(F.max(own & ~F.col("is_land")).alias("_ocean"), F.max("i").alias("_last_i"), F.max("j").alias("_last_j"))
+    whole = whole.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_ocean", "_last_i", "_last_j")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     inner = (F.col("i") > 0) & (F.col("j") > 0) & (F.col("i") < F.col("_last_i")) & (F.col("j") < F.col("_last_j"))
-    marked = rows.join(whole, keys).select(*keys, "i", "j", "value", (own & (~F.col("is_land") | ~F.col("_ocean"))).alias("_src"), (~own & F.col("is_land") & inner).alias("_fill"))
+    marked = rows.join(F.broadcast(whole), same).select(*keys, "i", "j", "value", (own & (~F.col("is_land") | ~F.col("_ocean"))).alias("_src"), (~own & F.col("is_land") & inner).alias("_fill"))
     column = Window.partitionBy(*keys, "j").orderBy("i")
     source = F.when(F.col("_src"), F.struct("i", "value"))
     near = marked.select("*", F.last(source, True).over(column.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.first(source, True).over(column.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
-    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.pow(F.col("i") - F.col(f"{c}.i"), 2).alias("d2"), F.col(f"{c}.i").alias("si"), F.col(f"{c}.value").alias("v")))
+    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.pow(F.col("i") - F.col(f"{c}.i"), 2).cast("long").alias("d2"), F.col(f"{c}.i").alias("si"), F.col(f"{c}.value").alias("v")))
     best = near.withColumn("_best", F.array_min(F.filter(F.array(option("_up"), option("_down")), lambda o: o.isNotNull())))
-    lines = best.groupBy(*keys, "i").agg(F.collect_list(F.struct("j", "value", "_fill", "_best")).alias("_line"))
-    lines = lines.withColumn("_from", F.filter("_line", lambda c: c["_best"].isNotNull()))
-    nearest = lambda j: F.array_min(F.transform("_from", lambda s: F.struct((s["_best"]["d2"] + F.pow(j - s["j"], 2)).alias("d2"), s["_best"]["si"].alias("si"), s["j"].alias("sj"), s["_best"]["v"].alias("v"))))["v"]
-    filled = F.transform("_line", lambda c: F.struct(c["j"].alias("j"), F.when(c["_fill"], F.coalesce(nearest(c["j"]), F.lit(0.0))).otherwise(c["value"]).alias("value")))
-    return lines.select(*keys, "i", F.explode(filled).alias("_c")).select(*keys, "i", "_c.j", "_c.value")
+    lines = best.select(*keys, "i", "j", "value", "_fill", "_best.d2", "_best.si", "_best.v")
+    schema = fields.select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("value")).schema
+    names = [f.name for f in schema]
+
+    def fill(line: pa.Table) -> pa.Table:
+        line = line.sort_by("j")
+        columns, value = line.column("j").to_pylist(), line.column("value").to_pylist()
+        d2, row, v = (line.column(c).to_pylist() for c in ("d2", "si", "v"))
+        known = [k for k, d in enumerate(d2) if d is not None]
+        asked = [k for k, f in enumerate(line.column("_fill").to_pylist()) if f]
+        found = nearest_in_line([columns[k] for k in known], [d2[k] for k in known], [row[k] for k in known], [columns[k] for k in asked]) if known else [None] * len(asked)
+        for k, s in zip(asked, found):
+            value[k] = 0.0 if s is None else v[known[s]]
+        return line.select(names[:-1]).append_column("value", pa.array(value, pa.float64()))
+
+    return lines.groupBy(*keys, "i").applyInArrow(fill, schema).select(*keys, "i", "j", "value")
 
 
 def _corners(targets: DataFrame, fi: Column, fj: Column, grid: Grid) -> DataFrame:
@@ -120,26 +215,46 @@ def resample_ocean(targets: DataFrame, field: DataFrame, cells: DataFrame, grid:
     return sums.select("target_id", kind.alias("kind"), F.when(kind == "value", F.col("total") / F.nullif("weight", F.lit(0.0))).alias("value"))
 
 
-def _blur(rows: DataFrame, keys: list[str], along: str, across: str, n: int, sigma: float) -> DataFrame:
-    """One direction of a Gaussian blur of _s and _w, borders reflected; values are scattered, so nothing is joined."""
+def _blur_matrix(first: int, last: int, begin: int, n: int, size: int, sigma: float) -> np.ndarray:
+    """Weights by which the cells begin, begin + 1, ... (``size`` of them) make the smoothed ones first to last - 1 of an axis.
+
+    The axis has n cells and is reflected at its ends, as often as the kernel reaches beyond them.
+    """
     radius = int(4 * sigma + 0.5)
-    size = [exp(-0.5 * (o / sigma) ** 2) for o in range(-radius, radius + 1)]
-    turns = ceil((radius + n) / (2 * n)) + 1
-    images = F.array(*(F.col(along) + 2 * n * m for m in range(-turns, turns + 1)), *(F.lit(2 * n * m - 1) - F.col(along) for m in range(-turns, turns + 1)))
-    kernel = F.array(*(F.lit(s / sum(size)) for s in size))
-    near = rows.select(*keys, across, "_s", "_w", F.explode(F.filter(images, lambda e: (e >= -radius) & (e < n + radius))).alias("_e"))
-    spread = near.select(*keys, across, "_s", "_w", "_e", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_e") - radius), F.least(F.lit(n - 1), F.col("_e") + radius))).alias(along))
-    k = F.get(kernel, (F.col("_e") - F.col(along) + radius).cast("int"))
-    return spread.groupBy(*keys, along, across).agg(F.sum(F.col("_s") * k).alias("_s"), F.sum(F.col("_w") * k).alias("_w"))
+    offsets = np.arange(-radius, radius + 1)
+    kernel = np.exp(-0.5 * (offsets / sigma) ** 2)
+    source = (np.arange(first, last)[:, None] + offsets) % (2 * n)
+    source = np.where(source < n, source, 2 * n - 1 - source) - begin
+    out = np.zeros((last - first, size))
+    np.add.at(out, (np.arange(last - first)[:, None], source), kernel / kernel.sum())
+    return out
 
 
 def smooth(fields: DataFrame, keys: list[str], cells: DataFrame, grid: Grid, sigma: float = 4.0) -> DataFrame:
-    """Gaussian smoothing over the cells with a value; NULL where they weigh 0.05 or less, or the cell has none."""
-    rows = complete(fields, keys, cells)
-    flat = rows.select(*keys, "i", "j", F.coalesce("value", F.lit(0.0)).alias("_s"), F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0).alias("_w"))
-    both = _blur(_blur(flat, keys, "i", "j", grid.n_lat, sigma), keys, "j", "i", grid.n_lon, sigma)
-    out = rows.select(*keys, "i", "j", "value").join(both, [*keys, "i", "j"])
-    return out.select(*keys, "i", "j", F.when(F.col("value").isNotNull() & (F.col("_w") > 0.05), F.col("_s") / F.greatest("_w", F.lit(1e-6))).alias("value"))
+    """Gaussian smoothing over the cells with a value; NULL where they weigh 0.05 or less, or the cell has none.
+
+    Cells are brought to tiles with a margin of the kernel's radius (4 sigma), the only shuffle; a tile is smoothed as two
+    products of matrices.
+    """
+    radius = int(4 * sigma + 0.5)
+    side, n_lat, n_lon = max(TILE_CELLS, radius), grid.n_lat, grid.n_lon
+
+    def blur(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ti, tj = tile.column("_ti")[0].as_py(), tile.column("_tj")[0].as_py()
+        i, j, value = (tile.column(c).to_numpy() for c in ("i", "j", "value"))
+        edges = [(max(0, t * side - radius), min(n, (t + 1) * side + radius), t * side, min(n, (t + 1) * side)) for t, n in ((ti, n_lat), (tj, n_lon))]
+        (a0, a1, i0, i1), (b0, b1, j0, j1) = edges
+        own = np.flatnonzero((i >= i0) & (i < i1) & (j >= j0) & (j < j1))
+        if not len(own):  # a margin beyond the grid
+            return own, np.zeros(0)
+        known, sums = ~np.isnan(value), np.zeros((2, a1 - a0, b1 - b0))
+        sums[0, i[known] - a0, j[known] - b0] = value[known]
+        sums[1, i[known] - a0, j[known] - b0] = 1.0
+        total, weight = _blur_matrix(i0, i1, a0, n_lat, a1 - a0, sigma) @ sums @ _blur_matrix(j0, j1, b0, n_lon, b1 - b0, sigma).T
+        at = i[own] - i0, j[own] - j0
+        return own, np.where(known[own] & (weight[at] > 0.05), total[at] / np.maximum(weight[at], 1e-6), np.nan)
+
+    return _per_tile(tiles(fields, keys, cells, radius, side), keys, fields, blur)
 
 
 def mercator_extent(box: tuple[float, float, float, float] = DOMAIN) -> tuple[Column, Column, Column, Column]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import anomalies, climate, colour, grid, observations, points, polygons, series, updates
 from ..sources import grids
+from ..sources.scratch import scratch, stored_rows
 from ..streaming import updates as streams
 from . import fixtures as fx
 from . import oracles as ora
@@ -40,15 +39,6 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder; where that is unset, one of its own on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or tempfile.mkdtemp(prefix="isogrid-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def base_of(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.baseline(fx.obs(spark, d), fx.PERIODS[:2])
 
@@ -85,6 +75,10 @@ def stored(spark: SparkSession, products: DataFrame) -> DataFrame:
     return grids.read_products(spark, path)
 
 
+def anomaly_pool(spark: SparkSession, d: str) -> DataFrame:
+    return stored_rows(anom_of(spark, d).select("period", "value"), "anomalies")
+
+
 def off_halves(rows: DataFrame) -> DataFrame:
     """The rows with a little added to their values before an operator rounds them, for the same reason as in ``query``."""
     return rows.withColumn("value", F.col("value") + ora.OFF_HALVES)
@@ -438,14 +432,13 @@ def _(spark, d):
 
 _GRAD = """, ks AS (SELECT DISTINCT season_type, season_idx FROM st WHERE period = 'all'),
 gv AS (SELECT k.season_type, k.season_idx, c.i, c.j, c.lat, c.is_land, CASE WHEN c.is_land THEN 0.0 ELSE coalesce(s.mean, 0.0) END AS v FROM ks k CROSS JOIN cells c LEFT JOIN (SELECT * FROM st WHERE period = 'all') s ON s.season_type = k.season_type AND s.season_idx = k.season_idx AND s.i = c.i AND s.j = c.j),
-gd AS (SELECT g.*, n.v AS n, s.v AS s, w.v AS w, e.v AS e FROM gv g LEFT JOIN gv n ON n.season_type = g.season_type AND n.season_idx = g.season_idx AND n.j = g.j AND n.i = g.i - 1 LEFT JOIN gv s ON s.season_type = g.season_type AND s.season_idx = g.season_idx AND s.j = g.j AND s.i = g.i + 1
-  LEFT JOIN gv w ON w.season_type = g.season_type AND w.season_idx = g.season_idx AND w.i = g.i AND w.j = g.j - 1 LEFT JOIN gv e ON e.season_type = g.season_type AND e.season_idx = g.season_idx AND e.i = g.i AND e.j = g.j + 1)"""
+gd AS (SELECT *, lag(v) OVER a AS n, lead(v) OVER a AS s, lag(v) OVER b AS w, lead(v) OVER b AS e FROM gv WINDOW a AS (PARTITION BY season_type, season_idx, j ORDER BY i), b AS (PARTITION BY season_type, season_idx, i ORDER BY j))"""
 
 
 @query("n1_gradient", ora.sql("SELECT season_type, season_idx, i, j, CASE WHEN NOT is_land THEN sqrt(pow((coalesce(s, v) - coalesce(n, v))/(CASE WHEN s IS NULL OR n IS NULL THEN 1 ELSE 2 END)/(8*111.0)*100, 2) + pow((coalesce(e, v) - coalesce(w, v))/(CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END)/(cos(radians(lat))*16*111.0)*100, 2)) END AS value FROM gd", "value", more=_GRAD))
 def _(spark, d):
     obs = fx.obs(spark, d)
-    means = climate.product(climate.moments(obs), "s1", F.col("mean"))
+    means = stored_rows(climate.product(climate.moments(obs), "s1", F.col("mean")), "means")
     return grid.gradient(means, ["season_type", "season_idx"], observations.land_mask(obs), fx.GRID.lat_step, fx.GRID.lon_step)
 
 
@@ -454,7 +447,7 @@ _FILL = ", fl AS (SELECT t.i, t.j, CASE WHEN t.value IS NULL AND t.is_land AND t
 
 @query("n2_fill_land", ora.sql("SELECT 1 AS k, i, j, value FROM fl", "value", more=ora.FIELD.format(section="s2") + _FILL))
 def _(spark, d):
-    field = grids.select_field(climate.significant_trend(fx.obs(spark, d)), "s2", "monthly", 0, "all")
+    field = stored_rows(grids.select_field(climate.significant_trend(fx.obs(spark, d)), "s2", "monthly", 0, "all"), "field")
     return grid.fill_land(field.withColumn("k", F.lit(1)), ["k"], cells_of(spark, d))
 
 
@@ -486,7 +479,7 @@ b2 AS (SELECT s.i, f.j, sum(k*s.s) AS s, sum(k*s.w) AS w FROM (SELECT DISTINCT j
 
 @query("n5_smooth", ora.sql("SELECT 1 AS k, f.i, f.j, CASE WHEN f.value IS NOT NULL AND b2.w > 0.05 THEN b2.s/greatest(b2.w, 1e-6) END AS value FROM fld f JOIN b2 USING (i, j)", "value", more=ora.FIELD.format(section="s1") + _BLUR))
 def _(spark, d):
-    return grid.smooth(first_field(spark, d).withColumn("k", F.lit(1)), ["k"], cells_of(spark, d), fx.GRID, fx.SIGMA)
+    return grid.smooth(stored_rows(first_field(spark, d), "field").withColumn("k", F.lit(1)), ["k"], cells_of(spark, d), fx.GRID, fx.SIGMA)
 
 
 @query("n6_pixel_grid", ora.sql("SELECT px, py, lat, lon, bil.value FROM tg JOIN bil USING (target_id)", "lat", "lon", "value", more=ora.FIELD.format(section="s1") + ora.PIXELS + ora.BILINEAR.format(targets="tg")))
@@ -544,12 +537,12 @@ def _(spark, d):
 
 @query("k2_anomaly_scale", ora.sql("SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period", "vm_99", "vm_999", "vm_100"))
 def _(spark, d):
-    return colour.anomaly_scale(anom_of(spark, d))
+    return colour.anomaly_scale(anomaly_pool(spark, d))
 
 
 @query("k2_anomaly_ticks", ora.sql(f"SELECT period, pct, q[list_position({list(colour.TICK_PERCENTS)}, pct)] AS value FROM (SELECT period, quantile_cont(value, {[p / 100 for p in colour.TICK_PERCENTS]}) AS q FROM anom WHERE value IS NOT NULL GROUP BY period) CROSS JOIN (VALUES {', '.join(f'({p})' for p in colour.TICK_PERCENTS)}) v(pct)", "value"))
 def _(spark, d):
-    return colour.anomaly_ticks(anom_of(spark, d))
+    return colour.anomaly_ticks(anomaly_pool(spark, d))
 
 
 @query("k3_stride_sample", ora.sql("SELECT month, label, i, j, sst FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY label, i, j) - 1 AS rn, greatest(1, count(*) OVER (PARTITION BY month)//50) AS step FROM obs WHERE sst IS NOT NULL) WHERE rn % step = 0", "sst"))
@@ -560,12 +553,12 @@ def _(spark, d):
 
 @query("k4_value_range", ora.sql("SELECT section, season_idx, vmin, vmax FROM rg", "vmin", "vmax", more=ora.RANGES))
 def _(spark, d):
-    return colour.value_range(monthly_all(spark, d), ["section", "season_idx"], is_symmetric())
+    return colour.value_range(stored(spark, monthly_all(spark, d)), ["section", "season_idx"], is_symmetric())
 
 
 @query("k4_value_range_narrow", ora.sql("SELECT section, season_idx, vmin, CASE WHEN vmin = hi THEN vmin + 1 ELSE hi END AS vmax FROM (SELECT section, season_idx, coalesce(CASE WHEN section IN ('s2', 's2_raw', 's5', 's5_raw') THEN -quantile_cont(abs(value), 0.999) ELSE quantile_cont(value, 0.001) END, 0) AS vmin, coalesce(CASE WHEN section IN ('s2', 's2_raw', 's5', 's5_raw') THEN quantile_cont(abs(value), 0.999) ELSE quantile_cont(value, 0.999) END, 1) AS hi FROM prod WHERE season_type = 'monthly' AND period = 'all' GROUP BY section, season_idx)", "vmin", "vmax"))
 def _(spark, d):
-    return colour.value_range(monthly_all(spark, d), ["section", "season_idx"], is_symmetric(), 99.9)
+    return colour.value_range(stored(spark, monthly_all(spark, d)), ["section", "season_idx"], is_symmetric(), 99.9)
 
 
 _SCALE = "SELECT quantile_cont(abs(value), [0.99, 0.999, 1.0]) AS q FROM anom WHERE period = 'p2' AND value IS NOT NULL"
@@ -573,7 +566,7 @@ _SCALE = "SELECT quantile_cont(abs(value), [0.99, 0.999, 1.0]) AS q FROM anom WH
 
 @query("k4_value_range_anomalies", ora.sql(f"SELECT pct, -q[k] AS vmin, q[k] AS vmax FROM ({_SCALE}) CROSS JOIN (VALUES (1, '99'), (2, '99.9'), (3, '100')) c(k, pct)", "vmin", "vmax"))
 def _(spark, d):
-    scale = colour.anomaly_scale(anom_of(spark, d))
+    scale = colour.anomaly_scale(anomaly_pool(spark, d))
     ranges = [colour.anomaly_range(scale, "p2", p).select(F.lit(f"{p:g}").alias("pct"), "vmin", "vmax") for p in (99, 99.9, 100)]
     return ranges[0].union(ranges[1]).union(ranges[2])
 
@@ -587,7 +580,7 @@ dg AS (SELECT section, CAST(greatest(0, least(4, ceil(-log10(CASE WHEN count(*)
 
 @query("k5_legend_ticks", ora.sql("SELECT section, pct, round(value, 4) AS value, round(norm, 4) AS norm, replace(CASE digits WHEN 0 THEN printf('%.0f', round(value, 0)) WHEN 1 THEN printf('%.1f', round(value, 1)) WHEN 2 THEN printf('%.2f', round(value, 2)) WHEN 3 THEN printf('%.3f', round(value, 3)) ELSE printf('%.4f', round(value, 4)) END, '.', ',') AS label FROM kt JOIN dg USING (section)", "value", "norm", more=ora.TICKS + _LEGEND))
 def _(spark, d):
-    maps = monthly_all(spark, d)
+    maps = stored(spark, monthly_all(spark, d))
     return colour.legend_ticks(off_halves(colour.section_ticks(maps)), colour.value_range(maps, ["section"], F.lit(False), 100), ["section"])
 
 
@@ -607,7 +600,7 @@ def cmap_of():
 
 
 def coloured(spark: SparkSession, d: str) -> DataFrame:
-    maps = monthly_all(spark, d).select("section", "season_idx", "i", "j", "value")
+    maps = stored(spark, monthly_all(spark, d)).select("section", "season_idx", "i", "j", "value")
     keys = ["section", "season_idx"]
     return colour.colorize(maps, colour.value_range(maps, keys, is_symmetric()), keys, colour.color_lut(spark), cmap_of())
 
@@ -625,7 +618,7 @@ def _(spark, d):
 
 @query("k7_colorize_rounded", ora.sql(f"SELECT c.section, c.season_idx, c.i, c.j, c.idx, l.r, l.g, l.b FROM (SELECT p.section, p.season_idx, p.i, p.j, {_MAP_SQL} AS cmap, CAST(floor(greatest(0.0, least(1.0, (p.value + {ora.OFF_HALVES:.10f} - vmin)/(vmax - vmin)))*255 + 0.5) AS INT) AS idx FROM prod p JOIN rg USING (section, season_idx) WHERE season_type = 'monthly' AND period = 'all' AND value IS NOT NULL) c JOIN lut l ON l.cmap = c.cmap AND l.idx = c.idx", more=ora.RANGES + _lut_sql()))
 def _(spark, d):
-    maps = monthly_all(spark, d).where("value IS NOT NULL").select("section", "season_idx", "i", "j", "value")
+    maps = stored(spark, monthly_all(spark, d)).where("value IS NOT NULL").select("section", "season_idx", "i", "j", "value")
     keys = ["section", "season_idx"]
     drawn = colour.colorize(off_halves(maps), colour.value_range(maps, keys, is_symmetric()), keys, colour.color_lut(spark), cmap_of(), rounded=True, epsilon=0.0)
     return drawn.select(*keys, "i", "j", "idx", "r", "g", "b")
@@ -633,7 +626,7 @@ def _(spark, d):
 
 @query("k8_contour_bands", ora.sql("SELECT p.section, p.season_idx, p.i, p.j, CASE WHEN value IS NOT NULL THEN CAST(len(list_filter(range(1, 11), lambda k: vmin + (vmax - vmin)*k/11 <= value)) AS INT) END AS band FROM prod p JOIN rg USING (section, season_idx) WHERE season_type = 'monthly' AND period = 'all'", more=ora.RANGES))
 def _(spark, d):
-    maps = monthly_all(spark, d).select("section", "season_idx", "i", "j", "value")
+    maps = stored(spark, monthly_all(spark, d)).select("section", "season_idx", "i", "j", "value")
     keys = ["section", "season_idx"]
     return colour.contour_bands(maps, colour.value_range(maps, keys, is_symmetric()), keys).drop("value")
 
@@ -733,6 +726,14 @@ def _fine(name: str, body: str, more: str = ""):
     return lambda f: keep(lambda spark, d: _rounded(f(spark, d)))
 
 
+def _fine_ranges(name: str, body: str, more: str):
+    """As ``_fine``, of two columns."""
+    columns = ("vmin", "vmax")
+    text = f"SELECT * REPLACE ({', '.join(f'round({c} + {ora.OFF_HALVES:.10f}, 4) AS {c}' for c in columns)}) FROM ({body})"
+    keep = query(name, ora.sql(text, *columns, more=more, base=ora.FINE_BASE))
+    return lambda f: keep(lambda spark, d: f(spark, d).withColumns({c: F.round(F.col(c) + ora.OFF_HALVES, 4) for c in columns}))
+
+
 @_fine("a10_significant_trend_fine", f"SELECT 's2' AS section, season_type, season_idx, period, i, j, {_MASKED} AS value FROM st WHERE season_type = 'monthly' AND period = 'all'")
 def _(spark, d):
     return climate.significant_trend(fx.fine_obs(spark, d))
@@ -755,7 +756,7 @@ _FINE_GRAD = _GRAD.replace("FROM st WHERE period = 'all'", "FROM st WHERE period
 @_fine("n1_gradient_fine", f"SELECT season_type, season_idx, i, j, CASE WHEN NOT is_land THEN sqrt(pow((coalesce(s, v) - coalesce(n, v))/(CASE WHEN s IS NULL OR n IS NULL THEN 1 ELSE 2 END)/(46/{ora.FINE_WIDTH}*111.0)*100, 2) + pow((coalesce(e, v) - coalesce(w, v))/(CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END)/(cos(radians(lat))*129/{ora.FINE_WIDTH}*111.0)*100, 2)) END AS value FROM gd", _FINE_GRAD)
 def _(spark, d):
     obs, size = fx.fine_obs(spark, d), fx.fine_grid(spark, d)
-    means = climate.clim_mean(obs).select("season_type", "season_idx", "i", "j", "value")
+    means = stored_rows(climate.clim_mean(obs).select("season_type", "season_idx", "i", "j", "value"), "means")
     return grid.gradient(means, ["season_type", "season_idx"], observations.land_mask(obs), size.lat_step, size.lon_step)
 
 
@@ -765,7 +766,7 @@ _FINE_FILL = ora.FIELD.format(section="s1") + _FILL.replace("t.i BETWEEN 1 AND 4
 @_fine("n2_fill_land_fine", "SELECT 1 AS k, i, j, value FROM fl", _FINE_FILL)
 def _(spark, d):
     obs = fx.fine_obs(spark, d)
-    field = grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all")
+    field = stored_rows(grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all"), "field")
     return grid.fill_land(field.withColumn("k", F.lit(1)), ["k"], observations.land_mask(obs))
 
 
@@ -778,3 +779,31 @@ def _(spark, d):
 def _(spark, d):
     polys = polygons.place_polygons(grids.explode_polygons(fx.features(spark, d)), fx.FINE_WIDTH, fx.FINE_HEIGHT)
     return polygons.land_runs(polys, fx.FINE_WIDTH, fx.FINE_HEIGHT)
+
+
+_FINE_RANGES = ora.RANGES.replace("season_type = 'monthly'", "season_type = 'monthly' AND section IN ('s1', 's2', 's2_raw', 's3', 's4')")
+
+
+@_fine_ranges("k4_value_range_fine", "SELECT section, season_idx, vmin, vmax FROM rg", _FINE_RANGES)
+def _(spark, d):
+    maps = climate.products(fx.fine_obs(spark, d), (), season_types=("monthly",)).where("section IN ('s1', 's2', 's2_raw', 's3', 's4')")
+    return colour.value_range(stored(spark, maps), ["section", "season_idx"], is_symmetric())
+
+
+@_fine("k3_stride_sample_fine", "SELECT month, label, i, j, sst AS value FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY ts, i, j) - 1 AS rn, greatest(1, count(*) OVER (PARTITION BY month)//20000) AS step FROM obs WHERE sst IS NOT NULL) WHERE rn % step = 0")
+def _(spark, d):
+    return colour.stride_sample(fx.fine_obs(spark, d).where("sst IS NOT NULL"), ["month"], ["ts", "i", "j"], 20_000).select("month", F.date_format("ts", "yyyy-MM").alias("label"), "i", "j", F.col("sst").alias("value"))
+
+
+_FINE_BLUR = f""", kr AS (SELECT CAST(o AS INT) AS o, exp(-0.5*pow(o/{fx.SIGMA}, 2))/(SELECT sum(exp(-0.5*pow(q/{fx.SIGMA}, 2))) FROM range(-16, 17) r(q)) AS k FROM range(-16, 17) r(o)),
+sz AS (SELECT max(i) + 1 AS ni, max(j) + 1 AS nj FROM cells),
+f1 AS (SELECT f.i, f.j, value, unnest(range(-16, 17)) AS o, ni, nj FROM fld f, sz),
+b1 AS (SELECT f.i, s.j, sum(k*coalesce(s.value, 0)) AS s, sum(CASE WHEN s.value IS NULL THEN 0 ELSE k END) AS w FROM (SELECT DISTINCT i, o, ni FROM f1) f JOIN kr USING (o) JOIN fld s ON s.i = least((f.i + o + 4*ni) % (2*ni), 2*ni - 1 - (f.i + o + 4*ni) % (2*ni)) GROUP BY ALL),
+b2 AS (SELECT s.i, f.j, sum(k*s.s) AS s, sum(k*s.w) AS w FROM (SELECT DISTINCT j, o, nj FROM f1) f JOIN kr USING (o) JOIN b1 s ON s.j = least((f.j + o + 4*nj) % (2*nj), 2*nj - 1 - (f.j + o + 4*nj) % (2*nj)) GROUP BY ALL)"""
+
+
+@_fine("n5_smooth_fine", "SELECT 1 AS k, f.i, f.j, CASE WHEN f.value IS NOT NULL AND b2.w > 0.05 THEN b2.s/greatest(b2.w, 1e-6) END AS value FROM fld f JOIN b2 USING (i, j)", ora.FIELD.format(section="s1") + _FINE_BLUR)
+def _(spark, d):
+    obs = fx.fine_obs(spark, d)
+    field = stored_rows(grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all"), "field")
+    return grid.smooth(field.withColumn("k", F.lit(1)), ["k"], observations.land_mask(obs), fx.fine_grid(spark, d), fx.SIGMA)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
-from isogrid.operators import anomalies, climate, colour, grid, observations, points, polygons, series, updates
+from isogrid.operators import anomalies, climate, colour, grid, observations, points, polygons, quantiles, series, updates
 from isogrid.sources import grids
 
 QUICK = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -293,7 +293,7 @@ def test_pooled_percentiles_equal_sorting(spark):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     percents = (0, 1, 33.3, 50, 99, 99.9, 100)
-    got = {(r["g"], r["pct"]): r["value"] for r in colour.pooled_percentiles(df, ["g"], "v", percents, n_ranges=8).collect()}
+    got = {(r["g"], r["pct"]): r["value"] for r in quantiles.exact_percentiles(df, ["g"], "v", percents).collect()}
     want = {(g, float(p)): float(np.percentile(known, p)) for g, vs in groups.items() if (known := [v for v in vs if v is not None]) for p in percents}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
