@@ -51,7 +51,7 @@ def complete(fields: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
     return asked.select(*keys, "i", "j", F.col("lat").cast("double").alias("lat"), "is_land", F.lit(None).cast("double").alias("value")).unionByName(have)
 
 
-def _one_each(rows: DataFrame, by: list[str]) -> DataFrame:
+def one_each(rows: DataFrame, by: list[str]) -> DataFrame:
     """One row for each cell of ``complete``'s; values outside the cells go."""
     return rows.groupBy(*by).agg(*(F.max(c).alias(c) for c in ("lat", "is_land", "value"))).where("is_land IS NOT NULL")
 
@@ -63,7 +63,7 @@ def tiles(fields: DataFrame, keys: list[str], cells: DataFrame, halo: int, side:
     """
     near = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / side)), F.floor((F.col(c) + halo) / side))
     rows = complete(fields, keys, cells).withColumn("_ti", F.explode(near("i"))).withColumn("_tj", F.explode(near("j")))
-    return _one_each(rows.repartition(*keys, "_ti", "_tj"), [*keys, "_ti", "_tj", "i", "j"])
+    return one_each(rows.repartition(*keys, "_ti", "_tj"), [*keys, "_ti", "_tj", "i", "j"])
 
 
 def _per_tile(rows: DataFrame, keys: list[str], fields: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -148,7 +148,7 @@ def fill_land(fields: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame
     Without ocean values any value is a source; without any, land gets 0. Two shuffles, by column and by row. The fields are
     read twice, so store costly ones first.
     """
-    rows = _one_each(complete(fields, keys, cells).repartition(*keys, "j"), [*keys, "j", "i"])
+    rows = one_each(complete(fields, keys, cells).repartition(*keys, "j"), [*keys, "j", "i"])
     own = F.col("value").isNotNull()
     whole = rows.groupBy(*keys).agg(F.max(own & ~F.col("is_land")).alias("_ocean"), F.max("i").alias("_last_i"), F.max("j").alias("_last_j"))
     whole = whole.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_ocean", "_last_i", "_last_j")

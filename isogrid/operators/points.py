@@ -12,16 +12,30 @@ from pyspark.sql import functions as F
 def nearest_cell(points: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame) -> DataFrame:
     """The points with i, j of the nearest row and column, found on each axis by itself; the first index wins a tie.
 
-    Each axis is one array in one broadcast row: its size is the grid's side, not its area.
+    Each axis is one sorted array in one broadcast row (its size is the grid's side, not its area), searched by halving, so
+    axes may be irregular, of either direction and long. NULL for a point without a coordinate.
     """
-    lats = lat_axis.agg(F.collect_list(F.struct("lat", "i")).alias("_lats"))
-    lons = lon_axis.agg(F.collect_list(F.struct("lon", "j")).alias("_lons"))
 
-    def nearest(axis: str, value: str, index: str) -> Column:
-        return F.array_min(F.transform(axis, lambda a: F.struct(F.abs(a[value] - F.col(value)).alias("d"), a[index].alias("k"))))["k"]
+    def sorted_axis(axis: DataFrame, value: str, index: str, name: str) -> DataFrame:
+        first = axis.groupBy(value).agg(F.min(index).alias("k"))
+        return first.agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "k"))).alias(name))
 
-    rows = points.join(F.broadcast(lats)).join(F.broadcast(lons))
-    return rows.withColumns({"i": nearest("_lats", "lat", "i"), "j": nearest("_lons", "lon", "j")}).drop("_lats", "_lons")
+    def nearest(axis: str, value: str) -> Column:
+        at, n = F.col(value), F.size(axis)
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int"))
+        whole = F.struct(F.lit(0).alias("low"), n.alias("high"))  # the first place not below the value lies in low..high
+
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+            below = F.get(axis, middle)["v"] < at
+            return F.when(a["low"] >= a["high"], a).otherwise(F.struct(F.when(below, middle + 1).otherwise(a["low"]).alias("low"), F.when(below, a["high"]).otherwise(middle).alias("high")))
+
+        place = F.aggregate(steps, whole, halve, lambda a: a["low"])
+        around = F.filter(F.array(F.get(axis, place - 1), F.get(axis, place)), lambda c: c.isNotNull())
+        return F.when(at.isNotNull(), F.array_min(F.transform(around, lambda c: F.struct(F.abs(c["v"] - at).alias("d"), c["k"].alias("k"))))["k"])
+
+    rows = points.join(F.broadcast(sorted_axis(lat_axis, "lat", "i", "_lats"))).join(F.broadcast(sorted_axis(lon_axis, "lon", "j", "_lons")))
+    return rows.withColumns({"i": nearest("_lats", "lat"), "j": nearest("_lons", "lon")}).drop("_lats", "_lons")
 
 
 def _cells_of(points: DataFrame) -> DataFrame:

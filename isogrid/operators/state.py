@@ -84,7 +84,8 @@ def merge_state(state: DataFrame, years: DataFrame, new: DataFrame, periods: tup
 def _fit(n: Column, t: Column, tt: Column, y: Column, yy: Column, ty: Column) -> dict[str, Column]:
     """Variance, slope and R² of sums."""
     least = F.nullif(n.cast("double"), F.lit(0.0))
-    sxx, syy, sxy = tt - t * t / least, F.greatest(F.lit(0.0), yy - y * y / least), ty - t * y / least
+    sxx, sxy = tt - t * t / least, ty - t * y / least
+    syy = F.when(n > 0, F.greatest(F.lit(0.0), yy - y * y / least))
     flat = syy <= yy * FLAT_SHARE
     slope = sxy / F.when(sxx > 0, sxx)
     r2 = F.least(F.lit(1.0), sxy * sxy / F.when((sxx > 0) & ~flat, sxx * syy))

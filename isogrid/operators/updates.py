@@ -1,12 +1,11 @@
-"""Monthly updates: what is missing, appending without duplicates, merging and recomputing."""
+"""Monthly updates: what is missing, appending without duplicates, merging and recomputing (see ``store`` for a whole store)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.grids import read_products, write_products
-from .climate import moments, product, products
+from .climate import moments, product
 from .observations import ALL_YEARS, Period
 
 KEY = "ts"
@@ -47,23 +46,3 @@ def refresh(store: DataFrame, new: DataFrame, periods: tuple[Period, ...] = (ALL
     monthly = moments(merged.join(touched.select("month").distinct(), "month", "left_semi").select(*merged.columns), ("monthly",), periods)
     seasons = moments(merged.join(touched.select("ess_idx").distinct(), "ess_idx", "left_semi").select(*merged.columns), ("ess",), periods)
     return product(monthly, "s1", F.col("mean")).unionByName(product(seasons, "s1", F.col("mean")))
-
-
-def refreshed_products(store: DataFrame, new: DataFrame, periods: tuple[Period, ...], min_n: int = 5, alpha: float = 0.05) -> DataFrame:
-    """All product maps of just the months and seasons that new rows touch, over the merged table."""
-    merged = store.unionByName(new)
-    kinds = {"monthly": "month", "ess": "ess_idx"}
-    parts = [products(merged.join(new.select(c).distinct(), c, "left_semi").select(*merged.columns), periods, min_n, alpha, (kind,)) for kind, c in kinds.items()]
-    return parts[0].unionByName(parts[1])
-
-
-def write_refreshed(spark: SparkSession, path: str, refreshed: DataFrame) -> None:
-    """Put refreshed maps into a product store: only folders with such maps are written, and keep their other maps.
-
-    A folder is replaced when all of its new files are there, so it can be read until then.
-    """
-    name = ["section", "season_type", "period"]
-    touched = refreshed.select(*name, "season_idx").distinct()
-    stored = read_products(spark, path).join(touched.select(*name).distinct(), name, "left_semi")
-    others = stored.join(touched, [*name, "season_idx"], "left_anti")
-    write_products(others.unionByName(refreshed), path)

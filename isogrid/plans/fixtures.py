@@ -82,6 +82,12 @@ def fine_grid(spark: SparkSession, sf_dir: str) -> Grid:
     return Grid(72.0, -46.0 / width, last // width + 1, 117.0, 129.0 / width, width)
 
 
+def rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, j of all places of that grid, also those without a cell."""
+    size = fine_grid(spark, sf_dir)
+    return spark.range(size.n_lat * size.n_lon).select(F.floor(F.col("id") / size.n_lon).cast("int").alias("i"), (F.col("id") % size.n_lon).cast("int").alias("j"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sql(spark, POINTS, customer=table(spark, sf_dir, "customer"))
     return rows.select("point_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import anomalies, climate, colour, grid, observations, points, polygons, series, updates
+from ..operators import store as product_store
 from ..sources import grids
 from ..sources.scratch import scratch, stored_rows
+from ..sources.versions import VersionedStore
 from ..streaming import updates as streams
 from . import fixtures as fx
 from . import oracles as ora
@@ -88,7 +90,23 @@ def is_symmetric():
     return F.col("section").isin("s2", "s2_raw", "s5", "s5_raw")
 
 
+SETTINGS = product_store.Settings(fx.PERIODS, tuple(p[0] for p in fx.PERIODS[:2]), fx.GRID.lat_step, fx.GRID.lon_step)
+
+
+def every_product(spark: SparkSession, d: str) -> DataFrame:
+    """s1 to s7."""
+    maps = stored_rows(products_of(spark, d), "maps")
+    return maps.unionByName(product_store.derived_products(maps.where("section = 's1'"), cells_of(spark, d), SETTINGS))
+
+
 PRODUCT = "section, season_type, season_idx, period, i, j"
+_GRAD = """, ks AS (SELECT DISTINCT season_type, season_idx FROM st WHERE period = 'all'),
+gv AS (SELECT k.season_type, k.season_idx, c.i, c.j, c.lat, c.is_land, CASE WHEN c.is_land THEN 0.0 ELSE coalesce(s.mean, 0.0) END AS v FROM ks k CROSS JOIN cells c LEFT JOIN (SELECT * FROM st WHERE period = 'all') s ON s.season_type = k.season_type AND s.season_idx = k.season_idx AND s.i = c.i AND s.j = c.j),
+gd AS (SELECT *, lag(v) OVER a AS n, lead(v) OVER a AS s, lag(v) OVER b AS w, lead(v) OVER b AS e FROM gv WINDOW a AS (PARTITION BY season_type, season_idx, j ORDER BY i), b AS (PARTITION BY season_type, season_idx, i ORDER BY j))"""
+_STEEP = "CASE WHEN NOT is_land THEN sqrt(pow((coalesce(s, v) - coalesce(n, v))/(CASE WHEN s IS NULL OR n IS NULL THEN 1 ELSE 2 END)/(8*111.0)*100, 2) + pow((coalesce(e, v) - coalesce(w, v))/(CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END)/(cos(radians(lat))*16*111.0)*100, 2)) END"
+#: s1 to s7.
+_EVERY = _GRAD + f""", prod7 AS (SELECT * FROM prod UNION ALL SELECT 's6', season_type, season_idx, 'all', i, j, {_STEEP} FROM gd
+  UNION ALL SELECT 's7', 'monthly', month - 1, period, i, j, clim FROM base)"""
 
 # Sources and sinks
 
@@ -112,10 +130,10 @@ def _(spark, d):
     return grids.unpack_cube(rows.select(F.unix_timestamp("ts").alias("valid_time"), lines.alias("sst")), lat_axis, lon_axis)
 
 
-@query("s3_write_products", ora.sql(f"SELECT {PRODUCT}, value FROM prod", "value"))
+@query("s3_write_products", ora.sql(f"SELECT {PRODUCT}, value FROM prod7", "value", more=_EVERY))
 def _(spark, d):
     path = scratch(spark, "products")
-    grids.write_products(products_of(spark, d), path)
+    grids.write_products(every_product(spark, d), path)
     return grids.read_products(spark, path)
 
 
@@ -127,6 +145,15 @@ def _(spark, d):
     return one("p1").union(one("p9"))
 
 
+@query("s4_read_field_derived", ora.sql("SELECT section, period, i, j, value FROM prod7 WHERE (section = 's6' AND season_type = 'ess' AND season_idx = 2) OR (section = 's7' AND season_idx = 6)", "value", more=_EVERY))
+def _(spark, d):
+    """A gradient map, asked for by a period that it has no map of, and two baselines."""
+    path = scratch(spark, "products")
+    grids.write_products(every_product(spark, d), path)
+    one = lambda s, kind, k, p: grids.read_field(spark, path, s, kind, k, p).select(F.lit(s).alias("section"), F.lit("all" if s == "s6" else p).alias("period"), "i", "j", "value")
+    return one("s6", "ess", 2, "p1").union(one("s7", "monthly", 6, "p1")).union(one("s7", "monthly", 6, "p2"))
+
+
 @query("s5_pack_field", ora.sql("SELECT s.season_idx, c.i*8 + c.j AS pos, p.value FROM range(12) s(season_idx) CROSS JOIN cells c LEFT JOIN (SELECT * FROM prod WHERE section = 's1' AND season_type = 'monthly' AND period = 'all') p ON p.season_idx = s.season_idx AND p.i = c.i AND p.j = c.j", "value"))
 def _(spark, d):
     packed = grids.pack_field(climate.clim_mean(fx.obs(spark, d)), ["season_idx"], cells_of(spark, d))
@@ -143,6 +170,17 @@ def _(spark, d):
     return grids.read_polygons(spark, path, "id").select("feature_id", "poly_id", "ring_id", "is_hole", "seq", "lon", "lat")
 
 
+@query("s6_read_polygons_split", ora.sql("SELECT feature_id, poly_id, ring_id, is_hole, seq, lon, lat FROM verts", "lon", "lat", more=ora.SQUARES))
+def _(spark, d):
+    """A collection of all features whose lines are the files' own, so the parts of one large file are read by many tasks."""
+    path = scratch(spark, "polygon-parts")
+    shape = F.concat(F.lit('{ "type" : "Feature", "properties": {"id":'), F.col("feature_id").cast("string"), F.lit('},\n "geometry": {"type":"'), F.col("type"), F.lit('", "coordinates": '), F.col("coordinates"), F.lit("}}"))
+    parts = fx.features(spark, d).repartition(8, "feature_id")
+    whole = parts.groupBy(F.spark_partition_id().alias("part")).agg(F.array_join(F.collect_list(shape), " ,\n").alias("features"))
+    whole.select(F.concat(F.lit('{"type": "FeatureCollection", "features": [\n'), "features", F.lit(" ]}")).alias("value"), "part").write.partitionBy("part").text(path)
+    return grids.read_polygons_split(spark, path, "id").select("feature_id", "poly_id", "ring_id", "is_hole", "seq", "lon", "lat")
+
+
 @query("s7_series_json", ora.sql("SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY label) - 1 AS INT) AS pos, label, round(sst, 3) AS value, '°C' AS unit FROM near JOIN obs USING (i, j)", "value"))
 def _(spark, d):
     rows = points.point_timeseries(near_of(spark, d), fx.obs(spark, d)).select("point_id", F.col("label").alias("seq"), "label", "value", F.lit("°C").alias("unit"))
@@ -430,12 +468,7 @@ def _(spark, d):
 
 # Neighbourhoods
 
-_GRAD = """, ks AS (SELECT DISTINCT season_type, season_idx FROM st WHERE period = 'all'),
-gv AS (SELECT k.season_type, k.season_idx, c.i, c.j, c.lat, c.is_land, CASE WHEN c.is_land THEN 0.0 ELSE coalesce(s.mean, 0.0) END AS v FROM ks k CROSS JOIN cells c LEFT JOIN (SELECT * FROM st WHERE period = 'all') s ON s.season_type = k.season_type AND s.season_idx = k.season_idx AND s.i = c.i AND s.j = c.j),
-gd AS (SELECT *, lag(v) OVER a AS n, lead(v) OVER a AS s, lag(v) OVER b AS w, lead(v) OVER b AS e FROM gv WINDOW a AS (PARTITION BY season_type, season_idx, j ORDER BY i), b AS (PARTITION BY season_type, season_idx, i ORDER BY j))"""
-
-
-@query("n1_gradient", ora.sql("SELECT season_type, season_idx, i, j, CASE WHEN NOT is_land THEN sqrt(pow((coalesce(s, v) - coalesce(n, v))/(CASE WHEN s IS NULL OR n IS NULL THEN 1 ELSE 2 END)/(8*111.0)*100, 2) + pow((coalesce(e, v) - coalesce(w, v))/(CASE WHEN e IS NULL OR w IS NULL THEN 1 ELSE 2 END)/(cos(radians(lat))*16*111.0)*100, 2)) END AS value FROM gd", "value", more=_GRAD))
+@query("n1_gradient", ora.sql(f"SELECT season_type, season_idx, i, j, {_STEEP} AS value FROM gd", "value", more=_GRAD))
 def _(spark, d):
     obs = fx.obs(spark, d)
     means = stored_rows(climate.product(climate.moments(obs), "s1", F.col("mean")), "means")
@@ -530,9 +563,14 @@ def _(spark, d):
 # Quantiles and colours
 
 
-@query("k1_section_ticks", ora.sql("SELECT section, pct, value FROM ticks", "value", more=ora.TICKS))
+_TICKS7 = _EVERY + ora.TICKS.replace("FROM prod WHERE season_type", "FROM prod7 WHERE section <> 's7' AND season_type")
+
+
+@query("k1_section_ticks", ora.sql("SELECT section, pct, value FROM ticks", "value", more=_TICKS7))
 def _(spark, d):
-    return colour.section_ticks(stored(spark, monthly_all(spark, d)))
+    maps = stored(spark, monthly_all(spark, d))
+    steep = product_store.derived_products(maps.where("section = 's1'"), cells_of(spark, d), SETTINGS).where("section = 's6'")
+    return colour.section_ticks(stored_rows(maps.unionByName(steep), "tick-pool"))
 
 
 @query("k2_anomaly_scale", ora.sql("SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period", "vm_99", "vm_999", "vm_100"))
@@ -682,13 +720,22 @@ def _(spark, d):
     return updates.refresh(obs.where("ts < timestamp'2001-07-01'"), obs.where("ts >= timestamp'2001-07-01'"))
 
 
-@query("u5_refresh_products", ora.sql(f"SELECT {PRODUCT}, value FROM prod", "value"))
+def refreshed_store(spark: SparkSession, d: str) -> VersionedStore:
+    """Built of the rows before July 2001, then refreshed by the later ones."""
+    obs, store = fx.obs(spark, d), VersionedStore(spark, scratch(spark, "product-store"))
+    product_store.build(store, obs.where("ts < timestamp'2001-07-01'"), cells_of(spark, d), SETTINGS)
+    product_store.refresh(store, obs.where("ts >= timestamp'2001-07-01'"), SETTINGS)
+    return store
+
+
+@query("u5_refresh_products", ora.sql(f"SELECT {PRODUCT}, value FROM prod7", "value", more=_EVERY))
 def _(spark, d):
-    obs, path = fx.obs(spark, d), scratch(spark, "refreshed")
-    old, new = obs.where("ts < timestamp'2001-07-01'"), obs.where("ts >= timestamp'2001-07-01'")
-    grids.write_products(climate.products(old, fx.PERIODS), path)
-    updates.write_refreshed(spark, path, updates.refreshed_products(old, new, fx.PERIODS))
-    return grids.read_products(spark, path)
+    return product_store.products_of(refreshed_store(spark, d))
+
+
+@query("u5_refresh_ticks", ora.sql("SELECT section, pct, value FROM ticks", "value", more=_TICKS7))
+def _(spark, d):
+    return product_store.ticks_of(refreshed_store(spark, d))
 
 
 def event_slices(spark: SparkSession, d: str) -> DataFrame:
@@ -713,6 +760,18 @@ def _(spark, d):
     streams.run_to_table(rows, out, scratch(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(out)
 
+
+
+@query("u7_stream_anomaly_stored", ora.sql(f"SELECT label, CAST(e.i AS INT) AS i, CAST(e.j AS INT) AS j, period, e.sst - clim AS value FROM ({_EVENTS}) e JOIN base b ON b.i = e.i AND b.j = e.j AND b.month = CAST(substr(label, 6, 2) AS INT)", "value"))
+def _(spark, d):
+    """Against baselines that each batch reads from a store."""
+    store, out = VersionedStore(spark, scratch(spark, "baselines")), scratch(spark, "stream-anomalies")
+    store.commit({"baselines": base_of(spark, d)})
+    schema = "period STRING, month INT, i INT, j INT, clim DOUBLE"
+    streams.stream_anomaly_by_version(event_slices(spark, d), lambda: store.read("baselines", schema), out, scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("ts", "yyyy-MM-dd HH").alias("label"), "i", "j", "period", "value")
+
+
 # Work on a grid that grows with the tables
 
 
@@ -807,3 +866,12 @@ def _(spark, d):
     obs = fx.fine_obs(spark, d)
     field = stored_rows(grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all"), "field")
     return grid.smooth(field.withColumn("k", F.lit(1)), ["k"], observations.land_mask(obs), fx.fine_grid(spark, d), fx.SIGMA)
+
+
+@_fine("s5_pack_chunks_fine", "SELECT 1 AS k, i, j, value FROM fld", ora.FIELD.format(section="s1"))
+def _(spark, d):
+    obs = fx.fine_obs(spark, d)
+    field = stored_rows(grids.select_field(climate.clim_mean(obs), "s1", "monthly", 0, "all"), "field")
+    whole = fx.rectangle(spark, d)
+    packed = grids.pack_chunks(field.withColumn("k", F.lit(1)), ["k"], whole, 64)
+    return grids.unpack_chunks(packed, ["k"], 64).join(observations.land_mask(obs).select("i", "j"), ["i", "j"], "left_semi").select("k", "i", "j", "value")

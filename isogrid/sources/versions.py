@@ -26,11 +26,11 @@ class VersionedStore:
         found = self._fs.globStatus(self._at(f"{self.path}/manifest/*.json"))
         return sorted(int(f.getPath().getName().split(".")[0]) for f in found or [])
 
-    def manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
-        """table -> part -> the folder of its data, of the last commit or a given one."""
+    def manifest(self, version: int | None = None) -> dict[str, dict]:
+        """Of the last commit or a given one: parts (table -> part -> the folder of its data) and written (how many parts a folder has)."""
         known = self.versions()
         if not known:
-            return {}
+            return {"parts": {}, "written": {}}
         name = f"{self.path}/manifest/{known[-1] if version is None else version:012d}.json"
         return json.loads(self.spark.read.text(name, wholetext=True).first()[0])
 
@@ -41,7 +41,7 @@ class VersionedStore:
         are replaced whole.
         """
         before = self.versions()
-        state, folder = self.manifest(before[-1]) if before else {}, uuid.uuid4().hex
+        state, folder = self.manifest(), uuid.uuid4().hex
         for name, df in tables.items():
             columns, target = (parts or {}).get(name, []), f"{self.path}/data/{folder}/{name}"
             writer = df.write.partitionBy(*columns) if columns else df.write
@@ -49,13 +49,14 @@ class VersionedStore:
             if columns:
                 found = self._fs.globStatus(self._at("/".join([target, *(f"{c}=*" for c in columns)])))
                 fresh = {"/".join(str(f.getPath()).split("/")[-len(columns) :]): folder for f in found or []}
-                state = {**state, name: {**state.get(name, {}), **fresh}}
+                state["parts"][name] = {**state["parts"].get(name, {}), **fresh}
             else:
-                state = {**state, name: {"": folder}}
+                fresh = state["parts"][name] = {"": folder}
+            state["written"][f"{folder}/{name}"] = len(fresh)
         self._publish(state, (before[-1] if before else 0) + 1)
         return (before[-1] if before else 0) + 1
 
-    def _publish(self, state: dict[str, dict[str, str]], version: int) -> None:
+    def _publish(self, state: dict[str, dict], version: int) -> None:
         """The switch: the manifest is written under another name and renamed, which is one step of the file system."""
         draft, final = self._at(f"{self.path}/manifest/_draft-{uuid.uuid4().hex}"), self._at(f"{self.path}/manifest/{version:012d}.json")
         out = self._fs.create(draft, False)
@@ -67,16 +68,21 @@ class VersionedStore:
 
     def read(self, table: str, schema: str, version: int | None = None) -> DataFrame:
         """The table as of the last commit, or a given one; folders' names are columns, so filters on them reach the scan."""
-        held: dict[str, list[str]] = {}
-        for part, folder in self.manifest(version).get(table, {}).items():
+        state, held = self.manifest(version), {}
+        for part, folder in state["parts"].get(table, {}).items():
             held.setdefault(folder, []).append(part)
-        scans = [self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{f}/{table}").parquet(*(f"{self.path}/data/{f}/{table}/{p}".rstrip("/") for p in sorted(ps))) for f, ps in sorted(held.items())]
+        scans = []
+        for folder, parts in sorted(held.items()):
+            root = f"{self.path}/data/{folder}/{table}"
+            whole = len(parts) == state["written"][f"{folder}/{table}"]
+            paths = [root] if whole else [f"{root}/{p}" for p in sorted(parts)]
+            scans.append(self.spark.read.schema(schema).option("basePath", root).parquet(*paths))
         return reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete data folders and manifests that none of the last ``keep`` versions needs."""
         known = self.versions()
-        kept = {f for v in known[-keep:] for table in self.manifest(v).values() for f in table.values()}
+        kept = {f for v in known[-keep:] for table in self.manifest(v)["parts"].values() for f in table.values()}
         for v in known[:-keep]:
             self._fs.delete(self._at(f"{self.path}/manifest/{v:012d}.json"), False)
         for found in self._fs.globStatus(self._at(f"{self.path}/data/*")) or []:
