@@ -2,7 +2,8 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes. Sizes fall into bands. In a band, sets that link
 differ in at most H elements, and the universe of hashes is cut into somewhat more than H + 1 segments. What each
-segment costs is measured over all sets: how many share their elements of it with another set. A set's budget of H + 1 is
+segment costs is measured in all tasks, each among the sets that it holds at once: how many share their elements of it with
+another set. A set's budget of H + 1 is
 then allotted by cost, the cheapest segments first: one for a segment that it has elements in, which is indexed by these,
 and if that does not reach H + 1, one more for segments of two elements or more, which are also indexed by their
 one-deletion neighbourhoods (and so still meet when one element differs). The order is the same for all sets of a band, so
@@ -12,7 +13,8 @@ gets the keys of its least elements (prefix filter). So no link is lost, and hot
 
 Equal sets are joined first. Sets that share a key are then linked in two steps, so that a group of many near copies
 isn't expanded into pairs: all of a key's sets are compared with the one that shares most keys; then only sets that
-stayed outside the key's main component are compared with the others. Before sets are fetched, parity bits (as many as a
+stayed outside the key's main component are compared with the others. Where that would be many with many (texts made from one
+form), the sets of such keys meet by their rarest elements instead. Before sets are fetched, parity bits (as many as a
 set has elements, at least 512) give a lower bound of their difference; what remains is verified on the sets.
 """
 
@@ -42,8 +44,10 @@ KEY_BITS = 48
 SPARE = 0.1
 #: Keys are dealt to so many rounds, each shuffled by itself, so that only a part of them is on disk at a time.
 ROUNDS = 4
-#: Costs are kept for bands up to this size (some 100,000 numbers, which are broadcast); larger ones keep the natural order.
-RANKED_SIZE = 1 << 16
+#: Costs are kept for bands up to this size (some 10 MB of numbers, which are broadcast); larger ones keep the natural order.
+RANKED_SIZE = 1 << 20
+#: Components among the sets of a key up to which those are compared with each other; sets of other keys meet by their rarest elements.
+MOST_OPEN = 64
 #: Keys among which a task counts repeats, and pairs of one set that go to one task.
 MEASURED_AT_ONCE = 1 << 19
 PAIRS_AT_ONCE = 256
@@ -331,6 +335,40 @@ def _shared_keys(rows: DataFrame, first_of: DataFrame, percent: int) -> DataFram
     return shared
 
 
+def _main(placed: DataFrame) -> DataFrame:
+    """key, kinds, main of keys (key, id, c) whose sets are of several components: how many, and the one with most of them."""
+    return placed.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "c"))["c"].alias("main")).where("kinds > 1")
+
+
+def _open_pairs(placed: DataFrame, main: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a key's sets of different components that may link. Sets of the main component meet only those outside it."""
+    open_keys = stored(placed.join(main, "key").join(brief, "id"), "ngram-open")
+    let_go(brief.sparkSession)
+    a, b = open_keys.where("c != main").alias("a"), open_keys.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
+    return a.join(b, apart & _may_link("a", "b", percent)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+
+def _rare_keys(deep: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, id, c of sets (id, c) in crowded keys: their rarest elements, so many that two sets that link share one.
+
+    Form letters share most segments and link with none. Their sets are cut into single elements instead, and those are taken
+    first which fewest of these sets have; an element of one set alone makes no key. The order is the same for all of them, so
+    the first n - ceil(n percent / 100) + 1 elements of two sets that link meet.
+    """
+    spark = deep.sparkSession
+    sets, path = _sets(texts, marks.join(deep, "id").select("name", "id", "h1", "h2"), width)
+    each = sets.select("id", "n", F.explode("s").alias("key"))
+    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("times")), "key")
+    line = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("line"))
+    first = F.slice("line", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    keys = line.select("id", F.explode(F.filter(first, lambda e: e["times"] > 1)).alias("e")).select("e.key", "id")
+    out = stored(keys.join(deep, "id"), "ngram-rare")
+    forget(spark, path)
+    let_go(spark)
+    return out
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, name, n, h1, h2), and for each distinct set (h1, h2) its component c and that one's least doc_id."""
     if not 50 <= percent <= 100:
@@ -383,14 +421,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     label = components(first)
     placed = shared.select("key", "id").join(label.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    main = placed.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("count", "c"))["c"].alias("main")).where("kinds > 1")
+    main = _main(placed)
     brief = marks.select("id", "n", F.transform(F.sequence(F.lit(0), F.lit(PARITY_BITS // 64 - 1)), lambda k: F.aggregate(F.filter("bits", lambda _, j: j % (PARITY_BITS // 64) == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))).alias("bits"))
-    open_keys, open_path = stored_at(placed.join(main, "key").join(brief, "id"), "ngram-open")
+    pairs = _open_pairs(placed, main.where(F.col("kinds") <= MOST_OPEN), brief, percent)
+    crowded = main.where(F.col("kinds") > MOST_OPEN).select("key")
+    deep, deep_path = stored_at(placed.join(crowded, "key", "left_semi").select("id", "c").distinct(), "ngram-deep")
     let_go(spark)
-    a, b = open_keys.where("c != main").alias("a"), open_keys.alias("b")
-    late = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent))
-    second, _ = _verified(likely(late.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))), texts, marks, width, percent)
-    forget(spark, open_path)
+    if not deep.isEmpty():
+        rare = _rare_keys(deep, texts, marks, width, percent)
+        pairs = pairs.unionByName(_open_pairs(rare, _main(rare), brief, percent))
+    second, _ = _verified(likely(pairs), texts, marks, width, percent)
+    forget(spark, deep_path)
 
     label = components(first.union(second)).select(F.col("u").alias("id"), F.col("v").alias("c"))
     linked = groups.join(label, "id", "left").select("h1", "h2", F.coalesce("c", "id").alias("c"), "least")
