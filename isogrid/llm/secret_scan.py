@@ -13,9 +13,11 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import zstandard
@@ -31,25 +33,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is "[0-9a-f]+ of 32 or more"
 LEAST_GROUP, LEAST_ACCESS = 8, 16
 
-#: Decompressed data larger than this is scanned in overlapping windows, which end outside any base64 run; one that stays
-#: open is held whole.
+#: Decompressed data larger than this is scanned in overlapping windows, which end outside any base64 run that is shorter.
 WINDOW_CHARS, OVERLAP_CHARS = 1 << 20, 1 << 14
 MARK = "[SECRET]"
 #: Characters skipped before a run is decoded, as a path or a name may stand before the payload.
 OFFSETS = (0, 1, 2, 3)
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_UNICODE = re.compile(r"(?:(?:\\u|%u)[0-9A-Fa-f]{4})+|(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8})+|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_WIDE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: No first line of a wrapped run is longer that isn't a run itself: 15 characters, line end and indent.
 FIRST_CHARS = 256
 #: Further lines of a wrapped run, also where line ends are written as escapes, and a short first line of it.
 _LINES = re.compile(r"(?:(?:[ \t]*(?:\r?\n|(?:\\r)?\\n))+[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
-_FIRST_LINE = re.compile(r"[A-Za-z0-9+/_-]+[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*\Z")
+_RUN, _STANDARD = re.compile(r"[A-Za-z0-9+/_-]*"), str.maketrans("-_", "+/")
+_RUN_CHARS = "".join(chr(i) for i in range(128) if re.match(r"[A-Za-z0-9+/_-]", chr(i)))
 _LINE_END = re.compile(r"\\[rn]|\s")
 _HEX_TABLE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _RUN_TABLE = bytes(120 if re.match(r"[A-Za-z0-9+/_-]", chr(i)) else 32 for i in range(256))
-_ESCAPED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#")
+_ESCAPED = re.compile(rb"%u?[0-9A-Fa-f]{2}|\\[ux]\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|&#")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 _OUTSIDE = re.compile(r"[^A-Za-z0-9+/_=\s\\-]|[A-Za-z0-9+/_=-][ \t]+(?=[A-Za-z0-9+/_-])")
 COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -68,16 +71,21 @@ def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: What follows a window that ends inside a base64 run, in pieces, from its end on; None for other windows.
+More = Callable[[], Iterator[str]] | None
+
+
 class Layer:
     """A text and the half-open stretch [lo, hi) of the original that each of its characters came from.
 
-    lo and hi are arrays; or two numbers, where all of the layer came from one stretch.
+    lo and hi are arrays; or two numbers, where all of the layer came from one stretch. ``more`` gives what follows a window
+    that ends inside a base64 run.
     """
 
-    __slots__ = ("hi", "lo", "text")
+    __slots__ = ("hi", "lo", "more", "text")
 
-    def __init__(self, text: str, lo: np.ndarray | int, hi: np.ndarray | int):
-        self.text, self.lo, self.hi = text, lo, hi
+    def __init__(self, text: str, lo: np.ndarray | int, hi: np.ndarray | int, more: More = None):
+        self.text, self.lo, self.hi, self.more = text, lo, hi, more
 
     @classmethod
     def original(cls, text: str) -> Layer:
@@ -114,9 +122,9 @@ class Layer:
         hi = [x for a, b, c, n in places for x in (self.hi[a:b], np.full(n, self.hi[c - 1]))]
         return Layer(text, np.concatenate([*lo, self.lo[last:]]), np.concatenate([*hi, self.hi[last:]]))
 
-    def inner(self, start: int, end: int, text: str) -> Layer:
+    def inner(self, start: int, end: int, text: str, more: More = None) -> Layer:
         """A layer unwrapped from text[start:end]; all of it maps to that stretch."""
-        return Layer(text, *self.stretch(start, end))
+        return Layer(text, *self.stretch(start, end), more)
 
 
 def _from_url(run: str) -> str | None:
@@ -129,7 +137,10 @@ def _from_unicode(run: str) -> str | None:
         return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
     if run[1] == "x":
         return bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "replace")
-    return b"".join(bytes.fromhex(x) for x in run.split("\\u")[1:]).decode("utf-16-be", "replace")
+    if run[1] == "U" or run[2] == "{":
+        points = [int(m[1] or m[2], 16) for m in _WIDE.finditer(run)]
+        return "".join(chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd" for n in points)
+    return bytes.fromhex(run.replace("\\u", "").replace("%u", "")).decode("utf-16-be", "replace")
 
 
 def _to_the_damage(unzip, data: bytes) -> bytes:
@@ -146,18 +157,30 @@ def _to_the_damage(unzip, data: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflated(data: memoryview) -> Iterator[bytes]:
+class _Stream:
+    """Bytes of pieces that are only asked for as they are read."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces = pieces
+
+    def read(self, _: int = -1) -> bytes:
+        return next((p for p in self.pieces if p), b"")
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """What gzip, zlib or zstandard data at the start gives, up to its end or first damage."""
-    if data[:1] == b"\x28":
+    first = next(pieces, b"")
+    if first[:1] == b"\x28":
+        one_by_one = (bytes(p[k : k + 1]) for p in itertools.chain([first], pieces) for k in range(len(p)))
         try:
-            yield from zstandard.ZstdDecompressor().read_to_iter(data, read_size=1)  # blocks before the damage come out
+            yield from zstandard.ZstdDecompressor().read_to_iter(_Stream(one_by_one), read_size=1)  # blocks before the damage come out
         except zstandard.ZstdError:
             pass
         return
-    unzip, at, rest = zlib.decompressobj(47), 0, b""
+    unzip, rest = zlib.decompressobj(47), b""
+    parts = (p[k : k + 4096] for p in itertools.chain([first], pieces) for k in range(0, len(p), 4096))
     while not unzip.eof:
-        part = rest or bytes(data[at : at + 4096])
-        at += 0 if rest else 4096
+        part = rest or next(parts, b"")
         before = unzip.copy()
         try:
             out = unzip.decompress(part, 1 << 16)
@@ -170,19 +193,38 @@ def _inflated(data: memoryview) -> Iterator[bytes]:
         rest = unzip.unconsumed_tail
 
 
-def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
-    """The text of the pieces, cut into overlapping windows where it is long."""
-    decoder, held, most = codecs.getincrementaldecoder("utf-8")("replace"), "", WINDOW_CHARS
-    for piece in pieces:
-        held += decoder.decode(piece)
+def _windows(make: Callable[[], Iterator[bytes]]) -> Iterator[tuple[str, More]]:
+    """The text of the pieces that ``make`` gives, cut into overlapping windows where it is long.
+
+    A window ends outside any base64 run, or, where a run is longer than a window, inside of it; what follows is then made
+    anew if it is asked for, so that no more than a window is held.
+    """
+
+    def decoded() -> Iterator[str]:
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        for piece in make():
+            yield decoder.decode(piece)
+        yield decoder.decode(b"", True)
+
+    def after(place: int) -> Iterator[str]:
+        for piece in decoded():
+            if len(piece) > place:
+                yield piece[place:]
+            place = max(0, place - len(piece))
+
+    held, begin, most = "", 0, WINDOW_CHARS
+    for piece in decoded():
+        held += piece
         if len(held) >= most:
             cut = next((ends[-1] for k in (1 << 12, len(held)) if (ends := [m.end() for m in _OUTSIDE.finditer(held, max(0, len(held) - k))])), 0)
-            if cut > OVERLAP_CHARS:
-                yield held[:cut]
-                held = held[cut - OVERLAP_CHARS :]
+            inside = cut <= OVERLAP_CHARS
+            cut = len(held) if inside else cut
+            yield held[:cut], (lambda place=begin + cut: after(place)) if inside else None
+            begin += cut - OVERLAP_CHARS
+            held = held[cut - OVERLAP_CHARS :]
             most = max(WINDOW_CHARS, 2 * len(held))
-    if held := held + decoder.decode(b"", True):
-        yield held
+    if held:
+        yield held, None
 
 
 def _worth(raw: bytes) -> bool:
@@ -191,18 +233,79 @@ def _worth(raw: bytes) -> bool:
     return any(x in low for x in (b"passw", b"secret", b"token", b"api", b"akia")) or bool(_ESCAPED.search(raw)) or b"x" * 16 in raw.translate(_RUN_TABLE)
 
 
-def _from_base64(run: str) -> Iterator[str]:
-    """The text of a base64 run, and what compressed data anywhere in it gives; a prefix of it may be no base64."""
-    body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
+def _run_bytes(chars: str, more: More) -> Iterator[bytes]:
+    """The bytes of a base64 run: ``chars``, and what follows a window's end as far as the run goes."""
+    whole = len(chars) - len(chars) % 4 if more else len(chars) - (len(chars) % 4 == 1)
+    part, rest = chars[:whole], chars[whole:] if more else ""
+    yield base64.b64decode(part + "=" * (-len(part) % 4))
+    if more:
+        for piece in more():
+            run = _RUN.match(piece)[0]
+            rest += run.translate(_STANDARD)
+            if len(run) < len(piece):
+                break
+            yield base64.b64decode(rest[: len(rest) // 4 * 4])
+            rest = rest[len(rest) // 4 * 4 :]
+        rest = rest[: len(rest) - (len(rest) % 4 == 1)]
+        yield base64.b64decode(rest + "=" * (-len(rest) % 4))
+
+
+def _from_base64(run: str, more: More = None) -> Iterator[tuple[str, More]]:
+    """The text of a base64 run, and what compressed data anywhere in it gives; a prefix of it may be no base64.
+
+    ``more`` follows a run that a window cuts: compressed data that begins in the window is read on beyond its end.
+    """
+    body = run.rstrip("=").translate(_STANDARD)
     for skip in OFFSETS:
-        part = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]
-        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        data = next(_run_bytes(body[skip:], more))
         if _worth(data):
-            yield data.decode("utf-8", "replace")
+            yield data.decode("utf-8", "replace"), None
         for m in _PACKED.finditer(data):
-            for text in _windows(_inflated(memoryview(data)[m.start() :])):
+
+            def packed(skip=skip, data=data, at=m.start()) -> Iterator[bytes]:
+                yield memoryview(data)[at:]
+                if more:
+                    following = _run_bytes(body[skip:], more)
+                    next(following)
+                    yield from following
+
+            for text, further in _windows(lambda packed=packed: _inflated(packed())):
                 if _worth(text.encode("utf-8", "surrogatepass")):
-                    yield text
+                    yield text, further
+
+
+def _first_line(text: str, end: int) -> int | None:
+    """Where the short first line of a wrapped run begins, whose next line begins at ``end``; None if there is no such line."""
+    low = max(0, end - FIRST_CHARS)
+    before = text[low:end].rstrip(" \t")
+    if before.endswith("\n"):
+        line = before[:-1].removesuffix("\r")
+    elif before.endswith("\\n"):
+        line = before[:-2].removesuffix("\\r")
+    else:
+        return None
+    line = line.rstrip(" \t")
+    rest = line.rstrip(_RUN_CHARS)
+    return low + len(rest) if len(rest) < len(line) else None
+
+
+class Covered:
+    """Stretches of one kind, of which those inside others are left out, so starts and ends both ascend."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def has(self, lo: int, hi: int) -> bool:
+        """Whether lo..hi lies inside one of the stretches."""
+        k = bisect_right(self.starts, lo)
+        return k > 0 and self.ends[k - 1] >= hi
+
+    def add(self, lo: int, hi: int) -> None:
+        if not self.has(lo, hi):
+            k = bisect_left(self.starts, lo)
+            n = bisect_right(self.ends, hi, k)
+            self.starts[k:n], self.ends[k:n] = [lo], [hi]
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -210,18 +313,18 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := layer.replaced(_URL, _from_url)):
         yield new
-    if ("\\" in text or "&#" in text) and (new := layer.replaced(_UNICODE, _from_unicode)):
+    if ("\\" in text or "&#" in text or "%u" in text) and (new := layer.replaced(_UNICODE, _from_unicode)):
         yield new
     joined = 0
     for m in _BASE64.finditer(text):
-        for inner in _from_base64(m[0]):
-            yield layer.inner(m.start(), m.end(), inner)
+        for inner, more in _from_base64(m[0], layer.more if m.end() == len(text) else None):
+            yield layer.inner(m.start(), m.end(), inner, more)
         if m.end() > joined:
-            before, after = _FIRST_LINE.search(text, max(0, m.start() - FIRST_CHARS), m.start()), _LINES.match(text, m.end())
-            start, joined = before.start() if before else m.start(), after.end() if after else m.end()
-            if before or after:
-                for inner in _from_base64(_LINE_END.sub("", text[start:joined])):
-                    yield layer.inner(start, joined, inner)
+            before, after = _first_line(text, m.start()), _LINES.match(text, m.end())
+            start, joined = m.start() if before is None else before, after.end() if after else m.end()
+            if before is not None or after:
+                for inner, more in _from_base64(_LINE_END.sub("", text[start:joined])):
+                    yield layer.inner(start, joined, inner, more)
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -233,6 +336,9 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     if not (_ESCAPED.search(raw) or b"x" * 16 in raw.translate(_RUN_TABLE)):
         return base, base
     spans, seen, work = set(base), {hashlib.sha256(raw).digest()}, [unwrap(Layer.original(text))]
+    covered = [Covered() for _ in KINDS]
+    for s, kind, e in base:
+        covered[kind].add(s, e)
     while work:
         new = next(work[-1], None)
         if new is None:
@@ -241,8 +347,9 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
             seen.add(mark)
             for s, kind, e in scan(new.text):
                 lo, hi = new.stretch(s, e)
-                if not any(k == kind and a <= lo and hi <= b for a, k, b in spans):
+                if not covered[kind].has(lo, hi):
                     spans.add((lo, kind, hi))
+                    covered[kind].add(lo, hi)
             work.append(unwrap(new))
     return base, sorted(spans)
 
