@@ -1,8 +1,8 @@
 """Quality rules by compression bands.
 
 Noise compresses too badly and repetition too well. The zstandard ratio (compressed bytes by bytes) of the whole text
-must lie in a band that depends on its length, and so must those of its chunks: a text most of whose bytes are in chunks
-outside their bands goes too, even when its mean looks right. Table bars, symbol tails and padding compress to almost
+must lie in a band that depends on its length, and so must those of its chunks: a text with more than a tenth of its bytes in
+chunks outside their bands goes too, even when its mean looks right, as that of prose with a stretch of noise does. Table bars, symbol tails and padding compress to almost
 nothing, so they dilute a text: its ratio falls below that of the same text without ASCII punctuation and with single
 spaces. The quotient of the two ratios, near 1 in prose whatever its vocabulary, has a lower limit as well.
 """
@@ -28,7 +28,7 @@ LEAST_DILUTION = (0.0, 0.97, 0.97, 0.97, 0.97, 0.97, 0.97, 0.97, 0.97, 0.98, 0.9
 LEAST_RATIO = (0.0, 0.90, 0.62, 0.56, 0.52, 0.48, 0.43, 0.41, 0.39, 0.37, 0.36, 0.35, 0.34, 0.33, 0.32, 0.32, 0.31, 0.30)
 #: Chunks, the share of a text's bytes that may lie in bad ones, and what a text is stripped of to measure its dilution.
 CHUNK_BYTES = 4096
-BAD_CHUNKS = 0.5
+BAD_CHUNKS = 0.1
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LEVEL = 3
 
