@@ -178,13 +178,14 @@ def class_weights(labels: DataFrame) -> tuple[float, float]:
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """text, toxic of the sample that the model is fitted on; ids and labels alone are sorted for it.
 
-    It has MOST_LABELLED ids at most; what is joined to the documents is them, and the planner picks how.
+    It has MOST_LABELLED rows at most, as of an id that several rows have the least text counts; what is joined to the documents
+    is the ids, which are few enough to be broadcast.
     """
     order = F.col("_order")
     known = known_labels(labels).select("doc_id", "toxic", shuffled(F.col("doc_id"), "toxicity").alias("_order"))
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_LABELLED // 2).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(MOST_LABELLED // 2))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("text", "toxic")
+    return rows.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray, float]:
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = map_slices(sample, measure, "toxic int, stems array<double>, more array<double>").toArrow()
     gold = rows.column("toxic").to_numpy()
-    if not (n1 and n0):  # nothing to learn from: lexicon and patterns alone decide
+    if not (n1 and n0):  # nothing to learn from: all texts score alike, and low
         return stems, weights, np.zeros(2 * len(stems) + 8), -4.0
     voters = Voters(stems, weights)
     pairs = [(np.array(s), np.array(m)) for s, m in zip(rows.column("stems").to_pylist(), rows.column("more").to_pylist())]
