@@ -12,7 +12,8 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_slices
 
@@ -30,6 +31,8 @@ BLOCK_GLOBS = (
     "*/wp-login.php", "*/wp-admin/*", "*/user/login", "*/cart/*", "*/checkout/*", "*/affiliate/*", "*/out/redirect*", "*/feed/atom*", "*/xmlrpc.php",
     "*.exe", "*.apk", "*.zip", "*.rar", "*.iso", "*.mp4", "*.jpg", "*.png",
 )
+#: Globs of a file at most: some 20 MB of masks in a task.
+MOST_GLOBS = 20_000
 COLUMNS = "page_id long, host string, path string, rule string, verdict string"
 _PARTS = re.compile(r"(?s)://([^/?#]*)([^?#]*)")
 
@@ -129,6 +132,18 @@ def judge(urls: Sequence[str | None], rules: tuple = PREFIX_RULES, blocked: tupl
     return out
 
 
+def read_globs(spark: SparkSession, path: str, most: int = MOST_GLOBS) -> tuple[str, ...]:
+    """The globs of text files, one a line, for ``blocked``; blank lines, repeats and lines that begin with # are left out.
+
+    Every task holds all of them, so more than ``most`` are refused.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("glob")).where("glob <> '' AND NOT startswith(glob, '#')").distinct()
+    found = [r["glob"] for r in lines.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} globs")
+    return tuple(sorted(found))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = PREFIX_RULES, blocked: tuple = BLOCK_GLOBS) -> DataFrame:
     """A verdict for each row of ``pages``; only these two columns are read, so others cannot clash.
 
