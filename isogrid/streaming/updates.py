@@ -28,7 +28,7 @@ def _in_months(batch: DataFrame, time: str) -> Column:
 
     Months that follow each other are one stretch; rows without a time are looked for if the batch has such.
     """
-    months = sorted(r[0] for r in batch.select(F.coalesce(F.trunc(F.col(time).cast("date"), "month"), F.lit(_NO_TIME).cast("date"))).distinct().collect())
+    months = sorted(r[0] for r in batch.select(F.coalesce(F.trunc(F.col(time).cast("date"), "month"), F.lit(_NO_TIME.isoformat()).cast("date"))).distinct().collect())
     wanted = F.col(time).isNull() if months and months[0] == _NO_TIME else F.lit(False)
     stretches: list[list[datetime.date]] = []
     for m in months:

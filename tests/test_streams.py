@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from isogrid.sources.versions import VersionedStore
 from isogrid.streaming import updates as streams
 
 SCHEMA = "ts timestamp, i int, j int, month int, sst double"
@@ -61,3 +62,34 @@ def test_stream_anomaly(spark, tmp_path):
     base = spark.createDataFrame([("p", 1, i, 0, float(i)) for i in range(4)], "period string, month int, i int, j int, clim double")
     streams.run_to_table(streams.stream_anomaly(streams.read_slices(spark, source, SCHEMA), base), out, state).awaitTermination()
     assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == [1.0] * 4 + [2.0] * 4
+
+
+def test_rows_without_time_or_key_are_stored_once(spark, tmp_path):
+    source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    run = lambda: streams.stream_append(streams.read_slices(spark, source, SCHEMA), store, state, ["i", "j"]).awaitTermination()
+    odd = spark.createDataFrame([(None, 1, 1, 1, 5.0), (None, None, 1, 1, 6.0)], SCHEMA).unionByName(spark.sql("select timestamp'2024-01-05' as ts, cast(null as int) as i, 0 as j, 1 as month, 7d as sst"))
+    for _ in range(3):
+        odd.coalesce(1).write.mode("append").parquet(source)
+        run()
+    assert sorted(r["sst"] for r in spark.read.parquet(store).collect()) == [5.0, 6.0, 7.0]
+
+
+def test_a_batch_of_many_months_meets_its_stored_copies(spark, tmp_path):
+    source, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    months = spark.range(400).selectExpr("timestamp'1980-01-01' + make_interval(0, cast(id as int)) as ts", "0 as i", "0 as j", "1 as month", "cast(id as double) as sst")
+    for part in (months.where("sst % 3 != 0"), months, months):
+        part.coalesce(1).write.mode("append").parquet(source)
+        streams.stream_append(streams.read_slices(spark, source, SCHEMA), store, state, ["i", "j"]).awaitTermination()
+    assert spark.read.parquet(store).count() == 400
+
+
+def test_a_replaced_baseline_is_used_from_the_next_batch_on(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    kept, schema = VersionedStore(spark, str(tmp_path / "store")), "period STRING, month INT, i INT, j INT, clim DOUBLE"
+    base = lambda v: spark.createDataFrame([("p", 1, i, 0, v) for i in range(4)], schema)
+    run = lambda: streams.stream_anomaly_by_version(streams.read_slices(spark, source, SCHEMA), lambda: kept.read("baselines", schema), out, state).awaitTermination()
+    for day, clim in ((1, 0.0), (2, 100.0)):
+        kept.commit({"baselines": base(clim)})
+        slices(spark, source, [day])
+        run()
+    assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == [-98.0, -97.0, -96.0, -95.0, 1.0, 2.0, 3.0, 4.0]
