@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import anomalies, climate, colour, grid, observations, points, polygons, series, updates
+from ..operators import anomalies, climate, colour, fields, grid, observations, points, polygons, series, updates
 from ..operators import store as product_store
 from ..sources import grids
 from ..sources.scratch import scratch, stored_rows
@@ -323,6 +324,25 @@ def _(spark, d):
     return climate.composite(maps, "seasonal").unionByName(climate.composite(maps, "annual"))
 
 
+_COMPOSED = "SELECT '{name}' AS asked, i, j, avg(value) AS value FROM prod WHERE season_type = 'monthly' AND section = '{section}' AND period = '{period}' AND season_idx IN ({months}) GROUP BY i, j"
+_ASKED = " UNION ALL ".join([
+    _COMPOSED.format(name="seasonal p1", section="s2", period="p1", months="2, 3, 4"),
+    _COMPOSED.format(name="annual p9", section="s4", period="all", months="0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11"),
+    "SELECT 's5 p1', i, j, value FROM prod WHERE section = 's5' AND season_type = 'monthly' AND season_idx = 0 AND period = 'p1'",
+    f"SELECT 's5 p9', i, j, value FROM ({_ROLLING}) WHERE season_idx = 0",
+    "SELECT 's3 p9', i, j, value FROM prod WHERE section = 's3' AND season_type = 'ess' AND season_idx = 2 AND period = 'all'",
+])
+
+
+@query("a16_map_field", ora.sql(_ASKED, "value", more=_ROLL))
+def _(spark, d):
+    """Maps of a period that has some and of one that has none, composed ones and the two forms of s5 among them."""
+    maps, rolling = stored(spark, products_of(spark, d)), climate.rolling_var_trend(fx.obs(spark, d), fx.WINDOW, fx.MIN_WINDOWS)
+    asked = [("seasonal p1", "s2", "seasonal", 1, "p1"), ("annual p9", "s4", "annual", 0, "p9"), ("s5 p1", "s5", "monthly", 0, "p1"), ("s5 p9", "s5", "monthly", 0, "p9"), ("s3 p9", "s3", "ess", 2, "p9")]
+    found = [fields.map_field(maps, *which, rolling).select(F.lit(name).alias("asked"), "i", "j", "value") for name, *which in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("a17_point_stats", ora.sql("SELECT point_id, round(coalesce(t, 0), 4) AS trend, round(coalesce(r, 0), 4) AS r2 FROM near LEFT JOIN (SELECT i, j, avg(CASE WHEN section = 's2' THEN value END) AS t, avg(CASE WHEN section = 's3' THEN value END) AS r FROM prod WHERE season_type = 'monthly' AND period = 'all' GROUP BY ALL) USING (i, j)", "trend", "r2"))
 def _(spark, d):
     obs = fx.obs(spark, d)
