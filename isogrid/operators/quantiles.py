@@ -10,23 +10,24 @@ from ..sources.scratch import small_broadcast, stored_rows
 
 #: Bits of the ordered image that each pass counts by, the leading ones first; with the sign they make 64.
 PASS_BITS = (22, 21, 21)
-_MANTISSA = 1 << 52
+_MANTISSA, _LEAST_NORMAL = 1 << 52, 2.0**-1022
 
 
-def ordered_bits(value: Column) -> Column:
-    """A whole number that orders doubles as they order themselves: the bits of a positive one, negated for a negative one.
+def with_ordered_bits(df: DataFrame, column: str, bits: str) -> DataFrame:
+    """The rows with a whole number that orders doubles as they order themselves: the bits of a positive one, negated for a negative one.
 
-    Made of exponent and mantissa, whose quotient and product by powers of two are exact. NULL for NULL and NaN; both zeros
-    are 0.
+    Made of exponent and share (size by a power of two, which is exact), in steps so that each is computed once. NULL for NULL
+    and NaN; both zeros are 0.
     """
-    size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("double")
-    share = size / F.pow(F.lit(2.0), guess)
-    exponent = F.greatest(F.lit(-1022.0), F.when(share >= 2, guess + 1).when(share < 1, guess - 1).otherwise(guess))
-    mantissa = size / F.pow(F.lit(2.0), exponent)
-    bits = ((exponent + 1022) * F.lit(float(_MANTISSA))).cast("long") + (mantissa * _MANTISSA).cast("long")
-    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(2047 * _MANTISSA)).otherwise(bits)
-    return F.when(~F.isnan(value), F.when(value < 0, -bits).otherwise(bits))
+    size, guess, share = F.abs(column), F.col("_guess"), F.col("_share")
+    steps = df.withColumn("_guess", F.least(F.lit(1023.0), F.floor(F.log2(F.when(size >= _LEAST_NORMAL, size))).cast("double")))
+    steps = steps.withColumn("_share", size / F.pow(F.lit(2.0), guess))
+    made = lambda exponent, mantissa: ((exponent + 1022) * float(_MANTISSA)).cast("long") + (mantissa * float(_MANTISSA)).cast("long")
+    normal = F.when(share >= 2, made(guess + 1, share / 2)).when(share < 1, made(guess - 1, share * 2)).otherwise(made(guess, share))
+    small = (size * F.lit(2.0**1000) * F.lit(2.0**74)).cast("long")
+    whole = F.when(size < _LEAST_NORMAL, small).when(size == F.lit(float("inf")), F.lit(2047 * _MANTISSA)).otherwise(normal)
+    steps = steps.withColumn("_whole", F.when(~F.isnan(column), whole))
+    return steps.withColumn(bits, F.when(F.col(column) < 0, -F.col("_whole")).otherwise(F.col("_whole"))).drop("_guess", "_share", "_whole")
 
 
 def _asked(percents: tuple[float, ...], n: Column) -> Column:
@@ -46,31 +47,30 @@ def exact_percentiles(pool: DataFrame, keys: list[str], column: str, percents: t
     Values are seen as whole numbers in the same order. The first pass counts each group's leading 22 bits, which tells in
     which bin each asked rank lies; the next two count the following bits of the values in such bins alone. Only counts are
     shuffled, and at most 4 million of a group, whatever its size, so groups may be few and large or many and small. The pool
-    is read three times, so store a costly one first. NULL and NaN are skipped; a group without values gives no row.
+    is read three times, so store a costly one first; the bins found by a pass are written for the next. NULL and NaN are skipped; a group without values gives no row.
     """
-    known = pool.select(*keys, F.col(column).alias("_x"), ordered_bits(F.col(column)).alias("_bits")).where("_bits IS NOT NULL")
+    values = pool.select(*keys, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
+    known = with_ordered_bits(values, "_x", "_bits")
     shift, by, wanted = 64, list(keys), None
     for n, width in enumerate(PASS_BITS):
         shift -= width
         digit = F.shiftright("_bits", shift)
-        digit = digit if n == 0 else digit.bitwiseAND(F.lit((1 << width) - 1))
-        rows = known.withColumn(f"_d{n}", digit)
+        rows = known.withColumn(f"_d{n}", digit if n == 0 else digit.bitwiseAND(F.lit((1 << width) - 1)))
         if wanted is not None:
-            rows = known = rows.join(F.broadcast(wanted.select(*by)), by, "left_semi")
+            wanted = stored_rows(wanted, "percentile-bins")
+            rows = known = rows.join(small_broadcast(wanted.select(*by)), by, "left_semi")
         counted = rows.groupBy(*by, f"_d{n}").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_x"))
-        line = Window.partitionBy(*by).orderBy(f"_d{n}")
-        upto = counted.withColumn("_end", F.sum("_c").over(line))
+        upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_d{n}")))
         if wanted is None:
             upto = upto.withColumn("_asked", _asked(percents, F.sum("_c").over(Window.partitionBy(*by))))
         else:
-            upto = upto.join(F.broadcast(wanted), by)
+            upto = upto.join(small_broadcast(wanted), by)
         begin = F.col("_end") - F.col("_c")
         here = F.filter("_asked", lambda r: (r["rank"] >= begin) & (r["rank"] < F.col("_end")))
         inside = F.transform(here, lambda r: F.struct(r["pct"], (r["rank"] - begin).alias("rank"), r["w"]))
         by = [*by, f"_d{n}"]
-        wanted = upto.select(*by, "_x", inside.alias("_asked")).where(F.size("_asked") > 0)
+        wanted = upto.select(*by, *(["_x"] if shift == 0 else []), inside.alias("_asked")).where(F.size("_asked") > 0)
         known = rows
-        wanted = wanted if shift == 0 else wanted.drop("_x")
     each = wanted.select(*keys, "_x", F.explode("_asked").alias("_r"))
     return each.groupBy(*keys, F.col("_r.pct").alias("pct")).agg(F.sum(F.col("_r.w") * F.col("_x")).alias("value"))
 

@@ -105,7 +105,7 @@ def test_ordered_bits_are_those_of_the_double(spark, values):
     values += [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf, 0.5, 1.0, 2.0, math.nextafter(2.0, 0), math.nextafter(1.0, 2)]
     bits = np.array(values).view(np.int64)
     want = [int(b) if b >= 0 else -int(b & 0x7FFFFFFFFFFFFFFF) for b in bits]
-    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", quantiles.ordered_bits(F.col("v")).alias("b")).collect()
+    got = quantiles.with_ordered_bits(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double"), "v", "b").select("k", "b").collect()
     assert [r["b"] for r in sorted(got)] == want
 
 
