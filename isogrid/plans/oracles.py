@@ -85,7 +85,7 @@ SQUARES = squares(fx.WIDTH, fx.HEIGHT)
 
 
 #: The same tables over the grid that grows with the given ones.
-FINE_BASE = BASE.replace(fx.RAW.format(lineitem="lineitem"), fx.FINE.format(orders="orders", each="unnest(range(84))"))
+FINE_BASE = BASE.replace(fx.RAW.format(lineitem="lineitem"), fx.FINE.format(orders="orders", each="unnest(range(84))", width=fx.FINE_WIDTH_SQL.format(orders="orders")))
 FINE_WIDTH = "(SELECT ceil(sqrt(max(o_orderkey) + 1)) FROM orders)"
 
 
