@@ -213,7 +213,7 @@ def test_form_letters_make_few_pairs(spark, monkeypatch):
         return plain(placed, main, brief, percent)
 
     monkeypatch.setattr(ngram_join, "_open_pairs", counted)
-    for n in (1500, 3000):
+    for n in (1000, 2000):
         rng, form = random.Random(n), [f"w{k}" for k in range(60)]
         docs = [(d, " ".join([*form[:at], *(f"o{rng.randrange(10**9)}" for _ in range(12)), *form[at:]])) for d, at in ((d, rng.randrange(60)) for d in range(n))]
         docs += [(n, docs[0][1] + " more"), (n + 1, docs[1][1] + " more")]
