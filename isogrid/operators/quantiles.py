@@ -54,11 +54,11 @@ def exact_percentiles(pool: DataFrame, keys: list[str], column: str, percents: t
     shift, by, wanted = 64, list(keys), None
     for n, width in enumerate(PASS_BITS):
         shift -= width
-        digit = F.shiftright("_bits", shift)
+        digit = F.coalesce(F.shiftright("_bits", shift), F.lit(0))  # known not to be NULL, or joins would test the bits where they scan
         rows = known.withColumn(f"_d{n}", digit if n == 0 else digit.bitwiseAND(F.lit((1 << width) - 1)))
         if wanted is not None:
             wanted = stored_rows(wanted, "percentile-bins")
-            rows = known = rows.join(small_broadcast(wanted.select(*by)), by, "left_semi")
+            rows = rows.join(small_broadcast(wanted.select(*by)), by)  # one row a bin; a semi join would be pushed below the bits
         counted = rows.groupBy(*by, f"_d{n}").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_x"))
         upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_d{n}")))
         if wanted is None:
