@@ -9,6 +9,7 @@ from .quantiles import exact_percentiles, with_row_numbers
 
 # The percentiles of legend ticks, colour stops (position and RGB) and the sections' colour maps.
 TICK_PERCENTS = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99, 100)
+SCALE_PERCENTS = (99, 99.9, 100)
 STOPS = {
     "RdYlBu_r": [(0.0, 49, 54, 149), (0.125, 69, 117, 180), (0.25, 116, 173, 209), (0.375, 171, 217, 233), (0.5, 255, 255, 191), (0.625, 254, 224, 144), (0.75, 253, 174, 97), (0.875, 244, 109, 67), (1.0, 165, 0, 38)],
     "RdBu_r": [(0.0, 5, 48, 97), (0.25, 33, 102, 172), (0.375, 103, 169, 207), (0.45, 209, 229, 240), (0.5, 247, 247, 247), (0.55, 253, 219, 199), (0.625, 239, 138, 98), (0.75, 178, 24, 43), (1.0, 103, 0, 31)],
@@ -25,11 +26,15 @@ def section_ticks(products: DataFrame) -> DataFrame:
     return exact_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
+def scale_of(percentiles: DataFrame) -> DataFrame:
+    """period, vm_99, vm_999, vm_100 of the percentiles ``SCALE_PERCENTS``."""
+    at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
+    return percentiles.groupBy("period").agg(at(99.0).alias("vm_99"), at(99.9).alias("vm_999"), at(100.0).alias("vm_100"))
+
+
 def anomaly_scale(anomalies: DataFrame) -> DataFrame:
     """period, vm_99, vm_999, vm_100: percentiles and maximum of the absolute anomalies."""
-    rows = exact_percentiles(anomalies.select("period", F.abs("value").alias("a")), ["period"], "a", (99, 99.9, 100))
-    at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
-    return rows.groupBy("period").agg(at(99.0).alias("vm_99"), at(99.9).alias("vm_999"), at(100.0).alias("vm_100"))
+    return scale_of(exact_percentiles(anomalies.select("period", F.abs("value").alias("a")), ["period"], "a", SCALE_PERCENTS))
 
 
 def anomaly_ticks(anomalies: DataFrame) -> DataFrame:

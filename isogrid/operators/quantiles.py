@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,63 @@ def _asked(percents: tuple[float, ...], n: Column) -> Column:
     return F.filter(F.array(*out), lambda r: r["w"] > 0)
 
 
+def _with_bits(pool: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, _x, _bits, _d0: the values that there are, with their leading bits (known not to be NULL, or joins would test the bits where they scan)."""
+    values = pool.select(*keys, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
+    return with_ordered_bits(values, "_x", "_bits").withColumn("_d0", F.coalesce(F.shiftright("_bits", 64 - PASS_BITS[0]), F.lit(0)))
+
+
+def bin_counts(pool: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, bin, n: how many values of each group share their leading 22 bits. Counts of parts of a pool add up to those of the whole."""
+    return _with_bits(pool, keys, column).groupBy(*keys, F.col("_d0").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranks_inside(counted: DataFrame, by: list[str], digit: str, *more: str) -> DataFrame:
+    """The bins that an asked rank lies in, with the ranks counted from the bin's first value."""
+    begin = F.col("_end") - F.col("_c")
+    here = F.filter("_asked", lambda r: (r["rank"] >= begin) & (r["rank"] < F.col("_end")))
+    inside = F.transform(here, lambda r: F.struct(r["pct"], (r["rank"] - begin).alias("rank"), r["w"]))
+    return counted.select(*by, digit, *more, inside.alias("_asked")).where(F.size("_asked") > 0)
+
+
+def asked_bins(counts: DataFrame, keys: list[str], percents: tuple[float, ...]) -> DataFrame:
+    """keys, _d0, _asked: the bins of ``bin_counts`` that the percentiles lie in; written, as all that follows reads them."""
+    whole = Window.partitionBy(*keys)
+    upto = counts.select(*keys, F.col("bin").alias("_d0"), F.col("n").alias("_c")).withColumn("_end", F.sum("_c").over(whole.orderBy("_d0")))
+    return stored_rows(_ranks_inside(upto.withColumn("_asked", _asked(percents, F.sum("_c").over(whole))), keys, "_d0"), "percentile-bins")
+
+
+def bin_ranges(bins: DataFrame) -> list[tuple[float, float]]:
+    """Least and greatest double of each bin, neighbours merged: at most two a group and percentile, so for pools of few groups."""
+    out: list[tuple[int, int]] = []
+    width = 1 << (64 - PASS_BITS[0])
+    for first in sorted(r["_d0"] * width for r in bins.select("_d0").distinct().collect()):
+        begin = out.pop()[0] if out and out[-1][1] + 1 == first else first
+        out.append((begin, first + width - 1))
+    return [(_double_of(a), _double_of(b)) for a, b in out]
+
+
+def _double_of(bits: int) -> float:
+    """The double of an ordered image; beyond the infinities, those."""
+    size = struct.unpack("<d", struct.pack("<q", min(abs(bits), 2047 * _MANTISSA)))[0]
+    return -size if bits < 0 else size
+
+
+def percentiles_in_bins(bins: DataFrame, pool: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, pct, value, from the bins of ``asked_bins``; of the pool only values in them matter, so a reader may leave out others."""
+    by, wanted, known, shift = [*keys, "_d0"], bins, _with_bits(pool, keys, column), 64 - PASS_BITS[0]
+    for n, width in enumerate(PASS_BITS[1:], 1):
+        shift -= width
+        rows = known.withColumn(f"_d{n}", F.coalesce(F.shiftright("_bits", shift), F.lit(0)).bitwiseAND(F.lit((1 << width) - 1)))
+        rows = rows.join(small_broadcast(wanted.select(*by)), by)  # one row a bin; a semi join would be pushed below the bits
+        counted = rows.groupBy(*by, f"_d{n}").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_x"))
+        upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_d{n}"))).join(small_broadcast(wanted), by)
+        wanted = _ranks_inside(upto, by, f"_d{n}", *(["_x"] if shift == 0 else []))
+        wanted, by, known = wanted if shift == 0 else stored_rows(wanted, "percentile-bins"), [*by, f"_d{n}"], rows
+    each = wanted.select(*keys, "_x", F.explode("_asked").alias("_r"))
+    return each.groupBy(*keys, F.col("_r.pct").alias("pct")).agg(F.sum(F.col("_r.w") * F.col("_x")).alias("value"))
+
+
 def exact_percentiles(pool: DataFrame, keys: list[str], column: str, percents: tuple[float, ...]) -> DataFrame:
     """keys, pct, value: linear-interpolated percentiles of each group, by radix selection.
 
@@ -49,30 +108,7 @@ def exact_percentiles(pool: DataFrame, keys: list[str], column: str, percents: t
     shuffled, and at most 4 million of a group, whatever its size, so groups may be few and large or many and small. The pool
     is read three times, so store a costly one first; the bins found by a pass are written for the next. NULL and NaN are skipped; a group without values gives no row.
     """
-    values = pool.select(*keys, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
-    known = with_ordered_bits(values, "_x", "_bits")
-    shift, by, wanted = 64, list(keys), None
-    for n, width in enumerate(PASS_BITS):
-        shift -= width
-        digit = F.coalesce(F.shiftright("_bits", shift), F.lit(0))  # known not to be NULL, or joins would test the bits where they scan
-        rows = known.withColumn(f"_d{n}", digit if n == 0 else digit.bitwiseAND(F.lit((1 << width) - 1)))
-        if wanted is not None:
-            wanted = stored_rows(wanted, "percentile-bins")
-            rows = rows.join(small_broadcast(wanted.select(*by)), by)  # one row a bin; a semi join would be pushed below the bits
-        counted = rows.groupBy(*by, f"_d{n}").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_x"))
-        upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_d{n}")))
-        if wanted is None:
-            upto = upto.withColumn("_asked", _asked(percents, F.sum("_c").over(Window.partitionBy(*by))))
-        else:
-            upto = upto.join(small_broadcast(wanted), by)
-        begin = F.col("_end") - F.col("_c")
-        here = F.filter("_asked", lambda r: (r["rank"] >= begin) & (r["rank"] < F.col("_end")))
-        inside = F.transform(here, lambda r: F.struct(r["pct"], (r["rank"] - begin).alias("rank"), r["w"]))
-        by = [*by, f"_d{n}"]
-        wanted = upto.select(*by, *(["_x"] if shift == 0 else []), inside.alias("_asked")).where(F.size("_asked") > 0)
-        known = rows
-    each = wanted.select(*keys, "_x", F.explode("_asked").alias("_r"))
-    return each.groupBy(*keys, F.col("_r.pct").alias("pct")).agg(F.sum(F.col("_r.w") * F.col("_x")).alias("value"))
+    return percentiles_in_bins(asked_bins(bin_counts(pool, keys, column), keys, percents), pool, keys, column)
 
 
 def with_row_numbers(df: DataFrame, keys: list[str], order: list[str], number: str = "row_number", total: str | None = None) -> DataFrame:

@@ -593,12 +593,16 @@ def _(spark, d):
     return colour.section_ticks(stored_rows(maps.unionByName(steep), "tick-pool"))
 
 
-@query("k2_anomaly_scale", ora.sql("SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period", "vm_99", "vm_999", "vm_100"))
+_SCALES = "SELECT period, quantile_cont(abs(value), 0.99) AS vm_99, quantile_cont(abs(value), 0.999) AS vm_999, max(abs(value)) AS vm_100 FROM anom WHERE value IS NOT NULL GROUP BY period"
+_ANOMALY_TICKS = f"SELECT period, pct, q[list_position({list(colour.TICK_PERCENTS)}, pct)] AS value FROM (SELECT period, quantile_cont(value, {[p / 100 for p in colour.TICK_PERCENTS]}) AS q FROM anom WHERE value IS NOT NULL GROUP BY period) CROSS JOIN (VALUES {', '.join(f'({p})' for p in colour.TICK_PERCENTS)}) v(pct)"
+
+
+@query("k2_anomaly_scale", ora.sql(_SCALES, "vm_99", "vm_999", "vm_100"))
 def _(spark, d):
     return colour.anomaly_scale(anomaly_pool(spark, d))
 
 
-@query("k2_anomaly_ticks", ora.sql(f"SELECT period, pct, q[list_position({list(colour.TICK_PERCENTS)}, pct)] AS value FROM (SELECT period, quantile_cont(value, {[p / 100 for p in colour.TICK_PERCENTS]}) AS q FROM anom WHERE value IS NOT NULL GROUP BY period) CROSS JOIN (VALUES {', '.join(f'({p})' for p in colour.TICK_PERCENTS)}) v(pct)", "value"))
+@query("k2_anomaly_ticks", ora.sql(_ANOMALY_TICKS, "value"))
 def _(spark, d):
     return colour.anomaly_ticks(anomaly_pool(spark, d))
 
@@ -758,6 +762,16 @@ def _(spark, d):
     return product_store.ticks_of(refreshed_store(spark, d))
 
 
+@query("u5_refresh_anomaly_scale", ora.sql(f"SELECT period, 'scale' AS kind, pct, CASE pct WHEN 99 THEN vm_99 WHEN 99.9 THEN vm_999 ELSE vm_100 END AS value FROM ({_SCALES}) CROSS JOIN (VALUES (99.0), (99.9), (100.0)) v(pct) UNION ALL SELECT period, 'tick', pct, value FROM ({_ANOMALY_TICKS})", "pct", "value"))
+def _(spark, d):
+    """Scale and ticks of all anomalies; the later rows move the baselines of one period and not those of the other."""
+    store = refreshed_store(spark, d)
+    scale = product_store.anomaly_scale_of(store).unpivot("period", ["vm_99", "vm_999", "vm_100"], "name", "value")
+    pct = F.when(F.col("name") == "vm_99", 99.0).when(F.col("name") == "vm_999", 99.9).otherwise(100.0)
+    ticks = product_store.anomaly_ticks_of(store).select("period", F.lit("tick").alias("kind"), F.col("pct").cast("double").alias("pct"), "value")
+    return scale.select("period", F.lit("scale").alias("kind"), pct.alias("pct"), "value").unionByName(ticks)
+
+
 def event_slices(spark: SparkSession, d: str) -> DataFrame:
     schema = fx.table(spark, d, "events").schema
     return fx.slices(streams.read_slices(spark, d, schema, "events.parquet"))

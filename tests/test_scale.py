@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from isogrid.operators import climate, colour, grid, observations, points, polygons, quantiles, store
+from isogrid.operators import anomalies, climate, colour, grid, observations, points, polygons, quantiles, store
 from isogrid.sources import grids
 from isogrid.sources.versions import VersionedStore
 from test_grid import field_of, grid_of, obs
@@ -117,6 +118,35 @@ def test_percentiles_of_odd_pools(spark):
     assert quantiles.exact_percentiles(df.where("false"), ["g"], "v", (50,)).count() == 0
 
 
+def test_counts_of_parts_add_up_and_name_the_values_to_read(spark):
+    """Two parts' counts; of the pool only the values in the bins' ranges are given to the second pass."""
+    rng = random.Random(21)
+    rows = [(g, rng.choice([-1, 1]) * rng.choice([0.0, 5e-324, 1e200] if rng.random() < 0.1 else [rng.random(), rng.gauss(0, 50)])) for g in "ab" for _ in range(700)] + [("a", math.inf), ("b", -math.inf), ("b", math.nan), ("a", None)]
+    rng.shuffle(rows)
+    parts = [spark.createDataFrame(rows[a:b], "g string, v double") for a, b in ((0, 500), (500, None))]
+    counts = quantiles.bin_counts(parts[0], ["g"], "v").unionByName(quantiles.bin_counts(parts[1], ["g"], "v")).groupBy("g", "bin").agg(F.sum("n").alias("n"))
+    bins = quantiles.asked_bins(counts, ["g"], (0.5, 30, 50, 77, 95))
+    hit = F.lit(False)
+    for low, high in quantiles.bin_ranges(bins):
+        assert low <= high
+        hit = hit | F.col("v").between(low, high)
+    read = parts[0].union(parts[1]).where(hit)
+    got = {(r["g"], r["pct"]): r["value"] for r in quantiles.percentiles_in_bins(bins, read, ["g"], "v").collect()}
+    for g in "ab":
+        values = [v for k, v in rows if k == g and v is not None and not math.isnan(v)]
+        for p in (0.5, 30.0, 50.0, 77.0, 95.0):
+            assert got[g, p] == pytest.approx(np.percentile(values, p), rel=1e-12, abs=1e-300)
+    assert 0 < read.count() < len(rows) / 2
+
+
+def test_ranges_of_bins_meet_and_end_at_the_infinities(spark):
+    width = 1 << 42
+    one = lambda *at: quantiles.bin_ranges(spark.createDataFrame([(k,) for k in at], "_d0 long"))
+    assert one(0, -1) == [(quantiles._double_of(-width), quantiles._double_of(width - 1))]
+    assert one(2047 << 10)[0] == (math.inf, math.inf) and one(-(2047 << 10) - 1)[0][0] == -math.inf
+    assert one(1, 5) == [(quantiles._double_of(width), quantiles._double_of(2 * width - 1)), (quantiles._double_of(5 * width), quantiles._double_of(6 * width - 1))]
+
+
 def test_thousands_of_groups_at_once(spark):
     df = spark.range(60_000).select((F.col("id") % 3000).alias("g"), (F.hash("id") % 1000 / 7.0).alias("v"))
     got = quantiles.exact_percentiles(df, ["g"], "v", (1, 99)).groupBy("g").pivot("pct", [1.0, 99.0]).agg(F.first("value"))
@@ -256,6 +286,53 @@ def test_refreshed_store_equals_a_new_one(spark, tmp_path, since="2003-02-01"):
     assert {r["section"] for r in store.products_of(grown).select("section").distinct().collect()} >= {"s6", "s7"}
 
 
+def test_anomalies_and_their_scale_are_refreshed(spark, tmp_path):
+    """Baseline p ends in 2006: rows of 2005 and 2006 move it, later ones don't; new dates, and a late row for a stored date."""
+    every, cells = history(spark), observations.land_mask(history(spark))
+    whole, grown = VersionedStore(spark, str(tmp_path / "whole")), VersionedStore(spark, str(tmp_path / "grown"))
+    two = store.Settings(SETTINGS.periods, ("p", "q"), -2.0, 3.0)
+    late = (F.col("year") == 2003) & (F.col("month") == 7) & (F.col("i") == 2)
+    first = (F.col("year") < 2005) & ~late
+    store.build(whole, every, cells, two)
+    store.build(grown, every.where(first), cells, two)
+    folders = lambda: dict(grown.manifest()["parts"]["anomalies"])
+    before = folders()
+    store.refresh(grown, every.where((F.col("year").between(2005, 2006) & (F.col("month") < 7)) | late), two)
+    middle = folders()
+    assert {k for k in before if middle[k] != before[k]} == {k for k in before if k.split("/")[1] in ("month=1", "month=2", "month=6")} | {k for k in before if k.startswith("period=p/month=7/")} | {"period=q/month=7/year=2003"}
+    store.refresh(grown, every.where("year > 2006 or year between 2005 and 2006 and month >= 7"), two)
+    last = folders()
+    assert all(last[k] == middle[k] for k in middle if k.startswith("period=p/") and k.split("/")[1] in ("month=1", "month=2", "month=6"))
+    keys = ["period", "month", "year", "i", "j"]
+    assert compared(store.anomalies_of(grown).drop("sst"), store.anomalies_of(whole).drop("sst"), keys).count() == 0
+    pool = anomalies.anomaly(every, anomalies.baseline(every, SETTINGS.periods)).select("period", *keys[1:], "value").where("value IS NOT NULL")
+    assert compared(store.anomalies_of(grown).where("value IS NOT NULL").drop("sst"), pool, keys).count() == 0 and pool.count() > 500
+    counts = lambda s: {tuple(r) for r in s.read("anomaly_counts", store.COUNT_SCHEMA).groupBy("period", "measure").sum("n").collect()}
+    assert counts(grown) == counts(whole)
+    wide = lambda df: {r["period"]: pytest.approx(tuple(r)[1:], rel=1e-9) for r in df.collect()}
+    scale = {r["period"]: tuple(r)[1:] for r in store.anomaly_scale_of(grown).collect()}
+    assert scale == wide(colour.anomaly_scale(pool)) and set(scale) == {"p", "q"}
+    assert compared(store.anomaly_ticks_of(grown), colour.anomaly_ticks(pool), ["period", "pct"]).count() == 0
+
+
+def test_a_reader_of_few_anomalies_skips_by_folder_and_value(spark, tmp_path):
+    kept = VersionedStore(spark, str(tmp_path / "store"))
+    store.build(kept, history(spark), observations.land_mask(history(spark)), SETTINGS)
+    rows = store.anomalies_of(kept).where(~store._in_slices([("p", 1)], [(2003, 2), (2003, 6)]) & F.col("value").between(1.0, 1.5)).select("period", "value")
+    plan = plan_of(rows)
+    assert re.search(r"PartitionFilters: \[[^\]]*month", plan) and "GreaterThanOrEqual(value,1.0)" in plan and "ReadSchema: struct<value:double>" in plan
+    found = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    assert found.count() == store.anomalies_of(kept).where("value between 1.0 and 1.5 and not (period = 'p' and month = 1) and not (year = 2003 and month in (2, 6))").count() > 0
+
+
+def test_a_store_without_baselines_has_no_anomalies(spark, tmp_path):
+    kept, none = VersionedStore(spark, str(tmp_path / "store")), store.Settings((), (), -2.0, 3.0)
+    store.build(kept, history(spark).where("year < 2009"), observations.land_mask(history(spark)), none)
+    store.refresh(kept, history(spark).where("year = 2009"), none)
+    assert store.anomalies_of(kept).count() == store.anomaly_scale_of(kept).count() == store.anomaly_ticks_of(kept).count() == 0
+    assert store.products_of(kept).where("section = 's1'").count() > 0
+
+
 def test_a_failing_writer_shows_nothing(spark, tmp_path):
     kept = VersionedStore(spark, str(tmp_path / "store"))
     table = lambda v: spark.createDataFrame([(k, v) for k in range(4)], "part int, v int")
