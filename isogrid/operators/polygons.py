@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import mercator_x, mercator_y
+from ..functions.columns import fixed, mercator_x, mercator_y
 from .grid import DOMAIN, mercator_extent
 
 RING = ("feature_id", "poly_id", "ring_id")
@@ -124,7 +124,7 @@ def ring_paths(vertices: DataFrame, width: int) -> DataFrame:
     jump = F.abs(F.col("x") - F.lag("x").over(ring)) > width * BREAK_SHARE
     rows = vertices.withColumn("_jump", F.coalesce(jump.cast("int"), F.lit(0)))
     rows = rows.withColumn("segment", F.sum("_jump").over(ring))
-    text = F.format_string("%.1f,%.1f", F.round("x", 1), F.round("y", 1))
+    text = F.concat(fixed(F.col("x"), 1), F.lit(","), fixed(F.col("y"), 1))
     points = F.transform(F.array_sort(F.collect_list(F.struct("seq", text.alias("at")))), lambda p: p["at"])
     out = rows.groupBy("half", *RING, "segment").agg(F.count("*").alias("n"), points.alias("points")).where("n >= 2")
     return out.select("half", *RING, "segment", F.concat(F.lit("M"), F.array_join("points", "L")).alias("path"))
