@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fmt_num
 from .quantiles import exact_percentiles, with_row_numbers
 
 # The percentiles of legend ticks, colour stops (position and RGB) and the sections' colour maps.
@@ -92,7 +93,7 @@ def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: floa
     out = listed.select(*keys, digits.alias("digits"), F.explode("kept").alias("t"))
     text = F.lit(None).cast("string")
     for d in range(5):
-        text = F.when(F.col("digits") == d, F.replace(F.format_string(f"%.{d}f", F.round(F.col("t.value"), d)), F.lit("."), F.lit(","))).otherwise(text)
+        text = F.when(F.col("digits") == d, fmt_num(F.col("t.value"), d)).otherwise(text)
     return out.select(*keys, F.col("t.pct").alias("pct"), F.round("t.value", 4).alias("value"), F.round("t.norm", 4).alias("norm"), text.alias("label"))
 
 

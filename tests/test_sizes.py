@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
+from isogrid.operators import colour
 
 
 def test_small_negative_numbers_keep_their_sign(spark):
@@ -10,3 +11,10 @@ def test_small_negative_numbers_keep_their_sign(spark):
     values = [-0.004, 0.004, -0.0, 0.0, -1.255, 2.5, 2.675, None]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(fn.fmt_num(F.col("v"), 2).alias("t")).collect()
     assert [r["t"] for r in rows] == ["-0,00", "0,00", "-0,00", "0,00", "-1,25", "2,50", "2,68", "—"]
+
+
+def test_legend_labels_keep_the_sign_of_zero(spark):
+    ticks = spark.createDataFrame([("s", 5, -0.31), ("s", 10, -0.04), ("s", 20, 0.5)], "section string, pct int, value double")
+    ranges = spark.createDataFrame([("s", -0.31, 0.5)], "section string, vmin double, vmax double")
+    rows = colour.legend_ticks(ticks, ranges, ["section"]).orderBy("pct").collect()
+    assert [r["label"] for r in rows] == ["-0,3", "-0,0", "0,5"]
