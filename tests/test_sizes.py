@@ -3,7 +3,12 @@
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
-from isogrid.operators import colour
+from isogrid.operators import anomalies, climate, colour, observations
+from isogrid.plans import fixtures as fx
+from isogrid.plans import queries
+from isogrid.sources.scratch import stored_rows, tasks_for
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_small_negative_numbers_keep_their_sign(spark):
@@ -18,3 +23,10 @@ def test_legend_labels_keep_the_sign_of_zero(spark):
     ranges = spark.createDataFrame([("s", -0.31, 0.5)], "section string, vmin double, vmax double")
     rows = colour.legend_ticks(ticks, ranges, ["section"]).orderBy("pct").collect()
     assert [r["label"] for r in rows] == ["-0,3", "-0,0", "0,5"]
+
+
+def test_baselines_of_a_growing_grid_are_not_broadcast(spark):
+    """The planner takes cells that are made from few bytes to be few."""
+    obs = fx.fine_obs(spark, SF)
+    plan = anomalies.anomaly_annual(obs, anomalies.baseline(obs, fx.PERIODS[:2]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # the one row of the last year
