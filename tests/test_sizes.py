@@ -30,3 +30,15 @@ def test_baselines_of_a_growing_grid_are_not_broadcast(spark):
     obs = fx.fine_obs(spark, SF)
     plan = anomalies.anomaly_annual(obs, anomalies.baseline(obs, fx.PERIODS[:2]))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # the one row of the last year
+
+
+def test_months_of_a_growing_grid_do_not_move(spark):
+    """Cells are dealt before they have months: statistics by cell need no exchange by key."""
+    for stats in (climate.significant_trend(fx.fine_obs(spark, SF)), climate.var_trend(fx.fine_obs(spark, SF), "ess"), observations.land_mask(fx.fine_obs(spark, SF))):
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and plan.count("Exchange rangepartitioning") == 1
+
+
+def test_tasks_grow_with_the_rows(spark):
+    assert tasks_for(spark, 0, 100) == tasks_for(spark, 100, 100) == spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 100_001, 100) == 1001
