@@ -42,3 +42,14 @@ def test_months_of_a_growing_grid_do_not_move(spark):
 def test_tasks_grow_with_the_rows(spark):
     assert tasks_for(spark, 0, 100) == tasks_for(spark, 100, 100) == spark.sparkContext.defaultParallelism
     assert tasks_for(spark, 100_001, 100) == 1001
+
+
+def test_map_values_are_stored_without_an_exchange(spark, monkeypatch):
+    """What percentiles of maps are made of: five columns, written where they are."""
+    seen = []
+    monkeypatch.setattr(queries, "stored_rows", lambda df, name: seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or stored_rows(df, name))
+    for name in ("k1_section_ticks_fine", "k4_value_range_fine"):
+        queries.QUERIES[name](spark, SF)
+    assert len(seen) == 2
+    for columns, plan in seen:
+        assert columns == ["section", "season_type", "season_idx", "period", "value"] and "Exchange hashpartitioning" not in plan
