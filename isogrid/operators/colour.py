@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import fmt_num
-from .quantiles import exact_percentiles, with_row_numbers
+from ..sources.scratch import small_broadcast
+from .quantiles import exact_percentiles, line_starts, with_row_numbers
 
 # The percentiles of legend ticks, colour stops (position and RGB) and the sections' colour maps.
 TICK_PERCENTS = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99, 100)
@@ -43,13 +47,24 @@ def anomaly_ticks(anomalies: DataFrame) -> DataFrame:
     return exact_percentiles(anomalies, ["period"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
-def stride_sample(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+def stride_sample(df: DataFrame, keys: list[str], order: list[str], n: int, by_lines: bool = False) -> DataFrame:
     """Every k-th row of each group in order, k such that about n remain; sampling is the feature here.
 
-    Rows are numbered by ranges, so no task holds a group.
+    Rows are numbered by ranges, so no task holds a group. ``by_lines`` is for rows that are dealt by lines (what shares keys and
+    order up to the last column), of which a task holds some whole: then lines are counted, and numbered inside where a k-th
+    row lies in them. The rows are read twice and none of them moves.
     """
-    ranked = with_row_numbers(df, keys, order, "_rn", "_n")
-    return ranked.where(F.col("_rn") % F.greatest(F.lit(1), F.floor(F.col("_n") / n)) == 0).select(*df.columns)
+    step = lambda total: F.greatest(F.lit(1), F.floor(F.col(total) / n))
+    if not by_lines:
+        ranked = with_row_numbers(df, keys, order, "_rn", "_n")
+        return ranked.where(F.col("_rn") % step("_n") == 0).select(*df.columns)
+    line = [*keys, *order[:-1]]
+    starts = line_starts(df, keys, order).withColumn("_step", step("_total"))
+    first = F.ceil(F.col("_before") / F.col("_step")) * F.col("_step")
+    asked = starts.where(first < F.col("_before") + F.col("_in")).select(*(F.col(c).alias(f"_line_{c}") for c in line), "_before", "_step")
+    rows = df.join(small_broadcast(asked), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_line_{c}")) for c in line]))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy(*line).orderBy(order[-1])) - 1
+    return rows.select(*df.columns, "_step", number.alias("_rn")).where(F.col("_rn") % F.col("_step") == 0).select(*df.columns)
 
 
 def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent: float = 99) -> DataFrame:

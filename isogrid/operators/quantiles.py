@@ -130,3 +130,14 @@ def with_row_numbers(df: DataFrame, keys: list[str], order: list[str], number: s
     placed = rows.join(small_broadcast(starts), same)
     columns = [(F.col("_at") - F.col("_base")).alias(number), *([F.col("_total").alias(total)] if total else [])]
     return placed.select(*df.columns, *columns)
+
+
+def line_starts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, all of order but its last column, _before, _in, _total: how many of a group's rows come before each line, lie in it, and are in all.
+
+    A line is what shares keys and order up to the last column. Only counts move, where lines lie whole in a task.
+    """
+    sizes = stored_rows(df.groupBy(*keys, *order[:-1]).agg(F.count(F.lit(1)).alias("_in")), "lines")
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_in").over(whole.orderBy(*order[:-1]).rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select(*keys, *order[:-1], F.coalesce(before, F.lit(0)).alias("_before"), "_in", F.sum("_in").over(whole).alias("_total"))

@@ -53,3 +53,17 @@ def test_map_values_are_stored_without_an_exchange(spark, monkeypatch):
     assert len(seen) == 2
     for columns, plan in seen:
         assert columns == ["section", "season_type", "season_idx", "period", "value"] and "Exchange hashpartitioning" not in plan
+
+
+def test_stride_sample_by_lines(spark):
+    """The same rows as by ranges: empty lines, NULLs, steps longer and shorter than a line."""
+    rows = [(k % 3 if k % 50 else None, k // 97 % 5 if k % 31 else None, k // 7 % 11, k * 7 % 2003) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g int, t int, i int, j int")
+    for n in (3, 40, 5000):
+        by_ranges, by_lines = (sorted(map(str, colour.stride_sample(df, ["g"], ["t", "i", "j"], n, by_lines=lines).collect())) for lines in (False, True))
+        assert by_ranges == by_lines
+
+
+def test_stride_sample_moves_no_rows(spark, tmp_path):
+    plan = colour.stride_sample(fx.fine_obs(spark, SF), ["month"], ["ts", "i", "j"], 50, by_lines=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "sst" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
