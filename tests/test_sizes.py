@@ -67,3 +67,17 @@ def test_stride_sample_by_lines(spark):
 def test_stride_sample_moves_no_rows(spark, tmp_path):
     plan = colour.stride_sample(fx.fine_obs(spark, SF), ["month"], ["ts", "i", "j"], 50, by_lines=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "sst" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_series_of_points_move_once(spark):
+    """Points are dealt before they get series; the observations are made of the table once, so their size is known."""
+    for name in ("j6_point_timeseries", "a20_annual_mean", "w1_running_mean", "w2_trend_line", "s7_series_json"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(point_id" in line]
+        assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0] and "lineitem" not in plan, name
+
+
+def test_polygon_documents_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fx, "POLYGONS_EACH", 4)
+    sizes = [r["count"] for r in fx.feature_parts(spark, SF).groupBy("part").count().collect()]
+    assert sum(sizes) == fx.features(spark, SF).count() and max(sizes) <= 4
