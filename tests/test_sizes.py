@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
-from isogrid.operators import anomalies, climate, colour, observations
+from isogrid.operators import anomalies, climate, colour, observations, polygons
 from isogrid.plans import fixtures as fx
 from isogrid.plans import queries
 from isogrid.sources.scratch import stored_rows, tasks_for
 
 SF = "/root/testdata/sf0.001"
+PLACED = "half string, feature_id int, poly_id int, rings array<struct<x: array<double>, y: array<double>>>"
 
 
 def test_small_negative_numbers_keep_their_sign(spark):
@@ -81,3 +82,35 @@ def test_polygon_documents_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(fx, "POLYGONS_EACH", 4)
     sizes = [r["count"] for r in fx.feature_parts(spark, SF).groupBy("part").count().collect()]
     assert sum(sizes) == fx.features(spark, SF).count() and max(sizes) <= 4
+
+
+def test_crossings_do_not_move(spark):
+    """Polygons are dealt by number, before they get vertices and as pieces; only ends of what a task covers are exchanged."""
+    for name in ("j14_rasterize", "j14_rasterize_fine", "j15_sample_mask"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(half" in line]
+        assert plan.count("REPARTITION_BY_NUM") == 2 and len(moved) == 1 and "py#" not in moved[0], name
+
+
+def test_overlapping_polygons_end_as_one(spark):
+    """However many polygons a task has, what it hands on is the outline of them all."""
+    square = lambda k: ("west", k, 0, [([5.0 + k % 3, 15.0, 15.0, 5.0 + k % 3], [5.0, 5.0, 15.0, 15.0])])
+    polys = spark.createDataFrame([square(k) for k in range(600)], PLACED).coalesce(1)
+    assert polygons.land_ends(polygons.pieces(polys, 20), 20, 20).count() == 20
+    assert sorted(map(tuple, polygons.land_runs(polys, 20, 20).collect())) == [(py, 5, 14) for py in range(5, 15)]
+
+
+def test_large_polygons_are_cut_in_bands(spark, monkeypatch):
+    """A saw of 2,000 teeth with a hole, one without an edge, and one beyond the picture: bands add up to the whole."""
+    saw = ([k / 100 for k in range(4000)] + [40.0, 0.0], [3.0 + 20 * (k % 2) + k % 7 / 8 for k in range(4000)] + [29.0, 29.0])
+    hole = ([10.0, 20.0, 20.0, 10.0], [24.0, 24.0, 28.0, 28.0])
+    rows = [("west", 0, 0, [saw, hole]), ("west", 1, 0, [([], [])]), ("west", 2, 0, [([1.0, 2.0, 3.0], [90.0, 95.0, 91.0])])]
+    polys = spark.createDataFrame(rows, PLACED)
+    whole = sorted(map(tuple, polygons.land_runs(polys, 40, 30).collect()))
+    assert whole and polygons.pieces(polys, 30).count() == 1
+    monkeypatch.setattr(polygons, "PIECE_CROSSINGS", 8_000)
+    monkeypatch.setattr(polygons, "SWEPT_CROSSINGS", 10_000)
+    pieces = polygons.pieces(polys, 30).collect()
+    assert len(pieces) > 5 and all(e["first"] <= r["high"] and e["last"] >= r["low"] for r in pieces for e in r["edges"])
+    assert sum(r["high"] - r["low"] + 1 for r in pieces) == max(e["last"] for r in pieces for e in r["edges"]) - min(e["first"] for r in pieces for e in r["edges"]) + 1
+    assert sorted(map(tuple, polygons.land_runs(polys, 40, 30).collect())) == whole
