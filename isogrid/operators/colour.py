@@ -67,10 +67,11 @@ def stride_sample(df: DataFrame, keys: list[str], order: list[str], n: int, by_l
     return rows.select(*df.columns, "_step", number.alias("_rn")).where(F.col("_rn") % F.col("_step") == 0).select(*df.columns)
 
 
-def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent: float = 99) -> DataFrame:
+def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent: float = 99, widen: bool = True) -> DataFrame:
     """vmin, vmax of each field's colours. Symmetric ones reach the percentile of the absolute values on both sides.
 
-    A field without values has the range 0 to 1. The fields are read four times, so store costly ones first.
+    A field without values has the range 0 to 1. A range of one value is widened by 1, unless ``widen`` is off. The fields are
+    read four times, so store costly ones first.
     """
     low, high = (0.0, 100.0) if percent >= 100 else (0.1, 99.9) if percent >= 99.9 else (1.0, 99.0)
     kinds = fields.groupBy(*keys).agg(F.first(symmetric).alias("_sym"))
@@ -79,7 +80,7 @@ def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent:
     out = kinds.join(found, keys, "left")
     lo = F.coalesce(F.when(F.col("_sym"), -F.col("_high")).otherwise(F.col("_low")), F.lit(0.0))
     hi = F.coalesce("_high", F.lit(1.0))
-    return out.select(*keys, lo.alias("vmin"), F.when(lo == hi, lo + 1).otherwise(hi).alias("vmax"))
+    return out.select(*keys, lo.alias("vmin"), (F.when(lo == hi, lo + 1).otherwise(hi) if widen else hi).alias("vmax"))
 
 
 def anomaly_range(scale: DataFrame, period: str, percent: float = 99) -> DataFrame:
@@ -88,14 +89,16 @@ def anomaly_range(scale: DataFrame, period: str, percent: float = 99) -> DataFra
     return scale.where(F.col("period") == period).select((-vm).alias("vmin"), F.when(vm == 0, 1.0).otherwise(vm).alias("vmax"))
 
 
-def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: float = 0.02) -> DataFrame:
+def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: float = 0.02, at_ends: bool = False) -> DataFrame:
     """The ticks to draw, with norm in 0..1 and label: one closer than ``gap`` to the last kept is left out.
 
     Which ticks stay depends on those kept before, so each section's 13 ticks are folded in order. In a range of one value
-    (vmin = vmax) all ticks are in the middle.
+    (vmin = vmax) all ticks are in the middle; with ``at_ends`` those below it are at the lower end, others at the upper, and
+    labels have all four decimals, as a smallest step of 0 asks for.
     """
     span = F.col("vmax") - F.col("vmin")
-    norm = F.when(span == 0, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("vmin")) / F.nullif(span, F.lit(0.0)))))
+    alone, alone_digits = (F.when(F.col("value") < F.col("vmin"), 0.0).otherwise(1.0), 4) if at_ends else (F.lit(0.5), 2)
+    norm = F.when(span == 0, alone).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("vmin")) / F.nullif(span, F.lit(0.0)))))
     rows = ticks.join(F.broadcast(ranges), keys).select(*keys, "pct", "value", norm.alias("norm"), span.alias("span"))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pct", "value", "norm"))).alias("all"), F.first("span").alias("span"))
     empty = F.expr("cast(array() as array<struct<pct:int,value:double,norm:double>>)")
@@ -103,8 +106,9 @@ def legend_ticks(ticks: DataFrame, ranges: DataFrame, keys: list[str], gap: floa
     kept = F.aggregate("all", empty, lambda a, t: F.when(far(a, t), F.concat(a, F.array(t))).otherwise(a))
     listed = listed.withColumn("kept", kept)
     steps = F.filter(F.transform(F.sequence(F.lit(1), F.size("kept") - 1), lambda k: F.abs(F.get("kept", k)["value"] - F.get("kept", k - 1)["value"])), lambda s: s > 0)
-    least = F.when(F.size("kept") >= 2, F.coalesce(F.array_min(steps), F.col("span"))).otherwise(F.when(F.col("span") > 0, F.col("span")).otherwise(1.0))
-    digits = F.when(least > 0, F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(-F.log10(least))))).otherwise(2).cast("int")
+    only = F.col("span") if at_ends else F.when(F.col("span") > 0, F.col("span")).otherwise(1.0)
+    least = F.when(F.size("kept") >= 2, F.coalesce(F.array_min(steps), F.col("span"))).otherwise(only)
+    digits = F.when(least > 0, F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(-F.log10(least))))).otherwise(alone_digits).cast("int")
     out = listed.select(*keys, digits.alias("digits"), F.explode("kept").alias("t"))
     text = F.lit(None).cast("string")
     for d in range(5):

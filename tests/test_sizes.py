@@ -1,10 +1,12 @@
 """What larger tables brought to light: results, and plans whose work grows no faster than their input."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
 from isogrid.operators import anomalies, climate, colour, observations, polygons
 from isogrid.plans import fixtures as fx
+from isogrid.plans import oracles as ora
 from isogrid.plans import queries
 from isogrid.sources.scratch import stored_rows, tasks_for
 
@@ -26,6 +28,19 @@ def test_legend_labels_keep_the_sign_of_zero(spark):
     assert [r["label"] for r in rows] == ["-0,3", "-0,0", "0,5"]
 
 
+def test_legend_of_one_value_as_in_sql(spark, monkeypatch):
+    """A section may have one value, positive or not, one value many times, or hardly more than one."""
+    values = {"s1": [1.5, 2.3, 9.1], "s2": [0.0099], "s3": [0.0, 0.0], "s4": [-3.0] * 5, "s5": [None, 1e-9, 2e-9], "s5_raw": [None]}
+    rows = [(s, "monthly", 0, "all", k, 0, v) for s, vs in values.items() for k, v in enumerate(vs)]
+    monkeypatch.setattr(queries, "monthly_all", lambda spark, d: spark.createDataFrame(rows, queries.grids.PRODUCT_SCHEMA))
+    got = queries.QUERIES["k5_legend_ticks"](spark, SF)
+    made = ", ".join(f"('{s}', '{t}', {k}, '{p}', {i}, {j}, CAST({'NULL' if v is None else v} AS DOUBLE))" for s, t, k, p, i, j, v in rows)
+    text = f"WITH prod(section, season_type, season_idx, period, i, j, value) AS (VALUES {made})" + queries.ORACLES["k5_legend_ticks"].removeprefix(ora.BASE)
+    want = duckdb.sql(text).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r[0]: r[3:] for r in want}["s2"] == (1.0, "0,0099")
+
+
 def test_baselines_of_a_growing_grid_are_not_broadcast(spark):
     """The planner takes cells that are made from few bytes to be few."""
     obs = fx.fine_obs(spark, SF)
