@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import fmt_num
 from ..sources.scratch import small_broadcast
-from .quantiles import exact_percentiles, line_starts, with_row_numbers
+from .quantiles import exact_percentiles, line_starts, sorted_percentiles, with_row_numbers
 
 # The percentiles of legend ticks, colour stops (position and RGB) and the sections' colour maps.
 TICK_PERCENTS = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99, 100)
@@ -26,11 +26,17 @@ SECTION_MAPS = {"s1": ("RdYlBu_r", False), "s2": ("RdBu_r", True), "s3": ("Virid
 
 
 def section_ticks(products: DataFrame) -> DataFrame:
-    """section, pct, value over the values of all twelve monthly maps of all years; the maps are read three times."""
+    """section, pct, value over the values of all twelve monthly maps of all years; the maps are read twice."""
     pool = products.where("season_type = 'monthly' AND period = 'all'")
     return exact_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
 
 
+def section_ticks_of_lines(lines: DataFrame) -> DataFrame:
+    """The same of stored ``climate.line_values``."""
+    pool = lines.where("season_type = 'monthly' AND period = 'all'")
+    return sorted_percentiles(pool, ["section"], "value", TICK_PERCENTS).withColumn("pct", F.col("pct").cast("int"))
+
+
 def scale_of(percentiles: DataFrame) -> DataFrame:
     """period, vm_99, vm_999, vm_100 of the percentiles ``SCALE_PERCENTS``."""
     at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
@@ -71,7 +77,7 @@ def value_range(fields: DataFrame, keys: list[str], symmetric: Column, percent:
     """vmin, vmax of each field's colours. Symmetric ones reach the percentile of the absolute values on both sides.
 
     A field without values has the range 0 to 1. A range of one value is widened by 1, unless ``widen`` is off. The fields are
-    read four times, so store costly ones first.
+    read three times, so store costly ones first.
     """
     low, high = (0.0, 100.0) if percent >= 100 else (0.1, 99.9) if percent >= 99.9 else (1.0, 99.0)
     kinds = fields.groupBy(*keys).agg(F.first(symmetric).alias("_sym"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,13 +87,22 @@ def _double_of(bits: int) -> float:
     return -size if bits < 0 else size
 
 
+def _values_in_bins(bins: DataFrame, pool: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, and as ``column`` the values in the group's own bins, written: the one reading of the pool that finds them."""
+    by = [*keys, "_d0"]
+    rows = _with_bits(pool, keys, column).join(small_broadcast(bins.select(*by)), by)  # one row a bin; a semi join would be pushed below the bits
+    return stored_rows(rows.select(*keys, F.col("_x").alias(column)), "percentile-values")
+
+
 def percentiles_in_bins(bins: DataFrame, pool: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, pct, value, from the bins of ``asked_bins``; of the pool only values in them matter, so a reader may leave out others."""
-    by, wanted, known, shift = [*keys, "_d0"], bins, _with_bits(pool, keys, column), 64 - PASS_BITS[0]
+    by, wanted, shift = [*keys, "_d0"], bins, 64 - PASS_BITS[0]
+    known = _with_bits(_values_in_bins(bins, pool, keys, column), keys, column)
     for n, width in enumerate(PASS_BITS[1:], 1):
         shift -= width
         rows = known.withColumn(f"_d{n}", F.coalesce(F.shiftright("_bits", shift), F.lit(0)).bitwiseAND(F.lit((1 << width) - 1)))
-        rows = rows.join(small_broadcast(wanted.select(*by)), by)  # one row a bin; a semi join would be pushed below the bits
+        if n > 1:
+            rows = rows.join(small_broadcast(wanted.select(*by)), by)
         counted = rows.groupBy(*by, f"_d{n}").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_x"))
         upto = counted.withColumn("_end", F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_d{n}"))).join(small_broadcast(wanted), by)
         wanted = _ranks_inside(upto, by, f"_d{n}", *(["_x"] if shift == 0 else []))
@@ -111,6 +122,42 @@ def exact_percentiles(pool: DataFrame, keys: list[str], column: str, percents: t
     return percentiles_in_bins(asked_bins(bin_counts(pool, keys, column), keys, percents), pool, keys, column)
 
 
+#: What ``sorted_pools`` makes: values in order, and the stretches of them that share their leading 22 bits.
+POOL_TYPE = "struct<values: array<double>, bins: array<struct<bin: bigint, first: int, n: bigint>>>"
+
+
+def sorted_pools(pools: list[np.ndarray]) -> pa.Array:
+    """A row of ``POOL_TYPE`` for each array of values, without its NaN."""
+    kept = [np.sort(v[~np.isnan(v)]) for v in pools]
+    bins, firsts, counts = [], [], []
+    for v in kept:
+        size = np.abs(v).view(np.int64)
+        bin_ = np.where(v < 0, -size, size) >> (64 - PASS_BITS[0])
+        first = np.flatnonzero(np.diff(bin_, prepend=bin_[:1] - 1))
+        bins.append(bin_[first])
+        firsts.append(first)
+        counts.append(np.diff(first, append=len(v)))
+    offsets = lambda parts: pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32())
+    values = pa.ListArray.from_arrays(offsets(kept), pa.array(np.concatenate(kept), pa.float64()))
+    each = pa.StructArray.from_arrays([pa.array(np.concatenate(c), t) for c, t in ((bins, pa.int64()), (firsts, pa.int32()), (counts, pa.int64()))], ["bin", "first", "n"])
+    return pa.StructArray.from_arrays([values, pa.ListArray.from_arrays(offsets(bins), each)], ["values", "bins"])
+
+
+def sorted_percentiles(pools: DataFrame, keys: list[str], column: str, percents: tuple[float, ...]) -> DataFrame:
+    """As ``exact_percentiles``, of stored rows that each hold a part of a group's values as ``sorted_pools`` makes it.
+
+    The first pass reads how many values share their leading bits, the next cuts the few stretches that an asked rank lies in
+    out of the arrays; no other value becomes a row.
+    """
+    each = pools.select(*keys, F.explode(f"{column}.bins").alias("_b"))
+    bins = asked_bins(each.groupBy(*keys, F.col("_b.bin").alias("bin")).agg(F.sum("_b.n").alias("n")), keys, percents)
+    wanted = bins.groupBy(*keys).agg(F.collect_list("_d0").alias("_bins"))  # at most two a percentile
+    here = F.filter(f"{column}.bins", lambda b: F.array_contains("_bins", b["bin"]))
+    inside = F.flatten(F.transform(here, lambda b: F.slice(f"{column}.values", b["first"] + 1, b["n"].cast("int"))))
+    values = pools.join(small_broadcast(wanted), keys).select(*keys, F.explode(inside).alias(column))
+    return percentiles_in_bins(bins, values, keys, column)
+
+
 def with_row_numbers(df: DataFrame, keys: list[str], order: list[str], number: str = "row_number", total: str | None = None) -> DataFrame:
     """The rows with their place (from 0) in the order of their group, and the group's size as ``total``.
 

@@ -1,10 +1,15 @@
 """What larger tables brought to light: results, and plans whose work grows no faster than their input."""
 
+import math
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from isogrid.functions import columns as fn
-from isogrid.operators import anomalies, climate, colour, observations, polygons
+from isogrid.operators import anomalies, climate, colour, observations, polygons, quantiles
 from isogrid.plans import fixtures as fx
 from isogrid.plans import oracles as ora
 from isogrid.plans import queries
@@ -71,6 +76,55 @@ def test_map_values_are_stored_without_an_exchange(spark, monkeypatch):
         assert columns == ["section", "season_type", "season_idx", "period", "value"] and "Exchange hashpartitioning" not in plan
 
 
+def _series(spark, cells: list[list[float | None]], line: int = 2):
+    """A cell for each list, ``line`` of them on a line, with its values from January 1995 on; None for a missing month."""
+    rows = [(k // line, k % line, 1995 + m // 12, m % 12 + 1, m % 12 // 3, 1995 + m // 12 + m % 12 / 12.0, v) for k, vs in enumerate(cells) for m, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "i int, j int, year int, month int, ess_idx int, x double, sst double")
+
+
+def test_values_of_lines_are_those_of_the_maps(spark):
+    """Rising, constant, two-valued, short, gappy and empty series."""
+    rng = np.random.default_rng(5)
+    noisy = [[float(v) for v in 0.03 * np.arange(96) * k + rng.normal(0, 1, 96)] for k in range(4)]
+    gappy = [[v if rng.random() < 0.7 else None for v in vs] for vs in noisy]
+    odd = [[4.7] * 96, [3.0 if m // 12 % 2 else 5.0 for m in range(96)], [1.5] * 30, [float(m) for m in range(96)], [None] * 96]
+    obs = _series(spark, noisy + gappy + odd)
+    long = climate.products(obs, (), season_types=("monthly",)).where("value IS NOT NULL").groupBy("section", "season_idx").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
+    lines = climate.line_values(obs).select("section", "season_idx", F.explode("value.values").alias("v")).groupBy("section", "season_idx").agg(F.sort_array(F.collect_list("v")).alias("v")).collect()
+    want, got = ({(r["section"], r["season_idx"]): r["v"] for r in rows} for rows in (long, lines))
+    assert got.keys() == want.keys() and {s for s, _ in got} == {"s1", "s2", "s2_raw", "s3", "s4", "s5", "s5_raw"}
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+
+def test_two_observations_of_a_month_raise(spark):
+    obs = _series(spark, [[1.0, 2.0]])
+    with pytest.raises(Exception, match="more than one observation"):
+        climate.line_values(obs.unionByName(obs)).collect()
+
+
+def test_percentiles_of_sorted_parts(spark):
+    """As of single values, over several orders and both signs; groups in many parts, empty parts, NaN."""
+    rng = np.random.default_rng(6)
+    values = {"a": [rng.normal(0, 10.0**k, 300) for k in range(-3, 4)] + [np.array([])], "b": [np.array([0.0, -0.0, 5e-324, -1e-310, math.nan, math.inf])], "c": [np.full(50, -2.5)] * 3, "d": [np.array([math.nan])]}
+    rows = [(k, v) for k, parts in values.items() for v in parts]
+    parts = spark.createDataFrame(pa.table({"k": pa.array([k for k, _ in rows]), "value": quantiles.sorted_pools([v for _, v in rows])}))
+    single = spark.createDataFrame([(k, float(x)) for k, v in rows for x in v], "k string, value double")
+    got, want = (sorted(map(tuple, d.collect())) for d in (quantiles.sorted_percentiles(parts, ["k"], "value", (0, 1, 5, 50, 99, 100)), quantiles.exact_percentiles(single, ["k"], "value", (0, 1, 5, 50, 99, 100))))
+    assert got == want and {k for k, _, _ in got} == {"a", "b", "c"}
+    assert dict((p, v) for k, p, v in got if k == "a")[50] == pytest.approx(np.median(np.concatenate(values["a"])))
+
+
+def test_ticks_make_no_row_of_a_value(spark, monkeypatch):
+    """Observations are neither sorted nor numbered by cell, and what is stored has a row for each map of a line."""
+    seen = []
+    monkeypatch.setattr(queries, "stored_rows", lambda df, name: seen.append((df, stored_rows(df, name))) or seen[-1][1])
+    queries.QUERIES["k1_section_ticks_fine"](spark, SF)
+    (made, stored), lines = seen[0], fx.fine_grid(spark, SF).n_lat
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort [i#" in plan and "Exchange hashpartitioning" not in plan
+    assert stored.count() == lines * 7 * 12
+
+
 def test_stride_sample_by_lines(spark):
     """The same rows as by ranges: empty lines, NULLs, steps longer and shorter than a line."""
     rows = [(k % 3 if k % 50 else None, k // 97 % 5 if k % 31 else None, k // 7 % 11, k * 7 % 2003) for k in range(2000)]
