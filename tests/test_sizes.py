@@ -183,3 +183,13 @@ def test_large_polygons_are_cut_in_bands(spark, monkeypatch):
     assert len(pieces) > 5 and all(e["first"] <= r["high"] and e["last"] >= r["low"] for r in pieces for e in r["edges"])
     assert sum(r["high"] - r["low"] + 1 for r in pieces) == max(e["last"] for r in pieces for e in r["edges"]) - min(e["first"] for r in pieces for e in r["edges"]) + 1
     assert sorted(map(tuple, polygons.land_runs(polys, 40, 30).collect())) == whole
+
+
+def test_filling_reads_observations_once_and_columns_forwards(spark, monkeypatch):
+    """The mask and the field are of one pass, and no window runs to a column's end, whose work grows with its square."""
+    seen = []
+    monkeypatch.setattr(queries, "stored_rows", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stored_rows(df, name))
+    plan = queries.QUERIES["n2_fill_land_fine"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and seen[0].count("Generate") == 1 and "Exchange hashpartitioning" not in seen[0]
+    assert "Generate" not in plan and "orders.parquet" not in plan
+    assert plan.count("Window ") and "unboundedfollowing" not in plan.lower()
